@@ -67,4 +67,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # Importing the catalogue modules fills REGISTRY.
-    from tessera.plans import catalog_quality, catalog_spatial  # noqa: F401
+    from tessera.plans import catalog_geo, catalog_quality, catalog_spatial  # noqa: F401
