@@ -57,8 +57,9 @@ def time_window(ts, size: str) -> Column:
 
 
 def calendar_keys(df: DataFrame, year: str = "year", month: str = "month") -> DataFrame:
-    """First-of-month date, quarter, season."""
-    d = F.make_date(F.col(year), F.col(month), F.lit(1))
+    """First-of-month date (timestamp, as the reference's pandas
+    datetime), quarter, season."""
+    d = F.make_timestamp_ntz(F.col(year), F.col(month), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
     return (df.withColumn("date", d)
             .withColumn("quarter", F.quarter(d))
             .withColumn("season", season(F.col(month))))

@@ -33,11 +33,11 @@ def with_(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def rounded(sql: str, *cols: str, digits: int = 6) -> str:
-    """Wrap ``sql`` so the named DOUBLE columns are rounded."""
+def rounded(sql: str, cols: dict[str, int]) -> str:
+    """Wrap ``sql`` so the named DOUBLE columns are rounded (name → digits)."""
     if not cols:
         return sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in cols)
+    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {d}) AS {c}" for c, d in cols.items())
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
 
 
@@ -78,6 +78,23 @@ cte("trips", "SELECT " + _TRIP_COLS.format(
 cte("trips_dirty", "SELECT " + _TRIP_COLS.format(start="o.o_orderdate", end="l.l_shipdate")
     + " FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
 
+cte("spending", """
+SELECT county_fips, year, month, category, spending_amount, make_timestamp(year, month, 1, 0, 0, 0) AS date
+FROM (SELECT lpad(CAST(c.c_nationkey AS VARCHAR), 5, '0') AS county_fips,
+             CAST(year(o.o_orderdate) AS INTEGER) AS year, CAST(month(o.o_orderdate) AS INTEGER) AS month,
+             CASE WHEN p.p_type LIKE '%STANDARD%' THEN 'restaurants'
+                  WHEN p.p_type LIKE '%PROMO%' THEN 'retail'
+                  WHEN p.p_type LIKE '%ECONOMY%' THEN 'grocery'
+                  WHEN p.p_type LIKE '%MEDIUM%' THEN 'entertainment'
+                  WHEN p.p_type LIKE '%SMALL%' THEN 'transportation'
+                  WHEN p.p_type LIKE '%LARGE%' THEN 'healthcare' END AS category,
+             CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(1 - l.l_discount AS DECIMAL(18,2)))
+                  AS DOUBLE) AS spending_amount
+      FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+      JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey
+      GROUP BY 1, 2, 3, 4) AS s""")
+
+
 # Unit squares; areas mirror the engine's edge sum term by term.
 _R2 = "40589641.0"
 cte("bnd", f"""

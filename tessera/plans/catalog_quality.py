@@ -53,22 +53,6 @@ UNION ALL SELECT '{dataset}', 'duplicate_ids', 'issue', CAST(coalesce(sum(n - 1)
 
 cte("trip_rules", _trip_rules_sql("trips_dirty", "trips_dirty"), ("trips_dirty",))
 
-cte("spending", f"""
-SELECT county_fips, year, month, category, spending_amount, make_timestamp(year, month, 1, 0, 0, 0) AS date
-FROM (SELECT lpad(CAST(c.c_nationkey AS VARCHAR), 5, '0') AS county_fips,
-             CAST(year(o.o_orderdate) AS INTEGER) AS year, CAST(month(o.o_orderdate) AS INTEGER) AS month,
-             CASE WHEN p.p_type LIKE '%STANDARD%' THEN 'restaurants'
-                  WHEN p.p_type LIKE '%PROMO%' THEN 'retail'
-                  WHEN p.p_type LIKE '%ECONOMY%' THEN 'grocery'
-                  WHEN p.p_type LIKE '%MEDIUM%' THEN 'entertainment'
-                  WHEN p.p_type LIKE '%SMALL%' THEN 'transportation'
-                  WHEN p.p_type LIKE '%LARGE%' THEN 'healthcare' END AS category,
-             CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(1 - l.l_discount AS DECIMAL(18,2)))
-                  AS DOUBLE) AS spending_amount
-      FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-      JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey
-      GROUP BY 1, 2, 3, 4) AS s""")
-
 _FIPS_BAD = "coalesce(NOT regexp_full_match(CAST(county_fips AS VARCHAR), '\\d{5}'), true)"
 cte("spending_rules", f"""
 SELECT 'spending' AS dataset, 'missing_columns' AS rule, 'issue' AS severity, CAST(0 AS BIGINT) AS n_bad,

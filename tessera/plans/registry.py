@@ -23,30 +23,43 @@ from tessera.oracle.views import rounded
 class Entry:
     fn: Callable[[SparkSession, str], DataFrame]
     sql: str | None
-    doubles: tuple[str, ...] = field(default_factory=tuple)
+    doubles: tuple = field(default_factory=tuple)  # names, or (name, digits)
     digits: int = 6
 
 
 REGISTRY: dict[str, Entry] = {}
 
 
-def finish(df: DataFrame, digits: int = 6) -> DataFrame:
+def _digit_map(doubles, digits: int) -> dict[str, int]:
+    out = {}
+    for d in doubles:
+        if isinstance(d, tuple):
+            out[d[0]] = d[1]
+        else:
+            out[d] = digits
+    return out
+
+
+def finish(df: DataFrame, digits: int = 6, per_col: dict[str, int] | None = None) -> DataFrame:
+    per_col = per_col or {}
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double"), per_col.get(f.name, digits))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
-def register(key: str, sql: str | None = None, doubles: tuple[str, ...] = (),
+def register(key: str, sql: str | None = None, doubles: tuple = (),
              digits: int = 6):
+    per_col = _digit_map(doubles, digits)
+
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return finish(fn(spark, sf_dir), digits)
+            return finish(fn(spark, sf_dir), digits, per_col)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
         REGISTRY[key] = Entry(run, sql, tuple(doubles), digits)
@@ -61,10 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load_all()
-    return {k: rounded(e.sql, *e.doubles, digits=e.digits)
+    return {k: rounded(e.sql, _digit_map(e.doubles, e.digits))
             for k, e in REGISTRY.items() if e.sql is not None}
 
 
 def _load_all() -> None:
     # Importing the catalogue modules fills REGISTRY.
-    from tessera.plans import catalog_geo, catalog_quality, catalog_spatial  # noqa: F401
+    from tessera.plans import (  # noqa: F401
+        catalog_features, catalog_geo, catalog_quality, catalog_spatial)
