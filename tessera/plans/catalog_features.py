@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import features, spending, spatial
 from tessera.oracle.views import cte, with_
 from tessera.plans.flagship import county_mobility, enriched_trips
+from tessera.plans.context import context
 from tessera.plans.registry import register
 from tessera.sources import views
 
@@ -133,10 +134,7 @@ FROM (SELECT m.*, tp.peak_hour_ratio, tp.weekend_ratio, tp.night_trips_ratio, tp
 
 # --------------------------------------------------------------- queries
 def _mob_features(spark, d):
-    t = views.trips(spark, d)
-    b = views.boundaries(spark, d)
-    mob = county_mobility(t, b)
-    return features.create_mobility_features(mob, enriched_trips(t, b), views.population(spark, d))
+    return context(spark, d).mobility_features()
 
 
 def _spend_features(spark, d):
@@ -153,7 +151,7 @@ _BIG = 4  # money sums are exact to 4 decimals; rounding to 2 would hit .xx5 tie
           + " FROM spending GROUP BY county_fips) s ON m.county_fips = s.county_fips",
           ("avg_trip_duration_minutes",) + tuple((f"spending_{c}", _BIG) for c in CATS))
 def h03(spark, d):
-    mob = county_mobility(views.trips(spark, d), views.boundaries(spark, d)).select(
+    mob = context(spark, d).county_mobility().select(
         "county_fips", "total_trips", "avg_trip_duration_minutes")
     return spending.join_mobility_spending(mob, views.spending(spark, d))
 
@@ -327,9 +325,8 @@ SELECT county_fips, year, month, category, spending_amount FROM spending
 WHERE county_fips IN (SELECT county_fips FROM station_map)""", (("spending_amount", _BIG),))
 def j05(spark, d):
     """Spending rows of counties that have at least one station."""
-    prepared = spatial.prepare_boundaries(views.boundaries(spark, d)).persist()
-    st = spatial.extract_stations(views.trips(spark, d))
-    m = spatial.station_county_map(spatial.assign_stations(st, prepared)).select("county_fips")
+    prepared = context(spark, d).prepared()
+    m = context(spark, d).station_map().select("county_fips")
     s = views.spending(spark, d).drop("date")
     return s.join(m, "county_fips", "left_semi")
 
@@ -338,7 +335,7 @@ def j05(spark, d):
           ("peak_hour_ratio", "weekend_ratio", "night_trips_ratio", "summer_trips_ratio", "winter_trips_ratio",
            "seasonal_variation"), digits=8)
 def h06(spark, d):
-    return features.temporal_patterns(enriched_trips(views.trips(spark, d), views.boundaries(spark, d)))
+    return features.temporal_patterns(context(spark, d).enriched_trips())
 
 
 _MOB_D = ("avg_trip_duration_minutes", "median_trip_duration_minutes", "std_trip_duration_minutes",
@@ -355,7 +352,7 @@ SELECT county_fips, member_ratio, short_trip_preference, long_trip_preference, t
        short_distance_preference, long_distance_preference, high_inter_county_mobility FROM mobility_features""",
           ("member_ratio", "trip_duration_variability"))
 def e01(spark, d):
-    mob = county_mobility(views.trips(spark, d), views.boundaries(spark, d))
+    mob = context(spark, d).county_mobility()
     return features.add_usage_patterns(mob).select(
         "county_fips", "member_ratio", "short_trip_preference", "long_trip_preference", "trip_duration_variability",
         "short_distance_preference", "long_distance_preference", "high_inter_county_mobility")
@@ -365,7 +362,7 @@ def e01(spark, d):
 SELECT county_fips, estimated_stations, station_density_per_sq_km, trip_volume_category, trips_per_station
 FROM mobility_features""", ("estimated_stations", "station_density_per_sq_km", "trips_per_station"))
 def e02(spark, d):
-    mob = county_mobility(views.trips(spark, d), views.boundaries(spark, d))
+    mob = context(spark, d).county_mobility()
     return features.add_volume_intensity(mob).select(
         "county_fips", "estimated_stations", "station_density_per_sq_km", "trip_volume_category",
         "trips_per_station")
@@ -374,7 +371,7 @@ def e02(spark, d):
 @register("f04_quantile_cut_33_67", with_("mobility_features") + """
 SELECT county_fips, total_trips, trip_volume_category FROM mobility_features""")
 def f04(spark, d):
-    mob = county_mobility(views.trips(spark, d), views.boundaries(spark, d))
+    mob = context(spark, d).county_mobility()
     return features.add_volume_intensity(mob).select("county_fips", "total_trips", "trip_volume_category")
 
 
@@ -383,7 +380,7 @@ SELECT county_fips, population, trips_per_capita, member_trips_per_capita, casua
        mobility_penetration_rate FROM mobility_features""",
           ("trips_per_capita", "member_trips_per_capita", "casual_trips_per_capita", "mobility_penetration_rate"))
 def e03(spark, d):
-    mob = county_mobility(views.trips(spark, d), views.boundaries(spark, d))
+    mob = context(spark, d).county_mobility()
     return features.add_per_capita_mobility(mob, views.population(spark, d)).select(
         "county_fips", "population", "trips_per_capita", "member_trips_per_capita", "casual_trips_per_capita",
         "mobility_penetration_rate")
@@ -401,8 +398,8 @@ FROM county_mobility m LEFT JOIN temporal_patterns tp ON m.county_fips = tp.coun
 def j10(spark, d):
     t = views.trips(spark, d)
     b = views.boundaries(spark, d)
-    mob = county_mobility(t, b).select("county_fips", "total_trips")
-    tp = features.temporal_patterns(enriched_trips(t, b)).select(
+    mob = context(spark, d).county_mobility().select("county_fips", "total_trips")
+    tp = features.temporal_patterns(context(spark, d).enriched_trips()).select(
         "county_fips", "peak_hour_ratio", "weekend_ratio", "night_trips_ratio")
     return mob.join(tp, "county_fips", "left")
 
@@ -412,7 +409,7 @@ SELECT m.county_fips, m.total_trips, m.member_ratio, s.spending_restaurants, s.s
 FROM county_mobility m JOIN spend_pivot s ON m.county_fips = s.county_fips""",
           ("member_ratio", ("spending_restaurants", _BIG), ("spending_retail", _BIG)))
 def j01(spark, d):
-    mob = county_mobility(views.trips(spark, d), views.boundaries(spark, d)).select(
+    mob = context(spark, d).county_mobility().select(
         "county_fips", "total_trips", "member_ratio")
     piv = spending.pivot_spending(views.spending(spark, d)).select(
         "county_fips", "spending_restaurants", "spending_retail")

@@ -10,6 +10,7 @@ from tessera.operators import spatial
 from tessera.operators.neighbors import knn_join
 from tessera.oracle.views import cte, haversine, with_
 from tessera.plans.flagship import enriched_trips
+from tessera.plans.context import context
 from tessera.plans.registry import register
 from tessera.sources import views
 
@@ -161,7 +162,7 @@ def g12(spark, d):
 
 @register("g13_assign_nearest_county", with_("nearest") + "SELECT station_id, county_fips FROM nearest")
 def g13(spark, d):
-    prepared = spatial.prepare_boundaries(views.boundaries(spark, d)).persist()
+    prepared = context(spark, d).prepared()
     st = spatial.extract_stations(views.trips(spark, d)).persist()
     inside = spatial.points_in_polygons(st, prepared)
     return spatial.nearest_centroid(st.join(inside, "station_id", "left_anti"), prepared)
@@ -169,7 +170,7 @@ def g13(spark, d):
 
 @register("g14_assign_stations_to_counties", with_("assigned") + "SELECT * FROM assigned", ("lat", "lng"))
 def g14(spark, d):
-    prepared = spatial.prepare_boundaries(views.boundaries(spark, d)).persist()
+    prepared = context(spark, d).prepared()
     st = spatial.extract_stations(views.trips(spark, d))
     return spatial.assign_stations(st, prepared)
 
@@ -178,7 +179,7 @@ def g14(spark, d):
 SELECT trip_id, start_station_id, end_station_id, start_county_fips, end_county_fips, county_fips,
        is_inter_county FROM trips_enriched""")
 def g15(spark, d):
-    return enriched_trips(views.trips(spark, d), views.boundaries(spark, d)).select(
+    return context(spark, d).enriched_trips().select(
         "trip_id", "start_station_id", "end_station_id", "start_county_fips", "end_county_fips",
         "county_fips", "is_inter_county")
 
@@ -194,9 +195,8 @@ def g16(spark, d):
 
 @register("j03_lookup_join_station_map", with_("station_map") + "SELECT * FROM station_map")
 def j03(spark, d):
-    prepared = spatial.prepare_boundaries(views.boundaries(spark, d)).persist()
-    st = spatial.extract_stations(views.trips(spark, d))
-    return spatial.station_county_map(spatial.assign_stations(st, prepared))
+    prepared = context(spark, d).prepared()
+    return spatial.station_county_map(context(spark, d).assigned())
 
 
 @register("j08_knn_self_join", with_("stations") + """
@@ -221,9 +221,8 @@ def j08(spark, d):
 SELECT county_fips, county_name FROM bnd
 WHERE county_fips NOT IN (SELECT county_fips FROM assigned WHERE county_fips IS NOT NULL)""")
 def j11(spark, d):
-    prepared = spatial.prepare_boundaries(views.boundaries(spark, d)).persist()
-    st = spatial.extract_stations(views.trips(spark, d))
-    a = spatial.assign_stations(st, prepared).where(F.col("county_fips").isNotNull())
+    prepared = context(spark, d).prepared()
+    a = context(spark, d).assigned().where(F.col("county_fips").isNotNull())
     return prepared.select("county_fips", "county_name").join(a.select("county_fips"), "county_fips", "left_anti")
 
 

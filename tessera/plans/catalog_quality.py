@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import quality, spatial
 from tessera.oracle.views import cte, with_
+from tessera.plans.context import context
 from tessera.plans.registry import register
 from tessera.sources import views
 
@@ -219,9 +220,8 @@ SELECT count(*) AS total_stations, count_if(county_fips IS NULL) AS unassigned_s
          AND count_if(coalesce(lat < -90 OR lat > 90 OR lng < -180 OR lng > 180, false)) = 0 AS passed
 FROM assigned""", ("stations_per_county_mean",))
 def b19(spark, d):
-    prepared = spatial.prepare_boundaries(views.boundaries(spark, d)).persist()
-    st = spatial.extract_stations(views.trips(spark, d))
-    return quality.spatial_validation(spatial.assign_stations(st, prepared), prepared)
+    prepared = context(spark, d).prepared()
+    return quality.spatial_validation(context(spark, d).assigned(), prepared)
 
 
 @register("b20_detect_outliers_iqr", with_("spending") + """

@@ -81,4 +81,4 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the catalogue modules fills REGISTRY.
     from tessera.plans import (  # noqa: F401
-        catalog_features, catalog_geo, catalog_quality, catalog_spatial)
+        catalog_cluster, catalog_features, catalog_geo, catalog_quality, catalog_spatial)
