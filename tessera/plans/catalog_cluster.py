@@ -15,14 +15,15 @@ from tessera.plans.registry import register
 from tessera.sources import views
 
 # Features profiled and clustered per county (mobility + spending mix).
-CLUSTER_FEATURES = [
+MOBILITY_PART = [
     "total_trips", "avg_trip_duration_minutes", "avg_trip_distance_km", "member_ratio",
-    "inter_county_ratio", "peak_hour_ratio", "weekend_ratio", "night_trips_ratio",
+    "inter_county_ratio", "peak_hour_ratio", "weekend_ratio", "night_trips_ratio", "seasonal_variation",
+]
+SPENDING_PART = [
     "total_spending", "spending_pct_restaurants", "spending_pct_retail", "spending_pct_entertainment",
     "discretionary_ratio", "spending_diversity",
 ]
-MOBILITY_PART = CLUSTER_FEATURES[:8]
-SPENDING_PART = CLUSTER_FEATURES[8:]
+CLUSTER_FEATURES = MOBILITY_PART + SPENDING_PART
 
 
 def county_features(spark, d):
