@@ -16,6 +16,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 
 def _cell_size(targets: DataFrame, k: int) -> float:
     """Cell edge so that the target extent holds about n/k... cells.
@@ -30,10 +32,13 @@ def _cell_size(targets: DataFrame, k: int) -> float:
     n, w, h = int(row["n"] or 0), float(row["w"] or 0.0), float(row["h"] or 0.0)
     if n == 0:
         return 1.0
-    area = max(w, 1e-9) * max(h, 1e-9)
     per_cell = max(k, 4)
-    cell = math.sqrt(area * per_cell / n)
-    return max(cell, 1e-6)
+    side = max(w, h)
+    if min(w, h) > 0:
+        cell = math.sqrt(w * h * per_cell / n)
+    else:  # points on a line: spread the cells along it
+        cell = side * per_cell / n
+    return max(cell, side / 1024.0, 1e-6)
 
 
 def knn_join(points: DataFrame, targets: DataFrame, k: int, *,
@@ -57,11 +62,13 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, *,
         return spark.createDataFrame([], "pid long, tid long, dist double, rank int")
     gx0, gx1, gy0, gy1 = (int(v) for v in g)
 
-    pending = (points.select("pid", F.col("x").cast("double").alias("px"),
-                             F.col("y").cast("double").alias("py"))
-               .withColumn("pcx", F.floor(F.col("px") / cell))
-               .withColumn("pcy", F.floor(F.col("py") / cell))
-               .persist())
+    # Every round's small tables (unresolved points, resolved ids, results)
+    # are checkpointed: the next round's plan then starts from a scan
+    # instead of re-deriving (and re-planning) all previous rounds.
+    pending = cut_lineage(points.select("pid", F.col("x").cast("double").alias("px"),
+                                        F.col("y").cast("double").alias("py"))
+                          .withColumn("pcx", F.floor(F.col("px") / cell))
+                          .withColumn("pcy", F.floor(F.col("py") / cell)))
     done: list[DataFrame] = []
     radius = 1
     while True:
@@ -88,14 +95,12 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, *,
         stat = top.groupBy("pid").agg(
             F.count("tid").alias("m"), F.max("dist").alias("kth"), F.first("covers").alias("covers"))
         ok = stat.where(((F.col("m") == k) & (F.col("kth") < F.lit(radius * cell))) | F.col("covers"))
-        ok = ok.select("pid").persist()
-        res = (top.join(ok, "pid", "left_semi").where(F.col("tid").isNotNull())
-               .select("pid", "tid", "dist", F.col("rank").cast("int").alias("rank")))
-        done.append(res.persist())
-        res.count()
-        nxt = pending.join(ok, "pid", "left_anti").persist()
+        ok = cut_lineage(ok.select("pid"))
+        res = cut_lineage(top.join(ok, "pid", "left_semi").where(F.col("tid").isNotNull())
+                          .select("pid", "tid", "dist", F.col("rank").cast("int").alias("rank")))
+        done.append(res)
+        nxt = cut_lineage(pending.join(ok, "pid", "left_anti"))
         left = nxt.count()
-        pending.unpersist()
         pending = nxt
         if left == 0:
             break
