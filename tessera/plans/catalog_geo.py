@@ -300,3 +300,16 @@ SELECT event_id, ts, date_trunc('hour', ts) AS time_window FROM events""")
 def w05(spark, d):
     e = views.events(spark, d).select("event_id", "ts")
     return e.withColumn("time_window", temporal.time_window("ts", "1 hour"))
+
+
+@register("w05_stream_hourly_windows", """
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, avg(value) AS avg_value
+FROM events GROUP BY 1, 2""", ("avg_value",))
+def w05s(spark, d):
+    """W05 as Structured Streaming: watermarked hourly windows over the
+    events files, run with availableNow; equals the batch aggregate."""
+    import uuid
+
+    from tessera.streaming.windows import run_hourly_stream, stream_paths
+    out, ck = stream_paths(spark, "w05-" + uuid.uuid4().hex[:8])
+    return run_hourly_stream(spark, f"{d.rstrip('/')}/events*.parquet", out, ck)
