@@ -353,3 +353,29 @@ SELECT count_if(cluster = -1) AS n_outliers, count_if(cluster = -1) * 100.0 / co
           ("outlier_percentage",))
 def k12s(spark, d):
     return metrics.outlier_summary(_labels(spark, d), "county_fips")
+
+
+@register("p03_yeo_johnson_lambdas")
+def p03(spark, d):
+    """Maximum-likelihood Yeo-Johnson λ per skewed county feature."""
+    long = raw_long(spark, d)
+    skewed = [r[0] for r in prep.skewness(long).where("skewed").select("feature").collect()]
+    return prep.fit_yeo_johnson(long.where(F.col("feature").isin(*skewed)))
+
+
+@register("p07_composite_indices")
+def p07(spark, d):
+    """PCA composite indices (mobility / spending / temporal) with the
+    explained-variance ratio of each component."""
+    from tessera.plans.pipeline import composite_indices
+    scores, var = composite_indices(cluster_matrix(spark, d), "county_fips")
+    return scores.join(var, ["index", "component"])
+
+
+@register("e09_create_feature_pipeline")
+def e09(spark, d):
+    """E04 ⋈ E08 → skew → Yeo-Johnson → correlation pruning → scaling → PCA;
+    returns the step log (feature counts per step)."""
+    from tessera.plans.pipeline import feature_pipeline
+    _, _, steps = feature_pipeline(county_features(spark, d), "county_fips", CLUSTER_FEATURES)
+    return steps
