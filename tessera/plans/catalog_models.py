@@ -133,3 +133,14 @@ def r08(spark, d):
 def r09(spark, d):
     res = R.train_spending_predictor(_prediction_data(spark, d), "random_forest")
     return R.prediction_drivers(res["importance"])
+
+
+@register("k02_density_clustering_stations")
+def k02(spark, d):
+    """Density clustering of station locations (min_cluster_size 5,
+    min_samples 3, ε = median core distance): cluster, membership and
+    outlier score per station."""
+    from tessera.operators.density import density_clusters
+    st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
+                                              F.col("lat").alias("y"))
+    return density_clusters(st, 5, 3).withColumnRenamed("pid", "station_id")

@@ -139,3 +139,27 @@ def test_persona_rules(spark):
                                  (1, "c", 0.2)], "cluster int, feature string, z_score double")
     eff = {r.cluster: r.targeting_effectiveness for r in personas.targeting_effectiveness(top).collect()}
     assert eff[0] > 0.8 and eff[1] < 0.5
+
+
+def test_density_clusters_two_blobs(spark):
+    from tessera.operators.density import density_clusters
+    rng = np.random.default_rng(5)
+    a = rng.normal([0, 0], 0.1, (20, 2))
+    b = rng.normal([5, 5], 0.1, (20, 2))
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([a, b, [[20.0, -20.0]]]))]
+    df = spark.createDataFrame(pts, "pid long, x double, y double")
+    res = {r.pid: r.cluster for r in density_clusters(df, 5, 3).collect()}
+    assert len({res[i] for i in range(20)}) == 1 and len({res[i] for i in range(20, 40)}) == 1
+    assert res[0] != res[20] and res[0] >= 0 and res[20] >= 0
+    assert res[40] == -1
+
+
+def test_stream_equals_batch(spark):
+    import uuid
+    from tessera.streaming.windows import hourly_window_counts, run_hourly_stream, stream_paths
+    src = "/root/testdata/sf0.001/events*.parquet"
+    out, ck = stream_paths(spark, "test-" + uuid.uuid4().hex[:6])
+    streamed = run_hourly_stream(spark, src, out, ck)
+    batch = hourly_window_counts(spark.read.parquet(src))
+    assert streamed.count() == batch.count()
+    assert streamed.exceptAll(batch).count() == 0
