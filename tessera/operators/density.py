@@ -92,3 +92,57 @@ def density_clusters(points: DataFrame, min_cluster_size: int = 5, min_samples:
             .withColumn("membership", F.when(F.col("cluster") >= 0, F.col("cmin") / F.col("core")).otherwise(0.0))
             .withColumn("outlier_score", F.greatest(F.lit(0.0), 1 - F.lit(float(eps)) / F.col("core")))
             .select("pid", "cluster", "membership", "outlier_score"))
+
+
+# The reference's tuning grid.
+TUNING_GRID = {"min_cluster_size": [50, 100, 150], "min_samples": [25, 50, 75],
+               "cluster_selection_epsilon": [0.0, 0.1, 0.2]}
+
+
+def _cut(pts: DataFrame, nn: DataFrame, min_cluster_size: int, min_samples: int, eps_floor: float) -> DataFrame:
+    k_core = max(min_samples - 1, 1)
+    core = cut_lineage(nn.where(F.col("rank") <= k_core).groupBy("pid").agg(F.max("dist").alias("core")))
+    eps = max(eps_floor, 3.0 * (core.select(F.median("core")).first()[0] or 0.0))
+    e = (nn.join(core.withColumnRenamed("core", "ca"), "pid")
+         .join(core.select(F.col("pid").alias("tid"), F.col("core").alias("cb")), "tid")
+         .where(F.greatest("dist", "ca", "cb") <= eps)
+         .select(F.col("pid").alias("src"), F.col("tid").alias("dst")))
+    dense = core.where(F.col("core") <= eps).select("pid")
+    comp = connected_components(dense, e)
+    big = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_cluster_size)
+    ranked = big.withColumn("cluster", F.dense_rank().over(Window.orderBy("component")) - 1)
+    lab = comp.join(ranked.select("component", "cluster"), "component")
+    return (pts.select("pid").join(lab.select("pid", "cluster"), "pid", "left")
+            .withColumn("cluster", F.coalesce(F.col("cluster"), F.lit(-1)).cast("int")))
+
+
+def tune_density(points: DataFrame, grid: dict | None = None) -> DataFrame:
+    """Every grid point's clusters, outliers and non-noise silhouette
+    (squared Euclidean); ``best`` marks the highest silhouette among
+    settings with ≥ 2 clusters.  One kNN join (the largest k) serves every
+    min_samples value."""
+    from tessera.operators.metrics import silhouette_sq
+    from tessera.operators.prep import to_long
+    grid = grid or TUNING_GRID
+    spark = points.sparkSession
+    pts = cut_lineage(points.select("pid", "x", "y"))
+    k_graph = max(2 * max(grid["min_samples"]), 10)
+    nn = cut_lineage(knn_join(pts, pts.withColumnRenamed("pid", "tid"), k_graph, exclude_self=True))
+    long = to_long(pts, "pid", ["x", "y"])
+    rows = []
+    for mcs in grid["min_cluster_size"]:
+        for ms in grid["min_samples"]:
+            for eps in grid["cluster_selection_epsilon"]:
+                lab = _cut(pts, nn, mcs, ms, eps)
+                st = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
+                             F.count_if(F.col("cluster") == -1).alias("noise")).first()
+                sil = None
+                if st["k"] >= 2:
+                    sil = silhouette_sq(long, lab, "pid").first()[0]
+                rows.append((mcs, ms, float(eps), int(st["k"]), int(st["noise"]), sil))
+    valid = [r for r in rows if r[5] is not None]
+    best = max(valid, key=lambda r: r[5]) if valid else None
+    return spark.createDataFrame(
+        [(*r, r == best) for r in rows],
+        "min_cluster_size int, min_samples int, cluster_selection_epsilon double, n_clusters int, "
+        "n_outliers int, silhouette double, best boolean")

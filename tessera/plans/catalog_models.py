@@ -144,3 +144,13 @@ def k02(spark, d):
     st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
                                               F.col("lat").alias("y"))
     return density_clusters(st, 5, 3).withColumnRenamed("pid", "station_id")
+
+
+@register("k06_density_tuning_stations")
+def k06(spark, d):
+    """The reference's 27-point tuning grid for density clustering of
+    station locations."""
+    from tessera.operators.density import tune_density
+    st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
+                                              F.col("lat").alias("y"))
+    return tune_density(st)
