@@ -154,3 +154,29 @@ def k06(spark, d):
     st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
                                               F.col("lat").alias("y"))
     return tune_density(st)
+
+
+@register("k14_complete_clustering_analysis")
+def k14(spark, d):
+    """Every algorithm's run as one status row (a failing algorithm
+    becomes a status row, not an exception): K-Means on the county matrix
+    and density clustering on station locations."""
+    from tessera.operators.density import density_clusters
+    rows = []
+    try:
+        table, assign = C.kmeans_search(county_vectors(spark, d), (2, 10), 3)
+        best = table.where("best").first()
+        rows.append(("kmeans", "ok", int(best["k"]), 0, float(best["silhouette"]), None))
+    except Exception as e:  # noqa: BLE001 - reported as a status row
+        rows.append(("kmeans", "error", None, None, None, str(e)[:200]))
+    try:
+        st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
+                                                  F.col("lat").alias("y"))
+        lab = density_clusters(st, 5, 3)
+        s = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
+                    F.count_if(F.col("cluster") == -1).alias("noise")).first()
+        rows.append(("density", "ok", int(s["k"]), int(s["noise"]), None, None))
+    except Exception as e:  # noqa: BLE001
+        rows.append(("density", "error", None, None, None, str(e)[:200]))
+    return spark.createDataFrame(rows, "algorithm string, status string, n_clusters int, n_outliers int, "
+                                       "silhouette double, error string")

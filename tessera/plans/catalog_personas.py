@@ -547,3 +547,44 @@ def f16(spark, d):
     return o.select("opportunity_type", text.list_join(F.col("target_segments")).alias("segments_joined"),
                     text.list_join(text.list_head(F.col("key_metrics"), 3)).alias("first_metrics"),
                     text.text_head(F.col("description"), 150).alias("description_head"))
+
+
+@register("o07_generate_market_insights")
+def o07(spark, d):
+    """One nested record: overview, persona distribution, seasonal
+    patterns, opportunities, recommendations, risks and key insights."""
+    p = persona_table(spark, d)
+    o = opportunity_table(spark, d)
+    ov = P.market_overview(p)
+    dist = P.population_by_type(p).agg(F.map_from_entries(F.collect_list(
+        F.struct("persona_type", "population"))).alias("persona_distribution"))
+    seas = P.seasonal_patterns(p).agg(F.map_from_entries(F.collect_list(
+        F.struct("season", F.struct("avg_multiplier", "variation")))).alias("seasonal_patterns"))
+    opps = o.agg(F.transform(F.array_sort(F.collect_list(F.struct(
+        "rule_order", "opportunity_type", "description", "estimated_market_size", "expected_roi",
+        "implementation_timeline"))), lambda s: s.dropFields("rule_order")).alias("business_opportunities"))
+    rec = P.recommendations(p).agg(F.collect_list("recommendation").alias("strategic_recommendations"))
+    risk = P.risks(p).agg(F.collect_list("risk").alias("risk_assessment"))
+    ins = P.key_insights(p).select(F.struct("*").alias("key_insights"))
+    return ov.select(
+        F.struct("*").alias("market_overview"),
+        dist.select("persona_distribution").scalar().alias("persona_distribution"),
+        seas.select("seasonal_patterns").scalar().alias("seasonal_patterns"),
+        opps.select("business_opportunities").scalar().alias("business_opportunities"),
+        rec.select("strategic_recommendations").scalar().alias("strategic_recommendations"),
+        risk.select("risk_assessment").scalar().alias("risk_assessment"),
+        ins.select("key_insights").scalar().alias("key_insights"))
+
+
+@register("a12_export_business_intelligence")
+def a12(spark, d):
+    """Personas, opportunities and insights written as JSON under the
+    session's shared folder, read back (the files are the output)."""
+    import uuid
+
+    from tessera.sources import io
+    base = io.scratch_path(spark, "bi-" + uuid.uuid4().hex[:8])
+    io.export_json(persona_table(spark, d).withColumn("seasonal_trends", F.to_json("seasonal_trends")),
+                   base + "/personas")
+    io.export_json(opportunity_table(spark, d), base + "/opportunities")
+    return spark.read.json(base + "/personas").select("persona_id", "persona_name", "market_value")
