@@ -21,16 +21,21 @@ def col(x) -> Column:
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                      probs: dict[str, float]) -> DataFrame:
+                      probs: dict[str, float], count_col: str | None = None) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys``; nulls ignored.
 
     Returns ``keys`` + one DOUBLE column per entry of ``probs``
     (output name → probability).  Groups with only nulls are absent.
+    ``count_col`` names a multiplicity column when ``df`` is already a
+    (keys, value, count) table.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    counts = (df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    if count_col is None:
+        counts = (df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
+                  .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    else:
+        counts = df.select(*keys, v.alias("_v"), F.col(count_col).alias("_c")).where(F.col("_v").isNotNull())
     part = Window.partitionBy(*keys) if keys else Window.partitionBy()
     running = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (counts.withColumn("_cum", F.sum("_c").over(running))

@@ -183,34 +183,64 @@ def add_trip_metrics(trips: DataFrame) -> DataFrame:
                         F.try_divide(F.col("trip_distance_km"), F.col("trip_duration_minutes") / 60.0)))
 
 
+_H01_METRICS = ["trip", "duration", "distance", "speed", "member", "inter"]
+
+
 def county_aggregation(trips: DataFrame) -> DataFrame:
     """Per-county trip statistics (null counties dropped as in pandas).
 
-    Means, standard deviations and counts are one partial aggregate; the
-    exact medians come from ``grouped_quantiles`` (distinct-value counts),
-    and both are joined on the county key.
+    One pass over the trips: each trip becomes (county, metric, value)
+    rows for its duration, distance, speed and 0/1 member / inter-county
+    flags, and a map-side partial aggregate compresses them to value
+    counts.  Counts, means, sample standard deviations (centred second
+    pass over the compressed table) and exact medians (running counts)
+    all derive from that one table, so the trips — and the join that
+    produces them — are read once, and a county holding a third of all
+    trips costs one row per distinct value.
     """
-    t = trips.where(F.col("county_fips").isNotNull()).select(
-        "county_fips", "trip_id", "trip_duration_minutes", "trip_distance_km",
-        "trip_speed_kmh", "is_inter_county", "member_type")
-    base = t.groupBy("county_fips").agg(
-        F.count("trip_id").alias("total_trips"),
-        F.avg("trip_duration_minutes").alias("avg_trip_duration_minutes"),
-        F.stddev_samp("trip_duration_minutes").alias("std_trip_duration_minutes"),
-        F.avg("trip_distance_km").alias("avg_trip_distance_km"),
-        F.stddev_samp("trip_distance_km").alias("std_trip_distance_km"),
-        F.avg("trip_speed_kmh").alias("avg_trip_speed_kmh"),
-        F.count_if(F.col("is_inter_county")).alias("inter_county_trips"),
-        F.count_if(F.col("member_type") == "member").alias("member_trips"),
-    )
-    meds = None
-    for src, name in (("trip_duration_minutes", "median_trip_duration_minutes"),
-                      ("trip_distance_km", "median_trip_distance_km"),
-                      ("trip_speed_kmh", "median_trip_speed_kmh")):
-        q = grouped_quantiles(t, ["county_fips"], src, {name: 0.5})
-        meds = q if meds is None else meds.join(q, "county_fips", "full")
-    out = base.join(meds, "county_fips", "left")
-    return out.select(
+    t = trips.where(F.col("county_fips").isNotNull())
+    m = F.explode(F.array(
+        F.struct(F.lit("trip").alias("metric"), F.when(F.col("trip_id").isNotNull(), F.lit(1.0)).alias("value")),
+        F.struct(F.lit("duration").alias("metric"), F.col("trip_duration_minutes").cast("double").alias("value")),
+        F.struct(F.lit("distance").alias("metric"), F.col("trip_distance_km").cast("double").alias("value")),
+        F.struct(F.lit("speed").alias("metric"), F.col("trip_speed_kmh").cast("double").alias("value")),
+        F.struct(F.lit("member").alias("metric"),
+                 F.coalesce(F.col("member_type") == "member", F.lit(False)).cast("double").alias("value")),
+        F.struct(F.lit("inter").alias("metric"),
+                 F.coalesce(F.col("is_inter_county"), F.lit(False)).cast("double").alias("value"))))
+    vc = (t.select("county_fips", m.alias("m")).select("county_fips", "m.metric", "m.value")
+          .where(F.col("value").isNotNull())
+          .groupBy("county_fips", "metric", "value").agg(F.count(F.lit(1)).alias("c")))
+    mom = vc.groupBy("county_fips", "metric").agg(
+        F.sum("c").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"),
+        F.sum(F.when(F.col("value") > 0, F.col("c")).otherwise(0)).alias("positives"))
+    dev = (vc.join(mom.select("county_fips", "metric", "mean"), ["county_fips", "metric"])
+           .groupBy("county_fips", "metric")
+           .agg(F.sum(F.col("c") * (F.col("value") - F.col("mean")) ** 2).alias("m2")))
+    med = grouped_quantiles(vc.where(F.col("metric").isin("duration", "distance", "speed")),
+                            ["county_fips", "metric"], "value", {"median": 0.5}, count_col="c")
+    s = (mom.join(dev, ["county_fips", "metric"]).join(med, ["county_fips", "metric"], "left")
+         .withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))))
+
+    def pick(metric, col):
+        return F.max(F.when(F.col("metric") == metric, F.col(col)))
+
+    wide = s.groupBy("county_fips").agg(
+        pick("trip", "n").alias("total_trips"),
+        pick("duration", "mean").alias("avg_trip_duration_minutes"),
+        pick("duration", "median").alias("median_trip_duration_minutes"),
+        pick("duration", "std").alias("std_trip_duration_minutes"),
+        pick("distance", "mean").alias("avg_trip_distance_km"),
+        pick("distance", "median").alias("median_trip_distance_km"),
+        pick("distance", "std").alias("std_trip_distance_km"),
+        pick("speed", "mean").alias("avg_trip_speed_kmh"),
+        pick("speed", "median").alias("median_trip_speed_kmh"),
+        pick("inter", "positives").alias("inter_county_trips"),
+        pick("member", "positives").alias("member_trips"))
+    wide = wide.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                         if c in ("total_trips", "inter_county_trips", "member_trips") else F.col(c)
+                         for c in wide.columns])
+    return wide.select(
         "county_fips", "total_trips",
         "avg_trip_duration_minutes", "median_trip_duration_minutes", "std_trip_duration_minutes",
         "avg_trip_distance_km", "median_trip_distance_km", "std_trip_distance_km",
