@@ -314,3 +314,20 @@ SELECT * FROM demographics WHERE county_fips IN {_SET_SQL}""",
            "high_school_pct"))
 def a08(spark, d):
     return views.demographics(spark, d).where(F.col("county_fips").isin(*COUNTY_SET)).drop("population_density")
+
+
+@register("a14_spatial_visualization_data", with_("assigned", "bnd") + """
+SELECT 'station' AS layer, CAST(station_id AS VARCHAR) AS id, lat, lng, county_fips, CAST(trip_count AS BIGINT) AS size
+FROM assigned
+UNION ALL SELECT 'boundary', county_fips, centroid_lat, centroid_lng, county_fips, CAST(0 AS BIGINT) FROM bnd""", ("lat", "lng"))
+def a14(spark, d):
+    """Station markers and boundary centroids for a map as one table
+    (layer, id, lat, lng, county, size; 0 for boundaries) instead of a single
+    collected list."""
+    ctx = context(spark, d)
+    st = ctx.assigned().select(F.lit("station").alias("layer"), F.col("station_id").cast("string").alias("id"),
+                               "lat", "lng", "county_fips", F.col("trip_count").cast("long").alias("size"))
+    b = ctx.prepared().select(F.lit("boundary").alias("layer"), F.col("county_fips").alias("id"),
+                              F.col("centroid_lat").alias("lat"), F.col("centroid_lng").alias("lng"), "county_fips",
+                              F.lit(0).cast("long").alias("size"))
+    return st.unionByName(b)
