@@ -78,7 +78,12 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
     key = (spark.sparkContext.applicationId, id(data), kind)
     if key in _MODELS:
         return _MODELS[key]
-    folded = _design(time_series_folds(data)).persist()
+    folded = _design(time_series_folds(data))
+    # The training table is one row per area × month; tree learners pay a
+    # Spark job per iteration, so tasks are sized to ~200k rows each rather
+    # than spread over the default shuffle partitions.
+    n_rows = folded.count()
+    folded = folded.repartition(max(1, n_rows // 200_000)).persist()
     n_folds = int(folded.select(F.max("test_fold")).first()[0]) + 1
     grid = GRIDS[kind]
     combos = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
