@@ -1,11 +1,11 @@
 """Statistical building blocks shared by the operators.
 
 ``grouped_quantiles`` gives exact, pandas-compatible (linear interpolation)
-quantiles per group without gathering a group's rows into one buffer: rows
+quantiles per group without gathering a group's rows into one task: rows
 are first reduced to (group, value, count) with a map-side partial
-aggregate, then a running count per group locates the two order
-statistics around each requested rank.  A hot group therefore costs one
-row per *distinct* value, not per input row.
+aggregate; a bucket histogram per group locates the bucket of each target
+rank, and only those buckets' values are ranked, in windows partitioned by
+(group, bucket).
 """
 
 from __future__ import annotations
@@ -20,23 +20,81 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+WINDOW_MAX_ROWS = 1_000_000  # distinct values one ranking task may hold
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                      probs: dict[str, float], count_col: str | None = None) -> DataFrame:
+                      probs: dict[str, float], count_col: str | None = None,
+                      buckets: int = 4096, max_window_rows: int | None = WINDOW_MAX_ROWS) -> DataFrame:
     """Exact quantiles of ``value`` per ``keys``; nulls ignored.
 
     Returns ``keys`` + one DOUBLE column per entry of ``probs``
-    (output name → probability).  Groups with only nulls are absent.
-    ``count_col`` names a multiplicity column when ``df`` is already a
-    (keys, value, count) table.
+    (output name → probability), interpolated linearly between order
+    statistics like pandas / ``percentile``.  Groups with only nulls are
+    absent.  ``count_col`` names a multiplicity column when ``df`` is
+    already a (keys, value, count) table.
+
+    Two-level exact selection, so no task ever holds a whole group:
+    (1) each group's value range is cut into ``buckets`` equal-width
+    buckets and a running count over the bucket histogram (≤ ``buckets``
+    rows per group) locates the bucket holding each target rank; (2) only
+    the rows of those buckets are ranked, in windows partitioned by
+    (group, bucket).
     """
     keys = list(keys)
+    global_ = not keys
+    if global_:  # one constant group: every join below stays an equi-join
+        df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
     v = F.col(value).cast("double")
     if count_col is None:
         counts = (df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
                   .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     else:
         counts = df.select(*keys, v.alias("_v"), F.col(count_col).alias("_c")).where(F.col("_v").isNotNull())
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    part = Window.partitionBy(*keys)
+    if max_window_rows is not None:
+        widest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).select(F.max("_d")).first()[0] or 0
+        if widest <= max_window_rows:
+            out = _single_level(counts, keys, probs, part)
+            return out.drop("_g") if global_ else out
+    rng = counts.groupBy(*keys).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_c").alias("_n"))
+    bucket = F.when(F.col("_mx") > F.col("_mn"), F.least(
+        F.floor((F.col("_v") - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * buckets), F.lit(buckets - 1))
+    ).otherwise(F.lit(0))
+    cb = counts.join(rng.select(*keys, "_mn", "_mx"), keys).withColumn("_b", bucket.cast("long"))
+    hist = cb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_hc"))
+    hist = hist.withColumn("_hcum", F.sum("_hc").over(
+        part.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hist = hist.withColumn("_hprev", F.col("_hcum") - F.col("_hc"))
+    tgt = []
+    for i, (name, p) in enumerate(probs.items()):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        for which, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            tgt.append(F.struct(F.lit(i).alias("_q"), F.lit(which).alias("_w"), r.cast("long").alias("_r"),
+                                (h - F.floor(h)).alias("_f")))
+    targets = rng.select(*keys, F.explode(F.array(*tgt)).alias("t")).select(*keys, "t.*")
+    tb = targets.join(hist, keys).where(
+        (F.col("_hprev") <= F.col("_r")) & (F.col("_r") < F.col("_hcum")))
+    need = tb.select(*keys, "_b").distinct()
+    sub = cb.join(need, keys + ["_b"], "left_semi")
+    sub = sub.withColumn("_cum", F.sum("_c").over(
+        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    picked = (tb.join(sub.select(*keys, "_b", "_v", "_cum"), keys + ["_b"])
+              .where(F.col("_cum") > F.col("_r") - F.col("_hprev"))
+              .groupBy(*keys, "_q", "_w").agg(F.min("_v").alias("_x"), F.first("_f").alias("_f")))
+    aggs = []
+    for i, name in enumerate(probs):
+        lo = F.max(F.when((F.col("_q") == i) & (F.col("_w") == "lo"), F.col("_x")))
+        hi = F.max(F.when((F.col("_q") == i) & (F.col("_w") == "hi"), F.col("_x")))
+        fr = F.max(F.when(F.col("_q") == i, F.col("_f")))
+        aggs.append((lo + fr * (hi - lo)).alias(name))
+    out = picked.groupBy(*keys).agg(*aggs)
+    return out.drop("_g") if global_ else out
+
+
+def _single_level(counts: DataFrame, keys: list[str], probs: dict[str, float], part) -> DataFrame:
+    """Running count per group over (value, count) rows, bounded by the
+    group's number of distinct values."""
     running = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (counts.withColumn("_cum", F.sum("_c").over(running))
               .withColumn("_n", F.sum("_c").over(part)))
@@ -46,11 +104,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         lo, hi = F.floor(h), F.ceil(h)
         x_lo = F.min(F.when(F.col("_cum") > lo, F.col("_v")))
         x_hi = F.min(F.when(F.col("_cum") > hi, F.col("_v")))
-        frac = F.first(h - lo)
-        aggs.append((x_lo + frac * (x_hi - x_lo)).alias(name))
-    if keys:
-        return ranked.groupBy(*keys).agg(*aggs)
-    return ranked.agg(*aggs)
+        aggs.append((x_lo + F.first(h - lo) * (x_hi - x_lo)).alias(name))
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def corr_from_sums(x, y) -> Column:

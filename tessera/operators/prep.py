@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.stats import grouped_quantiles, skew_adjusted
+from tessera.session import cut_lineage
 
 
 def to_long(df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
@@ -78,7 +79,8 @@ def normalize(long: DataFrame, method: str = "standard") -> tuple[DataFrame, Dat
         p = long.groupBy("feature").agg(F.min("value").alias("a"),
                                         (F.max("value") - F.min("value")).alias("b"))
     elif method == "robust":
-        med = grouped_quantiles(long, ["feature"], "value", {"a": 0.5})
+        # One row per feature; cut so the MAD pass plans on a small scan.
+        med = cut_lineage(grouped_quantiles(long, ["feature"], "value", {"a": 0.5}))
         dev = (long.join(F.broadcast(med), "feature")
                .withColumn("dev", F.abs(F.col("value") - F.col("a"))))
         mad = grouped_quantiles(dev, ["feature"], "dev", {"b": 0.5})
