@@ -65,7 +65,7 @@ def add_volume_intensity(df: DataFrame) -> DataFrame:
 def add_per_capita_mobility(df: DataFrame, population: DataFrame) -> DataFrame:
     """Trips, member and casual trips per 1000 people (latest year);
     penetration = min(trips_per_capita / 10, 1)."""
-    out = df.join(F.broadcast(latest_population(population)), "county_fips", "left")
+    out = df.join(latest_population(population), "county_fips", "left")
     pc = lambda c: F.try_divide(F.col(c).cast("double"), F.col("population").cast("double")) * 1000
     out = (out.withColumn("trips_per_capita", pc("total_trips"))
            .withColumn("member_trips_per_capita", pc("member_trips"))

@@ -81,5 +81,5 @@ def geographic_privacy(df: DataFrame, min_rows: int = 1000, key: str = "county_f
     Sizes come from a grouped count (bounded by counties) joined back."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     small = sizes.where(F.col("_n") < min_rows).select(key, F.lit(True).alias("_small"))
-    return (df.join(F.broadcast(small), key, "left")
+    return (df.join(small, key, "left")
             .withColumn(key, F.when(F.col("_small"), F.lit("OTHER")).otherwise(F.col(key))).drop("_small"))

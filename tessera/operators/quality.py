@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import geo
+from tessera.functions.stats import grouped_quantiles
 
 # Fixed values that must equal the reference's results.
 TRIP_REQUIRED = ["trip_id", "start_time", "end_time", "start_station_id",
@@ -125,9 +126,11 @@ def duplicate_id_rule(df: DataFrame, id_col: str, dataset: str) -> DataFrame:
 def duration_stats(trips: DataFrame) -> DataFrame:
     """Mean, median, std (n-1), min, max of trip minutes."""
     d = trips.select(duration_minutes().alias("d"))
-    return d.agg(F.avg("d").alias("mean_minutes"), F.median("d").alias("median_minutes"),
-                 F.stddev_samp("d").alias("std_minutes"), F.min("d").alias("min_minutes"),
-                 F.max("d").alias("max_minutes"))
+    med = grouped_quantiles(d, [], "d", {"median_minutes": 0.5}, max_window_rows=None)
+    return d.agg(F.avg("d").alias("mean_minutes"), F.stddev_samp("d").alias("std_minutes"),
+                 F.min("d").alias("min_minutes"), F.max("d").alias("max_minutes")).select(
+        "mean_minutes", med.select("median_minutes").scalar().alias("median_minutes"), "std_minutes",
+        "min_minutes", "max_minutes")
 
 
 def fips_invalid(c: str = "county_fips") -> Column:
@@ -165,8 +168,10 @@ def spending_rules(spending: DataFrame, dataset: str = "spending") -> DataFrame:
 def spending_stats(spending: DataFrame) -> DataFrame:
     """Mean, median, std, min, max of spending_amount."""
     a = F.col("spending_amount")
-    return spending.agg(F.avg(a).alias("mean"), F.median(a).alias("median"),
-                        F.stddev_samp(a).alias("std"), F.min(a).alias("min"), F.max(a).alias("max"))
+    med = grouped_quantiles(spending, [], "spending_amount", {"median": 0.5}, max_window_rows=None)
+    return spending.agg(F.avg(a).alias("mean"), F.stddev_samp(a).alias("std"), F.min(a).alias("min"),
+                        F.max(a).alias("max")).select(
+        "mean", med.select("median").scalar().alias("median"), "std", "min", "max")
 
 
 def ring_valid(ring) -> Column:
@@ -296,10 +301,18 @@ def data_summary(df: DataFrame, top_n: int = 5) -> DataFrame:
             aggs.append(F.count_distinct(c).alias(f"{f.name}__nunique"))
         if f.name in numeric:
             x = c.cast("double")
-            aggs += [F.avg(x).alias(f"{f.name}__mean"), F.median(x).alias(f"{f.name}__median"),
+            aggs += [F.avg(x).alias(f"{f.name}__mean"),
                      F.stddev_samp(x).alias(f"{f.name}__std"), F.min(x).alias(f"{f.name}__min"),
                      F.max(x).alias(f"{f.name}__max")]
     wide = df.agg(*aggs)
+    if numeric:
+        # Medians of all numeric columns in one two-level selection keyed by column.
+        long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numeric]).unpivot(
+            [], numeric, "column_name", "v")
+        meds = grouped_quantiles(long, ["column_name"], "v", {"median": 0.5}, max_window_rows=None)
+        for c in numeric:
+            wide = wide.withColumn(f"{c}__median", meds.where(F.col("column_name") == c)
+                                   .select("median").scalar())
     rows = []
     for f in df.schema.fields:
         n = f.name

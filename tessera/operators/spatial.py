@@ -129,7 +129,7 @@ def nearest_centroid(points: DataFrame, prepared: DataFrame) -> DataFrame:
     pid = points.select(F.col("station_id").cast("long").alias("pid"),
                         F.col("lng").alias("x"), F.col("lat").alias("y"))
     nn = knn_join(pid, tg, 1)
-    return (nn.join(F.broadcast(codes), "tid")
+    return (nn.join(codes, "tid")
             .select(F.col("pid").alias("station_id"), "county_fips"))
 
 
@@ -147,7 +147,7 @@ def assign_stations(stations: DataFrame, prepared: DataFrame) -> DataFrame:
                 .unionByName(near.withColumn("assignment", F.lit("nearest_centroid"))))
     names = prepared.select("county_fips", "county_name")
     return (stations.join(assigned, "station_id", "left")
-            .join(F.broadcast(names), "county_fips", "left")
+            .join(names, "county_fips", "left")
             .select("station_id", "lat", "lng", "trip_count", "county_fips", "county_name",
                     "assignment"))
 

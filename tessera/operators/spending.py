@@ -171,7 +171,7 @@ def latest_population(population: DataFrame) -> DataFrame:
 def add_per_capita_spending(df: DataFrame, population: DataFrame,
                             categories: Sequence[str] = CATEGORIES) -> DataFrame:
     """Category amounts and total divided by latest population."""
-    out = df.join(F.broadcast(latest_population(population)), "county_fips", "left")
+    out = df.join(latest_population(population), "county_fips", "left")
     for c in categories:
         out = out.withColumn(f"spending_per_capita_{c}",
                              F.try_divide(F.col(f"spending_{c}"), F.col("population").cast("double")))

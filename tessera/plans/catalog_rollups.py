@@ -214,7 +214,7 @@ def a15(spark, d):
     region = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("city"))
     city = views.boundaries(spark, d).join(region, F.col("region_key") == F.col("r_regionkey")).select(
         "county_fips", "city")
-    t = ctx.enriched_trips().join(F.broadcast(city), "county_fips")
+    t = ctx.enriched_trips().join(city, "county_fips")
     return t.groupBy("city").agg(F.count(F.lit(1)).alias("trips"),
                                  F.count_distinct("start_station_id").alias("stations"))
 

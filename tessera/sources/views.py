@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
+from tessera.functions.stats import grouped_quantiles
 from tessera.sources.tables import table
 
 # Fixed values of the adapter (FIXTURES.md §3).
@@ -146,7 +147,7 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cust.select(fips(F.col("c_nationkey")).alias("county_fips"), "n", years.alias("y"))
     p = p.select("county_fips", F.col("y.year").alias("year"),
                  (F.col("n") * F.col("y.mult")).cast("long").alias("population"))
-    return (p.join(F.broadcast(area), "county_fips", "left")
+    return (p.join(area, "county_fips", "left")
             .select("county_fips", "year", "population",
                     F.try_divide(F.col("population").cast("double"), F.col("area"))
                     .alias("population_density_per_sq_km")))
@@ -159,13 +160,14 @@ def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg((F.col("c_mktsegment") == seg).cast("double")).alias(name)
         for seg, name in SEGMENT_SHARES
     ]
-    d = cust.groupBy("c_nationkey").agg(
-        (F.lit(40000.0) + F.median("c_acctbal")).alias("median_income"),
-        F.count(F.lit(1)).alias("n_customers"), *shares)
+    d = cust.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_customers"), *shares)
+    # Exact median without a whole-nation buffer (two-level selection).
+    med = grouped_quantiles(cust, ["c_nationkey"], "c_acctbal", {"med": 0.5}, max_window_rows=None)
+    d = d.join(med, "c_nationkey", "left").withColumn("median_income", F.lit(40000.0) + F.col("med"))
     area = boundaries(spark, sf_dir).select(
         "county_fips", geo.ring_area_spherical_km2("ring").alias("area"))
     d = d.withColumn("county_fips", fips(F.col("c_nationkey")))
-    return (d.join(F.broadcast(area), "county_fips", "left")
+    return (d.join(area, "county_fips", "left")
             .select("county_fips", "median_income", *[n for _, n in SEGMENT_SHARES],
                     F.try_divide(F.col("n_customers") * 1010.0, F.col("area"))
                     .alias("population_density")))
