@@ -279,8 +279,9 @@ def a01(spark, d):
 SELECT trip_id, start_time, start_station_id, end_station_id, member_type FROM trips
 WHERE year(start_time) = 1998 AND month(start_time) = 6""")
 def a04(spark, d):
-    """Trips of one year/month; the predicate reaches the orders scan."""
-    t = context(spark, d).trips()
+    """Trips of one year/month; a superset date predicate reaches the
+    orders scan (PushedFilters), the exact one is applied after."""
+    t = views.trips(spark, d, "1998-06-01", "1998-07-01")
     return t.where((F.year("start_time") == 1998) & (F.month("start_time") == 6)).select(
         "trip_id", "start_time", "start_station_id", "end_station_id", "member_type")
 
