@@ -588,3 +588,62 @@ def a12(spark, d):
                    base + "/personas")
     io.export_json(opportunity_table(spark, d), base + "/opportunities")
     return spark.read.json(base + "/personas").select("persona_id", "persona_name", "market_value")
+
+
+def _export_base(spark, name):
+    import uuid
+
+    from tessera.sources import io
+    return io.scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+@register("a10_export_engineered_features")
+def a10(spark, d):
+    """Scaled county features plus the scaler parameters as a table
+    (feature, method, param, value), with the metadata sidecar."""
+    from tessera.operators import prep
+    from tessera.sources import io
+    base = _export_base(spark, "features")
+    long = prep.prepare_clustering_data(CC.county_features(spark, d), "county_fips", CC.CLUSTER_FEATURES)
+    scaled, params = prep.standardize(long)
+    meta = io.save_processed_data(scaled, base + "/features.parquet", {"pipeline": "median-impute,standardize"},
+                                  distinct_col="county_fips")
+    p = params.select("feature", F.lit("standard").alias("method"), F.explode(F.array(
+        F.struct(F.lit("mean").alias("param"), F.col("mean").alias("value")),
+        F.struct(F.lit("scale").alias("param"), F.col("scale").alias("value")))).alias("pv")).select(
+        "feature", "method", "pv.param", "pv.value")
+    io.save_data(p, base + "/scaler.parquet")
+    return spark.read.parquet(base + "/scaler.parquet").withColumn("records", F.lit(meta["record_count"]))
+
+
+@register("a11_export_clustering_results")
+def a11(spark, d):
+    """Per-algorithm assignments (county_fips, <alg>_cluster) as CSV and
+    nested cluster profiles (cluster → feature → stats) as JSON."""
+    from tessera.sources import io
+    base = _export_base(spark, "clustering")
+    labels = views.assignments(spark, d).withColumnRenamed("cluster", "fixed_labels_cluster")
+    io.save_data(labels, base + "/fixed_labels_assignments.csv")
+    prof = metrics.cluster_profiles(CC.raw_long(spark, d), views.assignments(spark, d), "county_fips")
+    nested = prof.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("mean", "median", "std", "min", "max", "count")))).alias("feature_statistics"))
+    io.export_json(nested, base + "/profiles")
+    back = io.load_saved_data(spark, base + "/fixed_labels_assignments.csv",
+                              schema="county_fips string, fixed_labels_cluster int")
+    return back.join(spark.read.json(base + "/profiles").select(F.col("cluster").alias("fixed_labels_cluster")),
+                     "fixed_labels_cluster", "left_semi")
+
+
+@register("a13_api_endpoints")
+def a13(spark, d):
+    """JSON extracts for personas, opportunities and metadata."""
+    from tessera.sources import io
+    base = _export_base(spark, "api")
+    p = persona_table(spark, d).select("persona_id", "persona_name", "persona_type", "market_value",
+                                       "targeting_effectiveness", "estimated_population")
+    io.export_json(p, base + "/personas")
+    io.export_json(opportunity_table(spark, d).select("opportunity_type", "estimated_market_size", "expected_roi",
+                                                      "implementation_timeline"), base + "/opportunities")
+    meta = p.agg(F.count(F.lit(1)).alias("personas"), F.sum("market_value").alias("total_market_value"))
+    io.export_json(meta, base + "/metadata")
+    return spark.read.json(base + "/metadata")
