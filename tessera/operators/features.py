@@ -1,4 +1,4 @@
-"""Mobility features (H06, E01-E04) and the feature pipeline.
+"""Mobility features (H06, E01-E04); E09 composes them in plans/pipeline.py.
 
 H06 is the only trip-level step: one grouped aggregate of predicate
 averages over the enriched trips.  Everything after it works on one row

@@ -5,11 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import features, metrics, prep, spending
+from tessera.operators import metrics, prep
 from tessera.operators.neighbors import knn_join
 from tessera.oracle.views import cte, with_
 from tessera.plans import catalog_features  # noqa: F401  (registers the feature CTEs)
-from tessera.plans.flagship import county_mobility, enriched_trips
 from tessera.plans.context import context
 from tessera.plans.registry import register
 from tessera.sources import views

@@ -3,11 +3,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tessera.operators import features, spending, spatial
+from tessera.operators import features, spending
 from tessera.oracle.views import cte, with_
-from tessera.plans.flagship import county_mobility, enriched_trips
 from tessera.plans.context import context
 from tessera.plans.registry import register
 from tessera.sources import views

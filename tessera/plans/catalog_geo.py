@@ -9,7 +9,6 @@ from tessera.functions import geo, temporal
 from tessera.operators import spatial
 from tessera.operators.neighbors import knn_join
 from tessera.oracle.views import cte, haversine, with_
-from tessera.plans.flagship import enriched_trips
 from tessera.plans.context import context
 from tessera.plans.registry import register
 from tessera.sources import views

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import quality, spatial
+from tessera.operators import quality
 from tessera.oracle.views import cte, with_
 from tessera.plans.context import context
 from tessera.plans.registry import register

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tessera.oracle.views import with_
-from tessera.operators import spatial
-from tessera.plans.flagship import county_mobility, enriched_trips
+from tessera.plans.flagship import county_mobility
 from tessera.plans.registry import register
 from tessera.sources import views
 
