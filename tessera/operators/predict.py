@@ -114,7 +114,10 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
     imp = spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, model.featureImportances.toArray())],
                                 "feature string, importance double")
     imp = imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))))
-    out = {"model": model, "metrics": metrics, "importance": imp, "best_params": best}
+    grid_rows = [(i, str(c), float(sc), c == best) for i, (c, sc) in enumerate(zip(combos, scores))]
+    grid_table = spark.createDataFrame(grid_rows, "grid_point int, params string, mean_fold_mse double, best boolean")
+    out = {"model": model, "metrics": metrics, "importance": imp, "best_params": best, "grid": grid_table,
+           "predictions": pred.select("county_fips", "date", "label", "prediction")}
     _MODELS[key] = out
     return out
 
@@ -142,8 +145,9 @@ def prediction_drivers(importance: DataFrame) -> DataFrame:
 
 
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """R06 as a formula: R² = 1 - SSE/SST, RMSE = sqrt(SSE / n)."""
-    mean = pred.select(F.avg(label)).scalar()
-    return pred.agg(
-        (1 - F.sum((F.col(label) - F.col(prediction)) ** 2) / F.sum((F.col(label) - mean) ** 2)).alias("r2_score"),
-        F.sqrt(F.avg((F.col(label) - F.col(prediction)) ** 2)).alias("rmse"))
+    """R06 as a formula in one aggregate: R² = 1 - SSE / SST with
+    SST = Σy² - (Σy)²/n, RMSE = sqrt(SSE / n)."""
+    y, p = F.col(label), F.col(prediction)
+    n, sy, syy = F.count(y), F.sum(y), F.sum(y * y)
+    sse = F.sum((y - p) * (y - p))
+    return pred.agg((1 - sse / (syy - sy * sy / n)).alias("r2_score"), F.sqrt(sse / n).alias("rmse"))

@@ -82,4 +82,4 @@ def _load_all() -> None:
     # Importing the catalogue modules fills REGISTRY.
     from tessera.plans import (  # noqa: F401
         catalog_cluster, catalog_features, catalog_geo, catalog_models, catalog_personas, catalog_quality,
-        catalog_rollups, catalog_spatial)
+        catalog_named, catalog_rollups, catalog_spatial)
