@@ -99,8 +99,11 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
         errs = [mse.evaluate(_estimator(kind, params).fit(tr).transform(te)) for tr, te in splits]
         return sum(errs) / len(errs)
 
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        scores = list(pool.map(score, combos))
+    if kind == "gbt":
+        scores = _gbt_staged_scores(grid, combos, splits, threads)
+    else:
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            scores = list(pool.map(score, combos))
     best = combos[min(range(len(combos)), key=lambda i: (scores[i], i))]
     model = _estimator(kind, best).fit(folded)
     pred = model.transform(folded)
@@ -122,6 +125,32 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
     return out
 
 
+def _gbt_staged_scores(grid: dict, combos: list[dict], splits, threads: int) -> list[float]:
+    """Fold-mean MSE for every GBT grid point from one fit per (depth,
+    step, fold) at the largest ``maxIter``: with subsampling off, boosting
+    is deterministic and the first m trees are exactly the m-iteration
+    model, so ``evaluateEachIteration`` on the test fold (squared error per
+    iteration count) scores every smaller ``maxIter`` too."""
+    top = max(grid["maxIter"])
+    keys = sorted({(c["maxDepth"], c["stepSize"]) for c in combos})
+
+    def staged(key):
+        depth, step = key
+        per_fold = []
+        for tr, te in splits:
+            m = _estimator("gbt", {"maxIter": top, "maxDepth": depth, "stepSize": step}).fit(tr)
+            per_fold.append(m.evaluateEachIteration(te, "squared"))
+        return key, per_fold
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        curves = dict(pool.map(staged, keys))
+    out = []
+    for c in combos:
+        per_fold = curves[(c["maxDepth"], c["stepSize"])]
+        out.append(sum(f[c["maxIter"] - 1] for f in per_fold) / len(per_fold))
+    return out
+
+
 def predict_spending(model, data: DataFrame) -> DataFrame:
     """Score the given rows (the reference's ``periods`` argument has
     no effect; rows in, one prediction per row out)."""
