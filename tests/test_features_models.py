@@ -181,3 +181,20 @@ def test_grouped_quantiles_hot_group_and_global(spark):
         assert q1["hot"][name] == pytest.approx(q["hot"][name])
     g = grouped_quantiles(df, [], "v", {"med": 0.5}, max_window_rows=10).first()
     assert g.med == pytest.approx(np.median(np.concatenate([hot, ties, [4.0]])))
+
+
+def test_gbt_staged_loss_equals_separate_fit(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 3))
+    y = x[:, 0] * 3 + np.sin(x[:, 1]) + rng.normal(0, 0.1, 200)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, "
+                                                                                  "label double"))
+    tr, te = df.limit(150), df.subtract(df.limit(150))
+    big = GBTRegressor(maxIter=8, maxDepth=3, seed=42).fit(tr)
+    small = GBTRegressor(maxIter=4, maxDepth=3, seed=42).fit(tr)
+    staged = big.evaluateEachIteration(te, "squared")
+    assert staged[3] == pytest.approx(RegressionEvaluator(metricName="mse").evaluate(small.transform(te)), rel=1e-12)
