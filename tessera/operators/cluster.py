@@ -66,7 +66,7 @@ def _fit(vecs: DataFrame, k: int, seed: int):
 
 
 def kmeans_search(vecs: DataFrame, k_range=(2, 10), n_init: int = 10, seed: int = 42,
-                  threads: int = 4) -> tuple[DataFrame, DataFrame]:
+                  threads: int = 8) -> tuple[DataFrame, DataFrame]:
     """For each k the best of ``n_init`` seeded fits (min inertia),
     its silhouette; best k = max silhouette, smallest k on ties.
 
