@@ -33,12 +33,15 @@ def with_(*names: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def rounded(sql: str, cols: dict[str, int]) -> str:
-    """Wrap ``sql`` so the named DOUBLE columns are rounded (name → digits)."""
-    if not cols:
+def rounded(sql: str, cols: dict[str, int], bigints: tuple[str, ...] = ()) -> str:
+    """Wrap ``sql`` so the named DOUBLE columns are rounded (name → digits)
+    and the named integer columns are BIGINT, the types the Spark side
+    returns."""
+    rep = [f"round(CAST({c} AS DOUBLE), {d}) AS {c}" for c, d in cols.items()]
+    rep += [f"CAST({c} AS BIGINT) AS {c}" for c in bigints]
+    if not rep:
         return sql
-    rep = ", ".join(f"round(CAST({c} AS DOUBLE), {d}) AS {c}" for c, d in cols.items())
-    return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
+    return f"SELECT * REPLACE ({', '.join(rep)}) FROM ({sql}) AS _q"
 
 
 def slat(x: str) -> str:

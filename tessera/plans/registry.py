@@ -29,6 +29,50 @@ class Entry:
 
 REGISTRY: dict[str, Entry] = {}
 
+# Oracle columns that DuckDB types as INTEGER / HUGEINT (year and month
+# parts, sums of counts) where the Spark side returns BIGINT; the oracle
+# wrapper casts them so both results carry the same types.
+INT_CASTS = {
+    'h09_county_spending_by_period': ('year', 'month'),
+    'w01_lag_features': ('year', 'month'),
+    'w02_rolling_mean_3': ('year', 'month'),
+    'w07_calendar_keys': ('year', 'month'),
+    'j05_semi_join_county_set': ('year', 'month'),
+    'e01_usage_patterns': ('short_trip_preference', 'long_trip_preference', 'short_distance_preference', 'long_distance_preference', 'high_inter_county_mobility'),
+    'e04_create_mobility_features': ('inter_county_trips', 'member_trips', 'casual_trips', 'short_trip_preference', 'long_trip_preference', 'short_distance_preference', 'long_distance_preference', 'high_inter_county_mobility'),
+    'k09_cluster_profiles': ('cluster',),
+    'k09_cluster_summary': ('cluster',),
+    'k12_outlier_summary': ('n_outliers',),
+    'g09_prepare_boundaries': ('srid',),
+    'g11_station_trip_counts': ('trip_count',),
+    'g14_assign_stations_to_counties': ('trip_count',),
+    'n01_mobility_traits': ('cluster',),
+    'n02_spending_traits': ('cluster',),
+    'n03_temporal_traits': ('cluster',),
+    'n05_cluster_characteristics': ('cluster',),
+    'n04_determine_persona_type': ('cluster_id',),
+    'n06_demographic_profile': ('cluster_id',),
+    'n12_persona_narratives': ('cluster_id',),
+    'o03_market_overview': ('total_population',),
+    'h07_population_by_persona_type': ('population',),
+    'd04_d05_d06_panels': ('total_population', 'high_effectiveness_count'),
+    'd17_selected_persona_totals': ('selected_population',),
+    'b19_spatial_validation': ('unassigned_stations', 'invalid_coordinates'),
+    'b20_detect_outliers_iqr': ('year', 'month'),
+    'b21_detect_outliers_zscore': ('year', 'month'),
+    'b22_data_summary': ('null_count',),
+    'h14_normalized_crosstab': ('cluster',),
+    'h10_stations_per_county': ('total_station_trips',),
+    'h11_county_mobility_summary': ('total_trips',),
+    'h15_city_comparison': ('total_trips',),
+    'a01_load_saved_data': ('n_nationkey', 'n_regionkey'),
+    'a05_spending_for_counties': ('year', 'month'),
+    'a07_population_for_counties': ('year',),
+    'h01_perform_county_aggregation': ('inter_county_trips', 'member_trips', 'casual_trips'),
+    'h02_aggregate_trips_to_county_level': ('inter_county_trips', 'member_trips', 'casual_trips'),
+}
+
+
 
 def _digit_map(doubles, digits: int) -> dict[str, int]:
     out = {}
@@ -74,7 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load_all()
-    return {k: rounded(e.sql, _digit_map(e.doubles, e.digits))
+    return {k: rounded(e.sql, _digit_map(e.doubles, e.digits), INT_CASTS.get(k, ()))
             for k, e in REGISTRY.items() if e.sql is not None}
 
 
