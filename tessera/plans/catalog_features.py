@@ -135,7 +135,7 @@ def _mob_features(spark, d):
 
 
 def _spend_features(spark, d):
-    return spending.create_spending_features(views.spending(spark, d), views.population(spark, d))
+    return spending.create_spending_features(context(spark, d).spending(), views.population(spark, d))
 
 
 _BIG = 4  # money sums are exact to 4 decimals; rounding to 2 would hit .xx5 ties
@@ -150,7 +150,7 @@ _BIG = 4  # money sums are exact to 4 decimals; rounding to 2 would hit .xx5 tie
 def h03(spark, d):
     mob = context(spark, d).county_mobility().select(
         "county_fips", "total_trips", "avg_trip_duration_minutes")
-    return spending.join_mobility_spending(mob, views.spending(spark, d))
+    return spending.join_mobility_spending(mob, context(spark, d).spending())
 
 
 @register("h04_aggregate_spending_data", with_("spending") + """
@@ -159,20 +159,20 @@ SELECT county_fips, category, sum(spending_amount) AS spending_amount_sum, avg(s
 FROM spending GROUP BY county_fips, category""",
           (("spending_amount_sum", _BIG), ("spending_amount_mean", _BIG), ("spending_amount_std", _BIG)))
 def h04(spark, d):
-    return spending.aggregate_spending(views.spending(spark, d), ["county_fips", "category"])
+    return spending.aggregate_spending(context(spark, d).spending(), ["county_fips", "category"])
 
 
 @register("h05_pivot_spending_data", with_("spend_pivot") + "SELECT * FROM spend_pivot",
           tuple((f"spending_{c}", _BIG) for c in CATS))
 def h05(spark, d):
-    return spending.pivot_spending(views.spending(spark, d))
+    return spending.pivot_spending(context(spark, d).spending())
 
 
 @register("h09_county_spending_by_period", with_("spending") + """
 SELECT county_fips, year, month, sum(spending_amount) AS spending_amount FROM spending
 GROUP BY county_fips, year, month""", (("spending_amount", _BIG),))
 def h09(spark, d):
-    return spending.spending_by_period(views.spending(spark, d))
+    return spending.spending_by_period(context(spark, d).spending())
 
 
 cte("spend_lags", """
@@ -190,7 +190,7 @@ WINDOW w AS (PARTITION BY county_fips ORDER BY make_date(year, month, 1))""", ("
 
 
 def _lags(spark, d):
-    return spending.add_lag_features(spending.spending_by_period(views.spending(spark, d)))
+    return spending.add_lag_features(spending.spending_by_period(context(spark, d).spending()))
 
 
 @register("w01_lag_features", with_("spend_lags") + """
@@ -214,19 +214,19 @@ def w07(spark, d):
 
 @register("w03_spending_trend", with_("spend_trend") + "SELECT * FROM spend_trend", (("spending_trend", 2),))
 def w03(spark, d):
-    return spending.spending_trend(views.spending(spark, d))
+    return spending.spending_trend(context(spark, d).spending())
 
 
 @register("w04_spending_volatility", with_("spend_volatility") + "SELECT * FROM spend_volatility",
           tuple(f"spending_volatility_{c}" for c in CATS), digits=8)
 def w04(spark, d):
-    return spending.spending_volatility(views.spending(spark, d))
+    return spending.spending_volatility(context(spark, d).spending())
 
 
 @register("w06_within_county_share", with_("spend_props") + "SELECT county_fips, " + ", ".join(
     f"spending_pct_{c}" for c in CATS) + " FROM spend_props", tuple(f"spending_pct_{c}" for c in CATS), digits=8)
 def w06(spark, d):
-    p = spending.add_spending_proportions(spending.pivot_spending(views.spending(spark, d)))
+    p = spending.add_spending_proportions(spending.pivot_spending(context(spark, d).spending()))
     return p.select("county_fips", *[f"spending_pct_{c}" for c in CATS])
 
 
@@ -236,7 +236,7 @@ _E05_D = tuple((f"spending_{c}", _BIG) for c in CATS) + (("total_spending", _BIG
 
 @register("e05_spending_proportions", with_("spend_props") + "SELECT * FROM spend_props", _E05_D)
 def e05(spark, d):
-    return spending.add_spending_proportions(spending.pivot_spending(views.spending(spark, d)))
+    return spending.add_spending_proportions(spending.pivot_spending(context(spark, d).spending()))
 
 
 _E06_D = _E05_D + (("dominant_spending_share", 8), ("essential_spending", _BIG),
@@ -246,14 +246,14 @@ _E06_D = _E05_D + (("dominant_spending_share", 8), ("essential_spending", _BIG),
 @register("e06_spending_intensity", with_("spend_intensity") + "SELECT * EXCLUDE (q1, q3) FROM spend_intensity",
           _E06_D)
 def e06(spark, d):
-    p = spending.add_spending_proportions(spending.pivot_spending(views.spending(spark, d)))
+    p = spending.add_spending_proportions(spending.pivot_spending(context(spark, d).spending()))
     return spending.add_spending_intensity(p)
 
 
 @register("f07_entropy_diversity", with_("spend_props") + "SELECT county_fips, spending_diversity FROM spend_props",
           (("spending_diversity", 8),))
 def f07(spark, d):
-    p = spending.add_spending_proportions(spending.pivot_spending(views.spending(spark, d)))
+    p = spending.add_spending_proportions(spending.pivot_spending(context(spark, d).spending()))
     return p.select("county_fips", "spending_diversity")
 
 
@@ -261,7 +261,7 @@ def f07(spark, d):
 SELECT county_fips, dominant_spending_category, dominant_spending_share FROM spend_intensity""",
           (("dominant_spending_share", 8),))
 def f08(spark, d):
-    p = spending.add_spending_proportions(spending.pivot_spending(views.spending(spark, d)))
+    p = spending.add_spending_proportions(spending.pivot_spending(context(spark, d).spending()))
     return spending.add_spending_intensity(p).select("county_fips", "dominant_spending_category",
                                                      "dominant_spending_share")
 
@@ -270,7 +270,7 @@ def f08(spark, d):
 SELECT county_fips, essential_spending, discretionary_spending, discretionary_ratio FROM spend_intensity""",
           (("essential_spending", _BIG), ("discretionary_spending", _BIG), ("discretionary_ratio", 8)))
 def f09(spark, d):
-    p = spending.add_spending_proportions(spending.pivot_spending(views.spending(spark, d)))
+    p = spending.add_spending_proportions(spending.pivot_spending(context(spark, d).spending()))
     return spending.add_spending_intensity(p).select("county_fips", "essential_spending",
                                                      "discretionary_spending", "discretionary_ratio")
 
@@ -278,7 +278,7 @@ def f09(spark, d):
 @register("f05_quantile_cut_25_75", with_("spend_intensity") + """
 SELECT county_fips, spending_intensity_category FROM spend_intensity""")
 def f05(spark, d):
-    p = spending.add_spending_proportions(spending.pivot_spending(views.spending(spark, d)))
+    p = spending.add_spending_proportions(spending.pivot_spending(context(spark, d).spending()))
     return spending.add_spending_intensity(p).select("county_fips", "spending_intensity_category")
 
 
@@ -292,7 +292,7 @@ FROM spend_intensity i LEFT JOIN spend_volatility v ON i.county_fips = v.county_
 LEFT JOIN spend_trend t ON i.county_fips = t.county_fips""",
           tuple((f"spending_volatility_{c}", 8) for c in CATS) + (("spending_trend", 2),))
 def w08(spark, d):
-    s = views.spending(spark, d)
+    s = context(spark, d).spending()
     base = spending.pivot_spending(s).select("county_fips")
     return spending.spending_temporal_features(base, s)
 
@@ -324,7 +324,7 @@ def j05(spark, d):
     """Spending rows of counties that have at least one station."""
     prepared = context(spark, d).prepared()
     m = context(spark, d).station_map().select("county_fips")
-    s = views.spending(spark, d).drop("date")
+    s = context(spark, d).spending().drop("date")
     return s.join(m, "county_fips", "left_semi")
 
 
@@ -408,6 +408,6 @@ FROM county_mobility m JOIN spend_pivot s ON m.county_fips = s.county_fips""",
 def j01(spark, d):
     mob = context(spark, d).county_mobility().select(
         "county_fips", "total_trips", "member_ratio")
-    piv = spending.pivot_spending(views.spending(spark, d)).select(
+    piv = spending.pivot_spending(context(spark, d).spending()).select(
         "county_fips", "spending_restaurants", "spending_retail")
     return mob.join(piv, "county_fips", "inner")

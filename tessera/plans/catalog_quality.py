@@ -109,7 +109,7 @@ def _rule_query(key, rules_fn, cte_name, names, like=False):
 
 
 def _spending_rules(spark, d):
-    return quality.spending_rules(views.spending(spark, d))
+    return quality.spending_rules(context(spark, d).spending())
 
 
 def _boundary_rules(spark, d):
@@ -151,7 +151,7 @@ def b01(spark, d):
     t = views.trips(spark, d)
     sets = [("trips", t, quality.TRIP_REQUIRED),
             ("trips_partial", t.select("trip_id", "start_time"), quality.TRIP_REQUIRED),
-            ("spending", views.spending(spark, d), quality.SPENDING_REQUIRED),
+            ("spending", context(spark, d).spending(), quality.SPENDING_REQUIRED),
             ("boundaries", views.boundaries(spark, d), quality.BOUNDARY_REQUIRED)]
     out = None
     for name, df, req in sets:
@@ -177,7 +177,7 @@ SELECT avg(spending_amount) AS mean, median(spending_amount) AS median,
        stddev_samp(spending_amount) AS std, min(spending_amount) AS min, max(spending_amount) AS max
 FROM spending""", ("mean", "median", "std", "min", "max"))
 def b14(spark, d):
-    return quality.spending_stats(views.spending(spark, d))
+    return quality.spending_stats(context(spark, d).spending())
 
 
 @register("b18_quality_report", with_("trip_rules", "spending_rules", "boundary_rules", "spending", "bnd",
@@ -196,7 +196,7 @@ GROUP BY ROLLUP (r.dataset)""")
 def b18(spark, d):
     counts = (views.trips_dirty(spark, d).agg(F.count(F.lit(1)).alias("total_records"))
               .select(F.lit("trips_dirty").alias("dataset"), "total_records")
-              .unionByName(views.spending(spark, d).agg(F.count(F.lit(1)).alias("total_records"))
+              .unionByName(context(spark, d).spending().agg(F.count(F.lit(1)).alias("total_records"))
                            .select(F.lit("spending").alias("dataset"), "total_records"))
               .unionByName(views.boundaries(spark, d).agg(F.count(F.lit(1)).alias("total_records"))
                            .select(F.lit("boundaries").alias("dataset"), "total_records")))
@@ -231,7 +231,7 @@ SELECT county_fips, year, month, category, spending_amount,
 FROM spending, (SELECT quantile_cont(spending_amount, 0.25) AS q1, quantile_cont(spending_amount, 0.75) AS q3
                 FROM spending) AS q""", ("spending_amount",))
 def b20(spark, d):
-    s = views.spending(spark, d).drop("date")
+    s = context(spark, d).spending().drop("date")
     return quality.iqr_outliers(s, ["spending_amount"], 1.5)
 
 
@@ -242,7 +242,7 @@ SELECT county_fips, year, month, category, spending_amount,
 FROM spending, (SELECT avg(spending_amount) AS m, stddev_samp(spending_amount) AS s FROM spending) AS q""",
           ("spending_amount",))
 def b21(spark, d):
-    s = views.spending(spark, d).drop("date")
+    s = context(spark, d).spending().drop("date")
     return quality.zscore_outliers(s, ["spending_amount"], 3.0)
 
 
@@ -269,7 +269,7 @@ def _summary_sql() -> str:
 
 @register("b22_data_summary", _summary_sql(), ("mean", "median", "std", "min", "max"))
 def b22(spark, d):
-    s = views.spending(spark, d).select("county_fips", "year", "month", "category", "spending_amount")
+    s = context(spark, d).spending().select("county_fips", "year", "month", "category", "spending_amount")
     return quality.data_summary(s)
 
 

@@ -41,7 +41,9 @@ class Context:
         return views.boundaries(self.spark, self.sf_dir)
 
     def spending(self) -> DataFrame:
-        return views.spending(self.spark, self.sf_dir)
+        """County × month × category spending: small, but derived from a
+        four-way join of the largest tables, so it is materialized once."""
+        return self._keep("spending", lambda: views.spending(self.spark, self.sf_dir))
 
     def population(self) -> DataFrame:
         return self._keep("population", lambda: views.population(self.spark, self.sf_dir))
