@@ -135,6 +135,7 @@ def compare_algorithms(results: DataFrame) -> DataFrame:
     """Per algorithm (n_clusters, n_outliers, silhouette, stability)
     plus the best algorithm on each measure (``max_by``)."""
     best_sil = results.select(F.max_by("algorithm", F.struct("silhouette", F.col("algorithm")))).scalar()
-    best_stab = results.select(F.max_by("algorithm", F.struct("stability", F.col("algorithm")))).scalar()
+    best_stab = (results.where(F.col("stability").isNotNull())
+                 .select(F.max_by("algorithm", F.struct("stability", F.col("algorithm")))).scalar())
     return results.withColumn("best_silhouette", F.col("algorithm") == best_sil) \
-        .withColumn("best_stability", F.col("algorithm") == best_stab)
+        .withColumn("best_stability", F.coalesce(F.col("algorithm") == best_stab, F.lit(False)))

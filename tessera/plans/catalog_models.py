@@ -61,20 +61,22 @@ def k11(spark, d):
 
 @register("k13_compare_algorithms")
 def k13(spark, d):
-    """K-Means (best k) against the fixed label table: clusters, outliers,
-    squared-Euclidean silhouette per algorithm, best flags."""
+    """K-Means (best k), density clustering and the fixed label table on
+    the county matrix: clusters, outliers, squared-Euclidean silhouette
+    (noise removed) per algorithm, best flags."""
     from tessera.operators import metrics
     long = CC.cluster_matrix(spark, d)
     _, km = C.kmeans_search(county_vectors(spark, d), (2, 10), 3)
     rows = None
-    for name, lab in (("kmeans", km), ("fixed_labels", views.assignments(spark, d))):
+    dens = county_density_labels(spark, d).select("county_fips", "cluster")
+    for name, lab in (("kmeans", km), ("density", dens), ("fixed_labels", views.assignments(spark, d))):
         sil = metrics.silhouette_sq(long, lab, "county_fips").select("silhouette_sq_euclidean").first()[0]
         r = lab.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
                     F.count_if(F.col("cluster") == -1).alias("n_outliers")).select(
             F.lit(name).alias("algorithm"), "n_clusters", "n_outliers",
             F.lit(float(sil)).alias("silhouette"), F.lit(None).cast("double").alias("stability"))
         rows = r if rows is None else rows.unionByName(r)
-    return C.compare_algorithms(rows.withColumn("stability", F.coalesce("stability", F.lit(0.0))))
+    return C.compare_algorithms(rows)
 
 
 # ------------------------------------------------------------ prediction
@@ -180,3 +182,29 @@ def k14(spark, d):
         rows.append(("density", "error", None, None, None, str(e)[:200]))
     return spark.createDataFrame(rows, "algorithm string, status string, n_clusters int, n_outliers int, "
                                        "silhouette double, error string")
+
+
+def county_pc_plane(spark, d):
+    """Counties in the plane of the first two principal components of the
+    scaled feature matrix (centred; Spark ML PCA)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import vector_to_array
+    vecs = county_vectors(spark, d)
+    model = PCA(k=2, inputCol="features", outputCol="pc").fit(vecs)
+    arr = vector_to_array(F.col("pc"))
+    return model.transform(vecs).select(F.col("county_fips").cast("long").alias("pid"),
+                                        arr[0].alias("x"), arr[1].alias("y"))
+
+
+def county_density_labels(spark, d):
+    from tessera.operators.density import density_clusters
+    lab = density_clusters(county_pc_plane(spark, d), 5, 3)
+    return lab.select(F.lpad(F.col("pid").cast("string"), 5, "0").alias("county_fips"), "cluster",
+                      "membership", "outlier_score")
+
+
+@register("k02_density_clustering_counties")
+def k02c(spark, d):
+    """Density clustering of counties in the 2-D principal-component plane
+    of the scaled feature matrix (min_cluster_size 5, min_samples 3)."""
+    return county_density_labels(spark, d)
