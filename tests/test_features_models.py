@@ -198,3 +198,12 @@ def test_gbt_staged_loss_equals_separate_fit(spark):
     small = GBTRegressor(maxIter=4, maxDepth=3, seed=42).fit(tr)
     staged = big.evaluateEachIteration(te, "squared")
     assert staged[3] == pytest.approx(RegressionEvaluator(metricName="mse").evaluate(small.transform(te)), rel=1e-12)
+
+
+def test_compare_algorithms_best_flags(spark):
+    rows = spark.createDataFrame([("kmeans", 2, 0, 0.4, None), ("density", 3, 2, 0.6, None)],
+                                 "algorithm string, n_clusters int, n_outliers int, silhouette double, "
+                                 "stability double")
+    out = {r.algorithm: r for r in cluster.compare_algorithms(rows).collect()}
+    assert out["density"].best_silhouette and not out["kmeans"].best_silhouette
+    assert not out["density"].best_stability and not out["kmeans"].best_stability
