@@ -9,15 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import read
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import quality_verdicts
+
+    return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import hilbert_shards
 
     return hilbert_shards(read(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.simhash import simhash_components
+
+    return simhash_components(read(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
-    return {f.__name__: f for f in (op5_hilbert_sharding,)}
+    return {f.__name__: f for f in (op2_quality_rules, op5_hilbert_sharding, op6_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
