@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.session import ensure_checkpoint_dir
 
@@ -58,3 +59,13 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
     """Bound what one Arrow batch holds, so very long texts can't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def texts_of(batch: object, at: int) -> list[str]:
+    """The texts of a record batch's column, null as empty."""
+    return [t or "" for t in batch.column(at).to_pylist()]
+
+
+def schema_with(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The frame's schema and one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])

@@ -27,9 +27,22 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.langid import language_predictions
+
+    return language_predictions(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
-    return {f.__name__: f for f in (op2_quality_rules, op5_hilbert_sharding, op6_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op5_hilbert_sharding, op6_simhash_near_dedup,
+                                  op8_toxicity, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

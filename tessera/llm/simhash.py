@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, dropped, free_name, written
+from tessera.llm.common import bounded_batches, free_name, schema_with, written
 from tessera.operators.components import connected_components
 
 BITS = 64
@@ -60,8 +60,7 @@ def fingerprints(docs: DataFrame, shingle: int, name: str) -> DataFrame:
             found = pa.array([simhash(t.as_py(), shingle) for t in batch.column(at)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, name])
 
-    schema = docs.schema.add(name, "long")
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(add, schema_with(docs, name, "long"))
 
 
 def variants(radius: int) -> list[tuple[int, int]]:
@@ -159,13 +158,13 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
 def grouped(marked: DataFrame, fp: str, radius: int, name: str) -> DataFrame:
     """(fp, root, ``name``) of every distinct fingerprint: its component's smallest fingerprint and smallest doc_id
     (null if all are null)."""
-    own = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    own = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("own_least")), "simhash-distinct")
     keep = lambda df: written(df, "simhash-links")
     parts = connected_components(near_links(own, radius), keep)
     rooted = own.join(parts, own["fp"] == parts["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias(name))
-    return rooted.join(smallest, "root").select("fp", "root", name)
+        "fp", "own_least", F.coalesce("component", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("own_least").alias("all_least"))
+    return rooted.join(smallest, "root").select("fp", "root", F.col("all_least").alias(name))
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
@@ -184,18 +183,20 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
     """One row of each component, with all input columns: that of the smallest doc_id (of equal ids, the text that
     sorts first by hash; of equal rows, one; rows without an id stay only if their component has no id at all)."""
     columns = docs.columns
-    name, least = free_name(docs, "fp"), free_name(docs, "least")
+    name, least = free_name(docs, "fp"), free_name(docs, "least_id")
     marked = written(fingerprints(docs, shingle, name), "simhash")
     parts = grouped(marked.select("doc_id", name), name, radius, least)
     # the row to keep is found on keys alone; the texts move once, to meet it
     order = F.xxhash64("text")
-    keys = marked.select(F.col(name).alias("fp"), "doc_id", order.alias("order")).join(parts, "fp")
-    lead = keys.where(F.col("doc_id").eqNullSafe(F.col(least))).groupBy("root").agg(
-        F.min(F.struct("order", "fp")).alias("lead"), F.first(least).alias(least))
-    lead = lead.select(F.col("lead.order").alias("lead_order"), F.col("lead.fp").alias("lead_fp"), least)
-    hit = marked.join(lead, (F.col(name) == F.col("lead_fp")) & (order == F.col("lead_order"))
+    keys = marked.select(F.col(name).alias("fp"), "doc_id", order.alias("order")).join(
+        parts.withColumnRenamed(least, "lead_id"), "fp")
+    lead = keys.where(F.col("doc_id").eqNullSafe(F.col("lead_id"))).groupBy("root").agg(
+        F.min(F.struct("order", "fp")).alias("lead"), F.first("lead_id").alias(least))
+    lead = lead.select(F.col("lead.fp").alias(f"{least}_fp"), F.col("lead.order").alias(f"{least}_order"), least)
+    hit = marked.join(lead, (F.col(name) == F.col(f"{least}_fp")) & (order == F.col(f"{least}_order"))
                       & F.col("doc_id").eqNullSafe(F.col(least)))
     # rows that repeat with the same id and text: one of them, by the hash of all columns
-    one = hit.groupBy("lead_fp", "lead_order").agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("row"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = hit.groupBy(f"{least}_fp", f"{least}_order").agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(*plain)).alias("row"))
     return one.select("row.*")
