@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
     ``edges`` has columns ``u`` and ``v`` of one orderable type; loops, repeats, nulls and either direction are
     allowed (a null end drops the edge).  ``keep`` materializes a round.
     """
-    now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = keep(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         now = keep(_stars(_stars(now, True), False))
