@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import bounded_batches, fold
 
@@ -26,6 +27,7 @@ GRAMS = (2, 3, 4)
 SAMPLE = 1200  # training rows of each language at most
 LANGUAGES = 256
 SAMPLE_CHARS = 20_000
+THIN = 1 << 40
 EPOCHS = 4
 RATE = 0.5
 BLOCK = 1 << 18  # bytes hashed at once
@@ -158,18 +160,17 @@ def fit_languages(docs: DataFrame, train_where=None) -> LanguageModel:
     rows = docs.where("text is not null and lang is not null")
     if train_where is not None:
         rows = rows.where(train_where)
-    names = rows.groupBy("lang").count().orderBy(F.xxhash64("lang"), "lang").limit(LANGUAGES).select("lang")
-    order = F.xxhash64("doc_id")
-    keys = rows.where(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "lang", order.alias("at"))
-    names = sorted(r[0] for r in names.collect())
-    picked = None
-    for name in names:
-        own = keys.where(F.col("lang") == name).orderBy("at", "doc_id").limit(SAMPLE).select("doc_id", "lang")
-        picked = own if picked is None else picked.unionByName(own)
-    if picked is None:
+    rows = rows.where(F.char_length("text") <= SAMPLE_CHARS)
+    names = rows.groupBy("lang").count().orderBy(F.xxhash64("lang"), "lang").limit(LANGUAGES).collect()
+    if not names:
         return train([], [])
-    words = rows.where(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "lang", "text").join(
-        F.broadcast(picked.distinct()), ["doc_id", "lang"]).distinct()
+    # one pass: rows thinned by hash to about twice the sample, of which the first in hash order are taken
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(THIN))
+    wanted = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(THIN, 2 * SAMPLE * THIN // r["count"] + 1)) for r in names])
+    thin = rows.where(spot < wanted).select("doc_id", "lang", spot.alias("spot")).distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("spot", "doc_id"))
+    picked = thin.withColumn("turn", turn).where(F.col("turn") <= SAMPLE).select("doc_id", "lang")
+    words = rows.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).distinct()
     got = sorted(words.collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["lang"], r["text"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 

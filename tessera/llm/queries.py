@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm.common import read
 
@@ -27,6 +28,18 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"), shingle=3, radius=3)
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import bpe_encoded
+
+    out = bpe_encoded(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                      public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import toxicity_scores
 
@@ -41,7 +54,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
-    return {f.__name__: f for f in (op2_quality_rules, op5_hilbert_sharding, op6_simhash_near_dedup,
+    return {f.__name__: f for f in (op2_quality_rules, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
                                   op8_toxicity, op9_language_id)}
 
 
