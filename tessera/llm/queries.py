@@ -16,6 +16,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import KINDS, detected, listed
+
+    out = detected(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}")
+              for k, kind in enumerate(KINDS)]
+    return out.select(
+        "doc_id", *counts, F.sha2(listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.concat("spans", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sharding import hilbert_shards
 
@@ -54,7 +65,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
-    return {f.__name__: f for f in (op2_quality_rules, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
+    return {f.__name__: f for f in (op2_quality_rules, op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
                                   op8_toxicity, op9_language_id)}
 
 
