@@ -63,10 +63,16 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(read(spark, sf_dir, "documents"))
 
 
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontamination import contaminated_pairs
+
+    return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
     return {f.__name__: f for f in (op2_quality_rules, op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
-                                  op8_toxicity, op9_language_id)}
+                                  op8_toxicity, op9_language_id, op10_latent_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
