@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from tessera.llm.common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import without_repeats
+
+    out = without_repeats(read(spark, sf_dir, "documents"), length=400)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["s"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import quality_verdicts
 
@@ -71,7 +80,7 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
-    return {f.__name__: f for f in (op2_quality_rules, op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
                                   op8_toxicity, op9_language_id, op10_latent_decontamination)}
 
 
