@@ -25,6 +25,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.brown_lm import lm_scores
+
+    return lm_scores(read(spark, sf_dir, "documents"))
+
+
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import KINDS, detected, listed
 
@@ -80,7 +86,8 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_brown_lm,
+                                  op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
                                   op8_toxicity, op9_language_id, op10_latent_decontamination)}
 
 
