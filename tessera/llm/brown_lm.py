@@ -12,6 +12,7 @@ those in the dictionary travel with the job, all others meet their counts in a j
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,6 +36,8 @@ ALL_CLASSES = END_CLASS + 1
 ROUNDS = 8
 KEPT_WORDS = 300_000  # words a task counts before it hands its counts on
 KEPT_PAIRS = 1 << 21
+DIGIT = re.compile(rb"[0-9]")
+BINS = 16  # of word counts, per doubling
 PRIOR = 10.0  # weight of the class frequencies in the class transitions
 
 
@@ -43,7 +46,7 @@ def spelling(word: bytes) -> int:
     if word == END:
         return END_CLASS
     last = 1 if word[-1:] in b".!?" else 2 if word[-1:] in b",;:" else 0
-    digits = any(48 <= c <= 57 for c in word)
+    digits = DIGIT.search(word) is not None
     return CLASSES + ((last * 2 + digits) * 2 + (not word.isascii())) * 2 + (len(word) > 9)
 
 
@@ -211,29 +214,37 @@ class ClassModel:
     distinct: int  # of them
     denominators: np.ndarray  # log10 of a class's tokens, smoothed
     transitions: np.ndarray  # log10
-    least: tuple[int, bytes]  # count and word of the last dictionary word
 
     @property
     def base(self) -> float:
         return float(np.log10(self.total + 0.5 * (self.distinct + 1)))
 
 
-def _class_stream(tokens: list[bytes], own: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    out = classes[own] if len(classes) else np.zeros(len(own), np.int64)
-    for k in np.flatnonzero(own < 0).tolist():
-        out[k] = spelling(tokens[k])
-    return out
+def _outside(tokens: list[bytes], own: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+    """Places of tokens outside the dictionary, the number of each one's word, those words, and the words' classes."""
+    at = np.flatnonzero(own < 0)
+    words: dict[bytes, int] = {}
+    number = np.fromiter((words.setdefault(tokens[k], len(words)) for k in at.tolist()), np.int64, len(at))
+    return at, number, list(words), np.fromiter(map(spelling, words), np.int64, len(words))
 
 
 def trained(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     """The model of all texts of ``docs``, and the counts (word, n) of all words outside its dictionary."""
     counts = written(word_counts(docs), "lm-words")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
-    words, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
+    # the dictionary: bins of counts from the highest down, as long as their words fit
+    bin_of = F.floor(F.log2("n") * BINS)
+    floor, held = 1 << 30, 0
+    for r in sorted(counts.groupBy(bin_of.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+        held += r["count"]
+        if held > DICTIONARY:
+            break
+        floor = r["bin"]
+    top = counts.where(bin_of >= floor).toArrow()  # DICTIONARY rows at most
+    found = sorted(zip(top.column("n").to_pylist(), top.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
+    words, n = [w for _, w in found], np.array([c for c, _ in found], np.int64)
     ids = {w: k for k, w in enumerate(words)}
-    least = (int(n[-1]), words[-1]) if words else (0, b"")
-    others = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > F.lit(least[1]))))
+    others = counts.where(bin_of < floor)
     classes = np.array([spelling(w) if w == END or c < LEAST else k % CLASSES
                         for k, (w, c) in enumerate(zip(words, n.tolist()))], np.int64)
     if words:
@@ -246,7 +257,10 @@ def trained(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
         for batch in batches:
             tokens, _ = stream(texts_of(batch, 0))
             if tokens:
-                own = _class_stream(tokens, numbers(tokens, ids), classes)
+                own = numbers(tokens, ids)
+                at, number, _, spelled = _outside(tokens, own)
+                own = classes[own] if len(classes) else own.astype(np.int64)
+                own[at] = spelled[number]
                 before = np.append(END_CLASS, own[:-1])
                 total += np.bincount(before * ALL_CLASSES + own, minlength=len(total))
         at = np.flatnonzero(total)
@@ -259,7 +273,7 @@ def trained(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     overall = (seen.sum(0) + 1) / (seen.sum() + ALL_CLASSES)
     transitions = np.log10((seen + PRIOR * overall) / (seen.sum(1, keepdims=True) + PRIOR))
 
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, types = np.zeros(ALL_CLASSES, np.int64), np.zeros(ALL_CLASSES, np.int64)
         for batch in batches:
             own = np.array([spelling(w) for w in batch.column(0).to_pylist()], np.int64)
@@ -268,11 +282,11 @@ def trained(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(ALL_CLASSES)), pa.array(tokens), pa.array(types)], names=["class", "n", "types"])
 
     tokens, types = np.bincount(classes, n, ALL_CLASSES), np.bincount(classes, minlength=ALL_CLASSES).astype(float)
-    for r in others.mapInArrow(spelled, "class long, n long, types long").groupBy("class").agg(
+    for r in others.mapInArrow(spelt, "class long, n long, types long").groupBy("class").agg(
             F.sum("n").alias("n"), F.sum("types").alias("types")).collect():
         tokens[r["class"]] += r["n"]
         types[r["class"]] += r["types"]
-    model = ClassModel(ids, n, classes, int(whole[0]), int(whole[1]), np.log10(tokens + 0.5 * (types + 1)), transitions, least)
+    model = ClassModel(ids, n, classes, int(whole[0]), int(whole[1]), np.log10(tokens + 0.5 * (types + 1)), transitions)
     return model, others
 
 
@@ -287,43 +301,40 @@ def scored(docs: DataFrame, model: ClassModel, others: DataFrame) -> DataFrame:
             if not tokens:
                 continue
             own = numbers(tokens, model.ids)
-            classes = _class_stream(tokens, own, model.classes)
+            out, number, names, spelled = _outside(tokens, own)
             inside = own >= 0
+            classes = model.classes[own] if len(words) else own.astype(np.int64)
+            classes[out] = spelled[number]
             at = np.cumsum(sizes) - sizes
-            before = np.append(END_CLASS, classes[:-1])
-            known, first, second = np.zeros(len(own), np.int64), np.zeros(len(own)), model.transitions[before, classes]
+            known, first, second = np.zeros(len(own), np.int64), np.zeros(len(own)), model.transitions[
+                np.append(END_CLASS, classes[:-1]), classes]
             if len(words):
                 known[inside] = model.counts[own[inside]] > 0
                 first[inside] = base[own[inside]]
                 second[inside] += inner[own[inside]]
             # words outside the dictionary: one row for each text and word, to meet their counts
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            rare = Counter((int(text[k]), tokens[k]) for k in np.flatnonzero(~inside).tolist())
-            row = pa.array([*range(len(sizes)), *[k for k, _ in rare]], pa.int64())
-            more = len(rare)
-
-            def column(values: np.ndarray, kind: pa.DataType, more: int = more) -> pa.Array:
-                return pa.array([*np.add.reduceat(values, at).tolist(), *[0] * more], kind)
-
+            pair, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[out] * max(1, len(names)) + number, return_counts=True)
+            text, number = pair // max(1, len(names)), pair % max(1, len(names))
+            row = pa.array(np.append(np.arange(len(sizes)), text))
+            none, zero = np.zeros(len(sizes), np.int64), np.zeros(len(pair), np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(2).take(row), pa.array([*[None] * len(sizes), *[w for _, w in rare]], pa.binary()),
-                 pa.array([*[0] * len(sizes), *rare.values()], pa.int64()),
-                 pa.array([*[0] * len(sizes), *[spelling(w) for _, w in rare]], pa.int32()),
-                 pa.array([*[1] * len(sizes), *[0] * more], pa.int64()),
-                 pa.array([*sizes.tolist(), *[0] * more], pa.int64()), column(known, pa.int64()),
-                 column(first, pa.float64()), column(second, pa.float64())],
+                [batch.column(0).take(row), batch.column(2).take(row),
+                 pa.concat_arrays([pa.nulls(len(sizes), pa.binary()), pa.array(names, pa.binary()).take(pa.array(number))]),
+                 *[pa.array(np.append(a, b)) for a, b in (
+                     (none, times), (none, spelled[number]), (none + 1, zero), (sizes, zero), (np.add.reduceat(known, at), zero),
+                     (np.add.reduceat(first, at), zero.astype(float)), (np.add.reduceat(second, at), zero.astype(float)))]],
                 names=["doc_id", "text_hash", "word", "times", "class", "rows", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        local, f"doc_id {kind}, text_hash long, word binary, times long, class int, rows long, n_tokens long, "
+        local, f"doc_id {kind}, text_hash long, word binary, times long, class long, rows long, n_tokens long, "
         "n_known long, base_score double, score double")
     rows = written(rows, "lm-rows")
     sums = ["rows", "n_tokens", "n_known", "base_score", "score"]
     rare = rows.where("word is not null").join(others, "word", "left")
     count = F.coalesce(F.col("n"), F.lit(0))
     smoothed = F.log10(count + F.lit(0.5))
-    denominator = F.get(F.array(*[F.lit(float(d)) for d in model.denominators]), F.col("class"))
+    denominator = F.get(F.array(*[F.lit(float(d)) for d in model.denominators]), F.col("class").cast("int"))
     rare = rare.select(
         "doc_id", "text_hash", "rows", "n_tokens", F.when(count > 0, F.col("times")).otherwise(0).alias("n_known"),
         (F.col("times") * (smoothed - F.lit(model.base))).alias("base_score"),
