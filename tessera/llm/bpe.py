@@ -198,6 +198,8 @@ def bpe_encoded(docs: DataFrame, path: str, drops_space: bool = True, ids_name:
     """
     bounded_batches(docs.sparkSession, rows=64, size="2m")
     codec = Codec(path, drops_space)
+    ids_name = free_name(docs, ids_name)
+    text_name = free_name(docs, text_name)
     at = docs.columns.index("text")
     is_long = F.coalesce(F.char_length("text") > LONG, F.lit(False))
     schema = schema_with(docs, ids_name, "binary").add(text_name, "string")
