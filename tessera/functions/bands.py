@@ -1,8 +1,6 @@
 """Banding, clipping and rescaling expressions.
 
-Quantile cuts use exact percentiles computed once per column as scalar
-subqueries (``DataFrame.scalar``): Catalyst runs the aggregate as its own
-job and inlines the value, so no cross join and no driver collect.
+Quantile cuts use exact percentiles (``stats.grouped_quantiles``, no buffer of a whole column) as literals.
 """
 
 from __future__ import annotations
@@ -10,19 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.stats import col
+from tessera.functions.stats import col, grouped_quantiles
 
 
-def exact_percentile(df: DataFrame, column: str, p: float) -> Column:
-    """Scalar subquery: exact (interpolated) percentile of ``column``."""
-    return df.select(F.percentile(F.col(column).cast("double"), F.lit(p))).scalar()
+def exact_percentiles(df: DataFrame, column: str, *probs: float) -> list[Column]:
+    """Exact (interpolated) percentiles of ``column`` as literals."""
+    row = grouped_quantiles(df, [], column, {f"p{k}": p for k, p in enumerate(probs)}).first()
+    return [F.lit(row[f"p{k}"]).cast("double") for k in range(len(probs))]
 
 
 def quantile_cut(df: DataFrame, column: str, cuts: tuple[float, float],
                  labels=("Low", "Medium", "High"), out: str | None = None) -> DataFrame:
     """Right-closed cut at two exact quantiles."""
-    lo = exact_percentile(df, column, cuts[0])
-    hi = exact_percentile(df, column, cuts[1])
+    lo, hi = exact_percentiles(df, column, *cuts)
     x = F.col(column)
     band = F.when(x <= lo, labels[0]).when(x <= hi, labels[1]).when(x.isNotNull(), labels[2])
     return df.withColumn(out or f"{column}_category", band)

@@ -1,11 +1,10 @@
 """Statistical building blocks shared by the operators.
 
-``grouped_quantiles`` gives exact, pandas-compatible (linear interpolation)
-quantiles per group without gathering a group's rows into one task: rows
-are first reduced to (group, value, count) with a map-side partial
-aggregate; a bucket histogram per group locates the bucket of each target
-rank, and only those buckets' values are ranked, in windows partitioned by
-(group, bucket).
+Exact, pandas-compatible (linear interpolation) quantiles per group without gathering a group's rows into one task.
+An approximate quantile sketch (partial aggregate, bounded size, rank error at most 1 / SKETCH) gives for each target a
+bracket of values that holds it; a second pass counts the rows below the bracket and the distinct values inside it,
+both on the map side; only the bracket's values, about 2 * MARGIN of a group, are ranked.  Far outliers and heavy ties
+don't matter, as brackets follow ranks, not values.
 """
 
 from __future__ import annotations
@@ -15,97 +14,92 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 
 def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-WINDOW_MAX_ROWS = 1_000_000  # distinct values one ranking task may hold
+SKETCH = 10_000  # accuracy of the sketch: ranks are off by at most a SKETCH-th of the rows
+MARGIN = 0.002  # ranks a bracket reaches to either side of its target
+LEAST = 2000  # groups with fewer rows are bracketed as a whole: a margin of theirs is too few rows
+MAX_GROUPS = 100_000  # groups whose sketches are broadcast; beyond, they are joined
 
 
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                      probs: dict[str, float], count_col: str | None = None,
-                      buckets: int = 4096, max_window_rows: int | None = WINDOW_MAX_ROWS) -> DataFrame:
-    """Exact quantiles of ``value`` per ``keys``; nulls ignored.
+def quantile_sketch(values: dict[str, Column], probs: dict[str, float]) -> list[Column]:
+    """Aggregates that ``quantiles_from_sketch`` needs, one struct per value."""
+    ranks = F.array(*[F.lit(min(1.0, max(0.0, p + d))) for p in probs.values() for d in (-MARGIN, MARGIN)])
+    return [F.struct(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                     F.percentile_approx(v, ranks, SKETCH).alias("cuts")).alias(f"_s_{name}")
+            for name, v in values.items()]
+
 
-    Returns ``keys`` + one DOUBLE column per entry of ``probs``
-    (output name → probability), interpolated linearly between order
-    statistics like pandas / ``percentile``.  Groups with only nulls are
-    absent.  ``count_col`` names a multiplicity column when ``df`` is
-    already a (keys, value, count) table.
-
-    Two-level exact selection, so no task ever holds a whole group:
-    (1) each group's value range is cut into ``buckets`` equal-width
-    buckets and a running count over the bucket histogram (≤ ``buckets``
-    rows per group) locates the bucket holding each target rank; (2) only
-    the rows of those buckets are ranked, in windows partitioned by
-    (group, bucket).
-    """
-    keys = list(keys)
-    global_ = not keys
-    if global_:  # one constant group: every join below stays an equi-join
-        df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
-    v = F.col(value).cast("double")
-    if count_col is None:
-        counts = (df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull())
-                  .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+def quantiles_from_sketch(df: DataFrame, keys: Sequence[str], sketch: DataFrame, values: dict[str, Column],
+                          probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles from a materialized sketch of the same rows: ``keys`` and ``<value>_<prob>`` columns.
+
+    Groups without a value of any kind are absent (without keys: one row of nulls)."""
+    keys, names = list(keys), [f"_s_{v}" for v in values]
+    if keys:
+        small = sketch.select(*keys, *names)
+        if small.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS:
+            small = F.broadcast(small)
+        rows = df.join(small, keys)
     else:
-        counts = df.select(*keys, v.alias("_v"), F.col(count_col).alias("_c")).where(F.col("_v").isNotNull())
-    part = Window.partitionBy(*keys)
-    if max_window_rows is not None:
-        widest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).select(F.max("_d")).first()[0] or 0
-        if widest <= max_window_rows:
-            out = _single_level(counts, keys, probs, part)
-            return out.drop("_g") if global_ else out
-    rng = counts.groupBy(*keys).agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"), F.sum("_c").alias("_n"))
-    bucket = F.when(F.col("_mx") > F.col("_mn"), F.least(
-        F.floor((F.col("_v") - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * buckets), F.lit(buckets - 1))
-    ).otherwise(F.lit(0))
-    cb = counts.join(rng.select(*keys, "_mn", "_mx"), keys).withColumn("_b", bucket.cast("long"))
-    hist = cb.groupBy(*keys, "_b").agg(F.sum("_c").alias("_hc"))
-    hist = hist.withColumn("_hcum", F.sum("_hc").over(
-        part.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    hist = hist.withColumn("_hprev", F.col("_hcum") - F.col("_hc"))
-    tgt = []
-    for i, (name, p) in enumerate(probs.items()):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        for which, r in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            tgt.append(F.struct(F.lit(i).alias("_q"), F.lit(which).alias("_w"), r.cast("long").alias("_r"),
-                                (h - F.floor(h)).alias("_f")))
-    targets = rng.select(*keys, F.explode(F.array(*tgt)).alias("t")).select(*keys, "t.*")
-    tb = targets.join(hist, keys).where(
-        (F.col("_hprev") <= F.col("_r")) & (F.col("_r") < F.col("_hcum")))
-    need = tb.select(*keys, "_b").distinct()
-    sub = cb.join(need, keys + ["_b"], "left_semi")
-    sub = sub.withColumn("_cum", F.sum("_c").over(
-        Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    picked = (tb.join(sub.select(*keys, "_b", "_v", "_cum"), keys + ["_b"])
-              .where(F.col("_cum") > F.col("_r") - F.col("_hprev"))
-              .groupBy(*keys, "_q", "_w").agg(F.min("_v").alias("_x"), F.first("_f").alias("_f")))
-    aggs = []
-    for i, name in enumerate(probs):
-        lo = F.max(F.when((F.col("_q") == i) & (F.col("_w") == "lo"), F.col("_x")))
-        hi = F.max(F.when((F.col("_q") == i) & (F.col("_w") == "hi"), F.col("_x")))
-        fr = F.max(F.when(F.col("_q") == i, F.col("_f")))
-        aggs.append((lo + fr * (hi - lo)).alias(name))
-    out = picked.groupBy(*keys).agg(*aggs)
-    return out.drop("_g") if global_ else out
-
-
-def _single_level(counts: DataFrame, keys: list[str], probs: dict[str, float], part) -> DataFrame:
-    """Running count per group over (value, count) rows, bounded by the
-    group's number of distinct values."""
-    running = part.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (counts.withColumn("_cum", F.sum("_c").over(running))
-              .withColumn("_n", F.sum("_c").over(part)))
-    aggs = []
-    for name, p in probs.items():
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        x_lo = F.min(F.when(F.col("_cum") > lo, F.col("_v")))
-        x_hi = F.min(F.when(F.col("_cum") > hi, F.col("_v")))
-        aggs.append((x_lo + F.first(h - lo) * (x_hi - x_lo)).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+        row = sketch.select(*names).first()
+        rows = df
+
+        def literal(name, part):
+            v = row[name][part]
+            return F.lit(v).cast("double" if part != "n" else "long")
+
+    def part(name, field):
+        return F.col(name)[field] if keys else literal(name, field)
+
+    def cut(name, k):
+        if keys:
+            return F.get(F.col(name)["cuts"], F.lit(k))
+        return F.lit((row[name]["cuts"] or [None] * (k + 1))[k]).cast("double")
+
+    items, targets = [], []
+    for name, v in values.items():
+        s = f"_s_{name}"
+        whole = part(s, "n") < LEAST
+        for k, (prob, p) in enumerate(probs.items()):
+            lo = F.when(whole, part(s, "lo")).otherwise(cut(s, 2 * k))
+            hi = F.when(whole, part(s, "hi")).otherwise(cut(s, 2 * k + 1))
+            items.append(F.when(v <= hi, F.struct(F.lit(len(targets)).alias("q"), F.when(v >= lo, v).alias("x"),
+                                                  part(s, "n").alias("n"))))
+            targets.append((f"{name}_{prob}", p))
+    found = rows.select(*keys, F.explode(F.array_compact(F.array(*items))).alias("i"))
+    # x is null for all that lies below the bracket: one row per task and target
+    found = found.groupBy(*keys, F.col("i.q").alias("_q"), F.col("i.x").alias("_x")).agg(
+        F.count(F.lit(1)).alias("_c"), F.first("i.n").alias("_n"))
+    order = Window.partitionBy(*keys, "_q").orderBy(F.col("_x").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    at = (F.col("_n") - 1) * F.get(F.array(*[F.lit(float(p)) for _, p in targets]), F.col("_q"))
+    ranked = found.withColumn("_cum", F.sum("_c").over(order)).withColumn("_h", at).where(F.col("_x").isNotNull())
+    picked = ranked.groupBy(*keys, "_q").agg(
+        F.min(F.when(F.col("_cum") > F.floor("_h"), F.col("_x"))).alias("_a"),
+        F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("_x"))).alias("_b"),
+        F.first(F.col("_h") - F.floor("_h")).alias("_f"))
+    value = F.col("_a") + F.col("_f") * (F.col("_b") - F.col("_a"))
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == k, value)).alias(name)
+                                       for k, (name, _) in enumerate(targets)])
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles of ``value`` per ``keys``; nulls ignored.
+
+    Returns ``keys`` and one DOUBLE column per entry of ``probs`` (output name to probability), interpolated linearly
+    between order statistics like pandas / ``percentile``.  Groups with only nulls are absent; without keys the
+    result is one row."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    values = {"q": F.col("_v")}
+    sketch = cut_lineage(rows.groupBy(*keys).agg(*quantile_sketch(values, probs)))
+    out = quantiles_from_sketch(rows, keys, sketch, values, probs)
+    return out.withColumnsRenamed({f"q_{name}": name for name in probs})
 
 
 def corr_from_sums(x, y) -> Column:

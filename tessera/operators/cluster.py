@@ -62,7 +62,7 @@ def scaled_vectors(df: DataFrame, id_col: str, features: Sequence[str]) -> DataF
 
 
 def _fit(vecs: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(vecs)
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=300).fit(vecs)
 
 
 def kmeans_search(vecs: DataFrame, k_range=(2, 10), n_init: int = 10, seed: int = 42,

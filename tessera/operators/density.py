@@ -2,95 +2,104 @@
 
 HDBSCAN's building blocks expressed as Spark jobs:
 
-1. core distance = distance to the ``min_samples``-th neighbour (exact kNN
-   from ``neighbors.knn_join``; the point itself counts as the first
-   neighbour, as in HDBSCAN);
-2. mutual-reachability edges max(core_a, core_b, d_ab) over the kNN graph;
-3. the hierarchy is cut at ``epsilon``: edges with weight ≤ ε are kept and
-   connected components are found by iterated min-label propagation (one
-   join + aggregate per round, checkpointed so the plan stays small);
-4. components with ≥ ``min_cluster_size`` members are clusters, the rest
-   is noise (-1).
-
-This is the DBSCAN* cut of the HDBSCAN hierarchy at one ε over the kNN
-graph, not the excess-of-mass selection across all ε; ``membership`` =
-core_min / core within the cluster and ``outlier_score`` = 1 - ε_cluster /
-core are reported as approximations.
+1. core distance = distance to the ``min_samples``-th neighbour (exact kNN from ``neighbors.knn_join``; the point itself
+   counts as the first neighbour, as in HDBSCAN);
+2. the hierarchy is cut at ``epsilon``: points whose core distance is at most ε are dense, and dense points at most ε
+   apart are linked (mutual reachability ≤ ε).  Links come from a grid of cells of edge ε/√2: all points of a cell are
+   within ε, so one link each to the cell's first point is enough; between neighbouring cells one link per pair of
+   cells is kept;
+3. connected components by star contraction (``components.py``), without a cap on rounds;
+4. components with ≥ ``min_cluster_size`` members are clusters, the rest is noise (-1).
+
+This is the DBSCAN* cut of the HDBSCAN hierarchy at one ε, not the excess-of-mass selection across all ε;
+``membership`` = core_min / core within the cluster and ``outlier_score`` = 1 - ε_cluster / core are reported as
+approximations.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.stats import grouped_quantiles
+from tessera.operators.components import connected_components as components
 from tessera.operators.neighbors import knn_join
 from tessera.session import cut_lineage
 
 
-def core_distances(points: DataFrame, min_samples: int) -> tuple[DataFrame, DataFrame]:
-    """(pid, core) and the kNN edges (pid, tid, dist) used for the graph.
-
-    One kNN join with k_graph = max(2·min_samples, 10) neighbours serves
-    both: the core distance is the (min_samples - 1)-th neighbour distance
-    (the point itself counts first) and all k_graph edges form the graph,
-    dense enough that a cluster's points stay connected."""
-    k_core = max(min_samples - 1, 1)
-    k_graph = max(2 * min_samples, 10, k_core)
-    nn = cut_lineage(knn_join(points, points.withColumnRenamed("pid", "tid"), k_graph, exclude_self=True))
-    core = nn.where(F.col("rank") <= k_core).groupBy("pid").agg(F.max("dist").alias("core"))
-    return core, nn.select("pid", "tid", "dist")
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(pid, component) by min-label propagation over undirected edges
-    (src, dst); component = smallest pid reachable."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
-        edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
-    both = cut_lineage(both.distinct())
-    labels = cut_lineage(nodes.select("pid", F.col("pid").alias("label")))
-    for _ in range(max_rounds):
-        offers = (both.join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "nl"), "b")
-                  .groupBy(F.col("a").alias("pid")).agg(F.min("nl").alias("offer")))
-        nxt = (labels.join(offers, "pid", "left")
-               .select("pid", F.least("label", F.coalesce("offer", "label")).alias("label")))
-        nxt = cut_lineage(nxt)
-        changed = nxt.join(labels.withColumnRenamed("label", "old"), "pid").where(
-            F.col("label") != F.col("old")).limit(1).count()
-        labels = nxt
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+def core_distances(points: DataFrame, min_samples: int) -> DataFrame:
+    """(pid, core): distance to the (min_samples - 1)-th other point (the point itself counts first)."""
+    k = max(min_samples - 1, 1)
+    nn = knn_join(points, points.withColumnRenamed("pid", "tid"), k, exclude_self=True)
+    return nn.groupBy("pid").agg(F.max("dist").alias("core"))
+
+
+def range_links(points: DataFrame, epsilon: float) -> DataFrame:
+    """(src, dst) whose components are those of all pairs of (pid, x, y) at most ``epsilon`` apart."""
+    if epsilon <= 0:  # equal places only
+        w = Window.partitionBy("x", "y")
+        return points.select(F.col("pid").alias("src"), F.min("pid").over(w).alias("dst")).where("src != dst")
+    edge = epsilon / math.sqrt(2.0)
+    cells = points.withColumn("cx", F.floor(F.col("x") / edge)).withColumn("cy", F.floor(F.col("y") / edge))
+    first = cells.groupBy("cx", "cy").agg(F.min("pid").alias("lead"))
+    cells = cut_lineage(cells.join(first, ["cx", "cy"]))
+    inside = cells.where("pid != lead").select(F.col("pid").alias("src"), F.col("lead").alias("dst"))
+    reach = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in reach])
+    probe = cells.select("x", "y", "lead", F.explode(steps).alias("s"), "cx", "cy").select(
+        "x", "y", "lead", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    other = cells.select("cx", "cy", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("lead").alias("other"))
+    near = probe.join(other, ["cx", "cy"]).where(
+        F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2) <= epsilon * epsilon)
+    across = near.select(F.col("lead").alias("src"), F.col("other").alias("dst")).distinct()
+    return inside.unionByName(across)
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pid, component) of every node; component = smallest pid reachable over (src, dst)."""
+    parts = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return nodes.select("pid").join(parts.withColumnRenamed("node", "pid"), "pid", "left").select(
+        "pid", F.coalesce("component", "pid").alias("component"))
+
+
+def _cut(pts: DataFrame, core: DataFrame, epsilon: float) -> DataFrame:
+    """(pid, component, size) of the dense points at one ε."""
+    dense = cut_lineage(pts.join(core.where(F.col("core") <= epsilon).select("pid"), "pid", "left_semi"))
+    comp = connected_components(dense, range_links(dense, epsilon))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return cut_lineage(comp.join(sizes, "component"))
+
+
+def _labelled(pts: DataFrame, comp: DataFrame, min_cluster_size: int) -> DataFrame:
+    """(pid, cluster): components of the size numbered in order, the rest -1."""
+    big = comp.where(F.col("size") >= min_cluster_size)
+    # at most n / min_cluster_size of them
+    ranked = big.select("component").distinct().withColumn("cluster", F.dense_rank().over(Window.orderBy("component")) - 1)
+    lab = big.join(ranked, "component").select("pid", "cluster")
+    return pts.select("pid").join(lab, "pid", "left").withColumn(
+        "cluster", F.coalesce(F.col("cluster"), F.lit(-1)).cast("int"))
+
+
+def default_epsilon(core: DataFrame) -> float:
+    """Three times the median core distance: the scale of the dense regions."""
+    return 3.0 * (grouped_quantiles(core, [], "core", {"median": 0.5}).first()["median"] or 0.0)
 
 
 def density_clusters(points: DataFrame, min_cluster_size: int = 5, min_samples: int = 3,
                      epsilon: float | None = None) -> DataFrame:
-    """(pid, cluster, membership, outlier_score); ε defaults to three
-    times the median core distance (the scale of the dense regions)."""
+    """(pid, cluster, membership, outlier_score)."""
     pts = cut_lineage(points.select("pid", "x", "y"))
-    core, nn = core_distances(pts, min_samples)
-    core = cut_lineage(core)
-    eps = epsilon if epsilon is not None else 3.0 * core.select(F.median("core")).first()[0]
-    e = (nn.join(core.withColumnRenamed("core", "ca"), "pid")
-         .join(core.select(F.col("pid").alias("tid"), F.col("core").alias("cb")), "tid")
-         .withColumn("w", F.greatest("dist", "ca", "cb")))
-    edges = e.where(F.col("w") <= eps).select(F.col("pid").alias("src"), F.col("tid").alias("dst"))
-    # A point whose own core distance exceeds ε is noise in the ε cut.
-    dense = core.where(F.col("core") <= eps).select("pid")
-    comp = connected_components(dense, edges.join(dense.withColumnRenamed("pid", "src"), "src", "left_semi")
-                                .join(dense.withColumnRenamed("pid", "dst"), "dst", "left_semi"))
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.where(F.col("size") >= min_cluster_size)
-    # Components above the size threshold are few (bounded by n / size):
-    # number them in component order.
-    ranked = big.withColumn("cluster", F.dense_rank().over(Window.orderBy("component")) - 1)
-    labelled = comp.join(ranked.select("component", "cluster"), "component", "left")
-    out = (pts.select("pid").join(labelled.select("pid", "cluster"), "pid", "left")
-           .join(core, "pid", "left")
-           .withColumn("cluster", F.coalesce(F.col("cluster"), F.lit(-1)).cast("int")))
+    core = cut_lineage(core_distances(pts, min_samples))
+    eps = default_epsilon(core) if epsilon is None else epsilon
+    out = _labelled(pts, _cut(pts, core, eps), min_cluster_size).join(core, "pid", "left")
     cmin = out.where(F.col("cluster") >= 0).groupBy("cluster").agg(F.min("core").alias("cmin"))
     return (out.join(cmin, "cluster", "left")
-            .withColumn("membership", F.when(F.col("cluster") >= 0, F.col("cmin") / F.col("core")).otherwise(0.0))
-            .withColumn("outlier_score", F.greatest(F.lit(0.0), 1 - F.lit(float(eps)) / F.col("core")))
+            .withColumn("membership", F.when(F.col("cluster") >= 0, F.coalesce(
+                F.try_divide(F.col("cmin"), F.col("core")), F.lit(1.0))).otherwise(0.0))
+            .withColumn("outlier_score", F.coalesce(F.greatest(F.lit(0.0), 1 - F.try_divide(
+                F.lit(float(eps)), F.col("core"))), F.lit(0.0)))
             .select("pid", "cluster", "membership", "outlier_score"))
 
 
@@ -99,47 +108,31 @@ TUNING_GRID = {"min_cluster_size": [50, 100, 150], "min_samples": [25, 50, 75],
                "cluster_selection_epsilon": [0.0, 0.1, 0.2]}
 
 
-def _cut(pts: DataFrame, nn: DataFrame, min_cluster_size: int, min_samples: int, eps_floor: float) -> DataFrame:
-    k_core = max(min_samples - 1, 1)
-    core = cut_lineage(nn.where(F.col("rank") <= k_core).groupBy("pid").agg(F.max("dist").alias("core")))
-    eps = max(eps_floor, 3.0 * (core.select(F.median("core")).first()[0] or 0.0))
-    e = (nn.join(core.withColumnRenamed("core", "ca"), "pid")
-         .join(core.select(F.col("pid").alias("tid"), F.col("core").alias("cb")), "tid")
-         .where(F.greatest("dist", "ca", "cb") <= eps)
-         .select(F.col("pid").alias("src"), F.col("tid").alias("dst")))
-    dense = core.where(F.col("core") <= eps).select("pid")
-    comp = connected_components(dense, e)
-    big = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_cluster_size)
-    ranked = big.withColumn("cluster", F.dense_rank().over(Window.orderBy("component")) - 1)
-    lab = comp.join(ranked.select("component", "cluster"), "component")
-    return (pts.select("pid").join(lab.select("pid", "cluster"), "pid", "left")
-            .withColumn("cluster", F.coalesce(F.col("cluster"), F.lit(-1)).cast("int")))
-
-
 def tune_density(points: DataFrame, grid: dict | None = None) -> DataFrame:
     """Every grid point's clusters, outliers and non-noise silhouette
     (squared Euclidean); ``best`` marks the highest silhouette among
     settings with ≥ 2 clusters.  One kNN join (the largest k) serves every
-    min_samples value."""
+    min_samples value, one cut every min_cluster_size; each ε is used as given."""
     from tessera.operators.metrics import silhouette_sq
     from tessera.operators.prep import to_long
     grid = grid or TUNING_GRID
     spark = points.sparkSession
     pts = cut_lineage(points.select("pid", "x", "y"))
-    k_graph = max(2 * max(grid["min_samples"]), 10)
-    nn = cut_lineage(knn_join(pts, pts.withColumnRenamed("pid", "tid"), k_graph, exclude_self=True))
+    most = max(max(grid["min_samples"]) - 1, 1)
+    nn = cut_lineage(knn_join(pts, pts.withColumnRenamed("pid", "tid"), most, exclude_self=True))
     long = to_long(pts, "pid", ["x", "y"])
     rows = []
-    for mcs in grid["min_cluster_size"]:
-        for ms in grid["min_samples"]:
-            for eps in grid["cluster_selection_epsilon"]:
-                lab = _cut(pts, nn, mcs, ms, eps)
+    for ms in grid["min_samples"]:
+        core = cut_lineage(nn.where(F.col("rank") <= max(ms - 1, 1)).groupBy("pid").agg(F.max("dist").alias("core")))
+        for eps in grid["cluster_selection_epsilon"]:
+            comp = _cut(pts, core, float(eps))
+            for mcs in grid["min_cluster_size"]:
+                lab = _labelled(pts, comp, mcs)
                 st = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
                              F.count_if(F.col("cluster") == -1).alias("noise")).first()
-                sil = None
-                if st["k"] >= 2:
-                    sil = silhouette_sq(long, lab, "pid").first()[0]
+                sil = silhouette_sq(long, lab, "pid").first()[0] if st["k"] >= 2 else None
                 rows.append((mcs, ms, float(eps), int(st["k"]), int(st["noise"]), sil))
+    rows.sort(key=lambda r: r[:3])
     valid = [r for r in rows if r[5] is not None]
     best = max(valid, key=lambda r: r[5]) if valid else None
     return spark.createDataFrame(

@@ -7,7 +7,7 @@ per county.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import temporal
@@ -23,17 +23,19 @@ def temporal_patterns(trips: DataFrame) -> DataFrame:
     """Per county share of peak-hour, weekend, night, summer and
     winter trips and |summer - winter|, by start time."""
     t = trips.where(F.col("county_fips").isNotNull())
+    return t.groupBy("county_fips").agg(*temporal_aggregates())
+
+
+def temporal_aggregates() -> list[Column]:
+    """H06's aggregates, so that another pass over the trips can carry them."""
     ts = F.col("start_time")
     share = lambda cond: F.avg(cond.cast("double"))
-    agg = t.groupBy("county_fips").agg(
-        share(F.hour(ts).isin(*PEAK_HOURS)).alias("peak_hour_ratio"),
-        share(F.weekday(ts).isin(5, 6)).alias("weekend_ratio"),
-        share(F.hour(ts).isin(*NIGHT_HOURS)).alias("night_trips_ratio"),
-        share(temporal.season(F.month(ts)) == "Summer").alias("summer_trips_ratio"),
-        share(temporal.season(F.month(ts)) == "Winter").alias("winter_trips_ratio"),
-    )
-    return agg.withColumn("seasonal_variation",
-                          F.abs(F.col("summer_trips_ratio") - F.col("winter_trips_ratio")))
+    summer, winter = (share(temporal.season(F.month(ts)) == s) for s in ("Summer", "Winter"))
+    return [share(F.hour(ts).isin(*PEAK_HOURS)).alias("peak_hour_ratio"),
+            share(F.weekday(ts).isin(5, 6)).alias("weekend_ratio"),
+            share(F.hour(ts).isin(*NIGHT_HOURS)).alias("night_trips_ratio"),
+            summer.alias("summer_trips_ratio"), winter.alias("winter_trips_ratio"),
+            F.abs(summer - winter).alias("seasonal_variation")]
 
 
 def add_usage_patterns(df: DataFrame) -> DataFrame:
@@ -76,10 +78,12 @@ def add_per_capita_mobility(df: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def create_mobility_features(mobility: DataFrame, enriched_trips: DataFrame | None,
-                             population: DataFrame | None) -> DataFrame:
-    """H06 (left join) → E01 → E02 → E03."""
+                             population: DataFrame | None, temporal_shares: DataFrame | None = None) -> DataFrame:
+    """H06 (left join) → E01 → E02 → E03; ``temporal_shares`` is H06's result, if it is at hand."""
     f = mobility
-    if enriched_trips is not None:
+    if temporal_shares is not None:
+        f = f.join(temporal_shares, "county_fips", "left")
+    elif enriched_trips is not None:
         f = f.join(temporal_patterns(enriched_trips), "county_fips", "left")
     f = add_volume_intensity(add_usage_patterns(f))
     if population is not None:

@@ -59,7 +59,8 @@ def knn_join(points: DataFrame, targets: DataFrame, k: int, *,
     g = t.agg(F.min("tcx"), F.max("tcx"), F.min("tcy"), F.max("tcy")).first()
     if g[0] is None:
         t.unpersist()
-        return spark.createDataFrame([], "pid long, tid long, dist double, rank int")
+        kinds = [d.schema[c].dataType.simpleString() for d, c in ((points, "pid"), (targets, "tid"))]
+        return spark.createDataFrame([], f"pid {kinds[0]}, tid {kinds[1]}, dist double, rank int")
     gx0, gx1, gy0, gy1 = (int(v) for v in g)
 
     # Every round's small tables (unresolved points, resolved ids, results)

@@ -31,7 +31,8 @@ DRIVER_PATTERNS = {
     "temporal": ["hour", "day", "month", "season"],
     "demographic": ["income", "age", "education"],
 }
-_MODELS: dict[tuple, dict] = {}
+_MODELS: dict[tuple, tuple] = {}
+PARTS = 2  # partitions of the training table
 
 
 def prepare_prediction_data(mobility: DataFrame, spending: DataFrame) -> DataFrame:
@@ -67,8 +68,8 @@ def _design(df: DataFrame) -> DataFrame:
 
 def _estimator(kind: str, params: dict, seed: int = 42):
     if kind == "random_forest":
-        return RandomForestRegressor(seed=seed, **params)
-    return GBTRegressor(seed=seed, **params)
+        return RandomForestRegressor(seed=seed, maxMemoryInMB=1024, **params)
+    return GBTRegressor(seed=seed, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=-1, **params)
 
 
 def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threads: int = 8) -> dict:
@@ -76,14 +77,12 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
     all rows, training R² and RMSE, fold R² mean / std, importances."""
     spark = data.sparkSession
     key = (spark.sparkContext.applicationId, id(data), kind)
-    if key in _MODELS:
-        return _MODELS[key]
+    if key in _MODELS:  # the entry holds the frame, so no other can have its id
+        return _MODELS[key][1]
     folded = _design(time_series_folds(data))
-    # The training table is one row per area × month; tree learners pay a
-    # Spark job per iteration, so tasks are sized to ~200k rows each rather
-    # than spread over the default shuffle partitions.
-    n_rows = folded.count()
-    folded = folded.repartition(max(1, n_rows // 200_000)).persist()
+    # One row per area × month; tree learners pay a Spark job per iteration, so a few tasks are enough.  Their
+    # number is fixed, as it decides the forests' seeded samples.
+    folded = folded.repartition(PARTS, "row_index").persist()
     n_folds = int(folded.select(F.max("test_fold")).first()[0]) + 1
     grid = GRIDS[kind]
     combos = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
@@ -121,7 +120,9 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
     grid_table = spark.createDataFrame(grid_rows, "grid_point int, params string, mean_fold_mse double, best boolean")
     out = {"model": model, "metrics": metrics, "importance": imp, "best_params": best, "grid": grid_table,
            "predictions": pred.select("county_fips", "date", "label", "prediction")}
-    _MODELS[key] = out
+    _MODELS[key] = (data, out)
+    for part in (folded, *[p for pair in splits for p in pair]):
+        part.unpersist()
     return out
 
 
@@ -134,16 +135,16 @@ def _gbt_staged_scores(grid: dict, combos: list[dict], splits, threads: int) ->
     top = max(grid["maxIter"])
     keys = sorted({(c["maxDepth"], c["stepSize"]) for c in combos})
 
-    def staged(key):
-        depth, step = key
-        per_fold = []
-        for tr, te in splits:
-            m = _estimator("gbt", {"maxIter": top, "maxDepth": depth, "stepSize": step}).fit(tr)
-            per_fold.append(m.evaluateEachIteration(te, "squared"))
-        return key, per_fold
+    def staged(job):
+        (depth, step), (tr, te) = job
+        m = _estimator("gbt", {"maxIter": top, "maxDepth": depth, "stepSize": step}).fit(tr)
+        return m.evaluateEachIteration(te, "squared")
 
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        curves = dict(pool.map(staged, keys))
+    # every fit is a long chain of short jobs: all of them at once keep the executors busy
+    jobs = [(key, split) for key in keys for split in splits]
+    with ThreadPoolExecutor(max_workers=max(threads, len(jobs))) as pool:
+        scores = list(pool.map(staged, jobs))
+    curves = {key: [s for (k, _), s in zip(jobs, scores) if k == key] for key in keys}
     out = []
     for c in combos:
         per_fold = curves[(c["maxDepth"], c["stepSize"])]

@@ -13,11 +13,13 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
-from tessera.functions.stats import grouped_quantiles
+from tessera.functions.stats import quantile_sketch, quantiles_from_sketch
 from tessera.operators.neighbors import knn_join
 from tessera.session import broadcast_if_bounded, cut_lineage
 
@@ -126,8 +128,8 @@ def nearest_centroid(points: DataFrame, prepared: DataFrame) -> DataFrame:
         "tid", F.dense_rank().over(Window.orderBy("county_fips")).cast("long"))
     tg = prepared.join(codes, "county_fips").select(
         "tid", F.col("centroid_lng").alias("x"), F.col("centroid_lat").alias("y"))
-    pid = points.select(F.col("station_id").cast("long").alias("pid"),
-                        F.col("lng").alias("x"), F.col("lat").alias("y"))
+    # ids of any type: real station ids are text
+    pid = points.select(F.col("station_id").alias("pid"), F.col("lng").alias("x"), F.col("lat").alias("y"))
     nn = knn_join(pid, tg, 1)
     return (nn.join(codes, "tid")
             .select(F.col("pid").alias("station_id"), "county_fips"))
@@ -183,77 +185,37 @@ def add_trip_metrics(trips: DataFrame) -> DataFrame:
                         F.try_divide(F.col("trip_distance_km"), F.col("trip_duration_minutes") / 60.0)))
 
 
-_H01_METRICS = ["trip", "duration", "distance", "speed", "member", "inter"]
-
-
-def county_aggregation(trips: DataFrame) -> DataFrame:
+def county_aggregation(trips: DataFrame, extra: Sequence[Column] = ()) -> DataFrame:
     """Per-county trip statistics (null counties dropped as in pandas).
 
-    One pass over the trips: each trip becomes (county, metric, value)
-    rows for its duration, distance, speed and 0/1 member / inter-county
-    flags, and a map-side partial aggregate compresses them to value
-    counts.  Counts, means, sample standard deviations (centred second
-    pass over the compressed table) and exact medians (running counts)
-    all derive from that one table, so the trips — and the join that
-    produces them — are read once, and a county holding a third of all
-    trips costs one row per distinct value.
+    One aggregate over the trips, partial on the map side, holds every count, mean and standard deviation, the sketches
+    of the three medians, and ``extra`` aggregates of the caller (appended as columns).  A second pass ranks only the
+    values in the medians' brackets, so no per-trip row is shuffled or written.
     """
     t = trips.where(F.col("county_fips").isNotNull())
-    m = F.explode(F.array(
-        F.struct(F.lit("trip").alias("metric"), F.when(F.col("trip_id").isNotNull(), F.lit(1.0)).alias("value")),
-        F.struct(F.lit("duration").alias("metric"), F.col("trip_duration_minutes").cast("double").alias("value")),
-        F.struct(F.lit("distance").alias("metric"), F.col("trip_distance_km").cast("double").alias("value")),
-        F.struct(F.lit("speed").alias("metric"), F.col("trip_speed_kmh").cast("double").alias("value")),
-        F.struct(F.lit("member").alias("metric"),
-                 F.coalesce(F.col("member_type") == "member", F.lit(False)).cast("double").alias("value")),
-        F.struct(F.lit("inter").alias("metric"),
-                 F.coalesce(F.col("is_inter_county"), F.lit(False)).cast("double").alias("value"))))
-    vc = (t.select("county_fips", m.alias("m")).select("county_fips", "m.metric", "m.value")
-          .where(F.col("value").isNotNull())
-          .groupBy("county_fips", "metric", "value").agg(F.count(F.lit(1)).alias("c")))
-    # The one pass over trips: materialize the compressed table (reliable
-    # checkpoint) so every statistic below reads it, not the trips.
-    vc = cut_lineage(vc)
-    mom = vc.groupBy("county_fips", "metric").agg(
-        F.sum("c").alias("n"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("mean"),
-        F.sum(F.when(F.col("value") > 0, F.col("c")).otherwise(0)).alias("positives"))
-    dev = (vc.join(mom.select("county_fips", "metric", "mean"), ["county_fips", "metric"])
-           .groupBy("county_fips", "metric")
-           .agg(F.sum(F.col("c") * (F.col("value") - F.col("mean")) ** 2).alias("m2")))
-    med = grouped_quantiles(vc.where(F.col("metric").isin("duration", "distance", "speed")),
-                            ["county_fips", "metric"], "value", {"median": 0.5}, count_col="c")
-    s = (mom.join(dev, ["county_fips", "metric"]).join(med, ["county_fips", "metric"], "left")
-         .withColumn("std", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))))
-
-    def pick(metric, col):
-        return F.max(F.when(F.col("metric") == metric, F.col(col)))
-
-    wide = s.groupBy("county_fips").agg(
-        pick("trip", "n").alias("total_trips"),
-        pick("duration", "mean").alias("avg_trip_duration_minutes"),
-        pick("duration", "median").alias("median_trip_duration_minutes"),
-        pick("duration", "std").alias("std_trip_duration_minutes"),
-        pick("distance", "mean").alias("avg_trip_distance_km"),
-        pick("distance", "median").alias("median_trip_distance_km"),
-        pick("distance", "std").alias("std_trip_distance_km"),
-        pick("speed", "mean").alias("avg_trip_speed_kmh"),
-        pick("speed", "median").alias("median_trip_speed_kmh"),
-        pick("inter", "positives").alias("inter_county_trips"),
-        pick("member", "positives").alias("member_trips"))
-    wide = wide.select(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-                         if c in ("total_trips", "inter_county_trips", "member_trips") else F.col(c)
-                         for c in wide.columns])
-    return wide.select(
+    values = {c: F.col(c).cast("double") for c in ("trip_duration_minutes", "trip_distance_km", "trip_speed_kmh")}
+    median = {"median": 0.5}
+    stats = [fn(v).alias(f"{prefix}_{c}") for c, v in values.items() for prefix, fn in (("avg", F.avg), ("std", F.stddev_samp))]
+    agg = cut_lineage(t.groupBy("county_fips").agg(
+        F.count("trip_id").alias("total_trips"), *stats,
+        F.count_if(F.coalesce(F.col("is_inter_county"), F.lit(False))).alias("inter_county_trips"),
+        F.count_if(F.coalesce(F.col("member_type") == "member", F.lit(False))).alias("member_trips"),
+        *quantile_sketch(values, median), *extra))
+    more = [c for c in agg.columns if c not in {
+        "county_fips", "total_trips", "inter_county_trips", "member_trips", *[f"_s_{v}" for v in values],
+        *[f"{p}_{v}" for v in values for p in ("avg", "std")]}]
+    med = quantiles_from_sketch(t, ["county_fips"], agg, values, median)
+    return agg.join(med, "county_fips", "left").select(
         "county_fips", "total_trips",
-        "avg_trip_duration_minutes", "median_trip_duration_minutes", "std_trip_duration_minutes",
-        "avg_trip_distance_km", "median_trip_distance_km", "std_trip_distance_km",
-        "avg_trip_speed_kmh", "median_trip_speed_kmh",
+        "avg_trip_duration_minutes", F.col("trip_duration_minutes_median").alias("median_trip_duration_minutes"),
+        "std_trip_duration_minutes",
+        "avg_trip_distance_km", F.col("trip_distance_km_median").alias("median_trip_distance_km"), "std_trip_distance_km",
+        "avg_trip_speed_kmh", F.col("trip_speed_kmh_median").alias("median_trip_speed_kmh"),
         "inter_county_trips", "member_trips",
         (F.col("total_trips") - F.col("member_trips")).alias("casual_trips"),
         F.try_divide(F.col("member_trips").cast("double"), F.col("total_trips")).alias("member_ratio"),
         F.try_divide(F.col("inter_county_trips").cast("double"), F.col("total_trips"))
-        .alias("inter_county_ratio"),
-    )
+        .alias("inter_county_ratio"), *more)
 
 
 def add_county_metadata(county_agg: DataFrame, prepared: DataFrame) -> DataFrame:

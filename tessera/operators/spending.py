@@ -3,9 +3,9 @@
 
 The spending table is county × month × category, so every operator here is
 a grouped aggregate or a window partitioned by county; no operator
-collects a county's rows.  Pivots use an explicit category list so the
-schema is fixed before execution and the pivot compiles to conditional
-sums in one partial aggregate.
+collects a county's rows.  Pivots take the categories that the data hold
+(one small distinct, of the size of the schema), so no category's money is
+left out, and compile to conditional sums in one partial aggregate.
 """
 
 from __future__ import annotations
@@ -17,37 +17,55 @@ from pyspark.sql import functions as F
 
 from tessera.functions import temporal
 from tessera.functions.bands import quantile_cut
+from tessera.functions.stats import grouped_quantiles
 from tessera.sources.views import CATEGORY_BY_PART_TYPE
 
 # Fixed values that must equal the reference's results.
 ESSENTIAL = ["grocery", "healthcare", "transportation"]
 DISCRETIONARY = ["restaurants", "entertainment", "retail"]
 ENTROPY_EPS = 1e-10
-# Categories present in the adapter's spending table, in pivot (sorted) order.
+# Categories of the adapter's spending table, in pivot (sorted) order: what its oracles spell out.
 CATEGORIES = sorted(CATEGORY_BY_PART_TYPE.values())
 
 AGG_FUNCS = {
     "sum": F.sum, "mean": F.avg, "std": F.stddev_samp, "count": F.count,
-    "min": F.min, "max": F.max, "median": F.median, "var": F.var_samp,
+    "min": F.min, "max": F.max, "var": F.var_samp,
 }
 
 
+def category_list(spending: DataFrame) -> list[str]:
+    """The categories that occur, sorted."""
+    return sorted(r[0] for r in spending.select("category").distinct().collect() if r[0] is not None)
+
+
+def _with_prefix(df: DataFrame, prefix: str) -> list[str]:
+    return [c.removeprefix(prefix) for c in df.columns if c.startswith(prefix)]
+
+
 def aggregate_spending(df: DataFrame, group_cols: Sequence[str],
                        agg_functions: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Free grouping; columns named ``<col>_<fn>`` (whitelisted fns)."""
     agg_functions = agg_functions or {"spending_amount": ["sum", "mean", "std", "count"]}
-    exprs = []
+    exprs, medians, order = [], [], list(group_cols)
     for c, fns in agg_functions.items():
         for fn in ([fns] if isinstance(fns, str) else fns):
-            if fn not in AGG_FUNCS:
+            order.append(f"{c}_{fn}")
+            if fn == "median":
+                medians.append(grouped_quantiles(df, list(group_cols), c, {f"{c}_median": 0.5}))
+            elif fn in AGG_FUNCS:
+                exprs.append(AGG_FUNCS[fn](F.col(c)).alias(f"{c}_{fn}"))
+            else:
                 raise ValueError(f"unsupported aggregate {fn!r}")
-            exprs.append(AGG_FUNCS[fn](F.col(c)).alias(f"{c}_{fn}"))
-    return df.groupBy(*group_cols).agg(*exprs)
+    out = df.groupBy(*group_cols).agg(*(exprs or [F.count(F.lit(1)).alias("_rows")]))
+    for m in medians:
+        out = out.join(m, list(group_cols), "left")
+    return out.select(*order)
 
 
-def pivot_spending(spending: DataFrame, categories: Sequence[str] = CATEGORIES,
+def pivot_spending(spending: DataFrame, categories: Sequence[str] | None = None,
                    fill_zero: bool = True) -> DataFrame:
-    """H05 (fill 0) / H03 pivot (missing stays null): spending_<cat> sums."""
+    """H05 (fill 0) / H03 pivot (missing stays null): spending_<cat> sums of the categories that occur."""
+    categories = category_list(spending) if categories is None else categories
     p = (spending.groupBy("county_fips").pivot("category", list(categories))
          .agg(F.sum("spending_amount")))
     for c in categories:
@@ -58,7 +76,7 @@ def pivot_spending(spending: DataFrame, categories: Sequence[str] = CATEGORIES,
 
 
 def join_mobility_spending(mobility: DataFrame, spending: DataFrame,
-                           categories: Sequence[str] = CATEGORIES) -> DataFrame:
+                           categories: Sequence[str] | None = None) -> DataFrame:
     """H03 + J01: pivot of per-category sums, inner joined on county.
 
     The reference pivots only when month and year exist; otherwise the
@@ -95,9 +113,10 @@ def spending_trend(spending: DataFrame) -> DataFrame:
             .where(F.col("n") > 2).select("county_fips", "spending_trend"))
 
 
-def spending_volatility(spending: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+def spending_volatility(spending: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
     """std/mean per county × category when n > 1 and mean > 0,
     pivoted to spending_volatility_<cat>."""
+    categories = category_list(spending) if categories is None else categories
     g = spending.groupBy("county_fips", "category").agg(
         F.count("spending_amount").alias("n"), F.avg("spending_amount").alias("m"),
         F.stddev_samp("spending_amount").alias("s"))
@@ -109,7 +128,7 @@ def spending_volatility(spending: DataFrame, categories: Sequence[str] = CATEGOR
 
 
 def spending_temporal_features(features: DataFrame, spending: DataFrame,
-                               categories: Sequence[str] = CATEGORIES) -> DataFrame:
+                               categories: Sequence[str] | None = None) -> DataFrame:
     """W04 + W03 for counties with ≥ 2 spending rows, left joined."""
     eligible = (spending.groupBy("county_fips").agg(F.count(F.lit(1)).alias("rows"))
                 .where(F.col("rows") >= 2).select("county_fips"))
@@ -125,8 +144,9 @@ def share(x: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(x, total), F.lit(0.0))
 
 
-def add_spending_proportions(pivot: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+def add_spending_proportions(pivot: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
     """Total, shares spending_pct_<cat>, entropy diversity."""
+    categories = _with_prefix(pivot, "spending_") if categories is None else list(categories)
     total = sum((F.col(f"spending_{c}") for c in categories[1:]), F.col(f"spending_{categories[0]}"))
     df = pivot.withColumn("total_spending", total)
     for c in categories:
@@ -139,8 +159,9 @@ def add_spending_proportions(pivot: DataFrame, categories: Sequence[str] = CATEG
     return df.withColumn("spending_diversity", -ent)
 
 
-def add_spending_intensity(df: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
+def add_spending_intensity(df: DataFrame, categories: Sequence[str] | None = None) -> DataFrame:
     """F05 intensity band, F08 dominant category/share, F09 totals."""
+    categories = _with_prefix(df, "spending_pct_") if categories is None else list(categories)
     df = quantile_cut(df, "total_spending", (0.25, 0.75), out="spending_intensity_category")
     pct = [f"spending_pct_{c}" for c in categories]
     mx = F.greatest(*[F.col(c) for c in pct])
@@ -169,8 +190,9 @@ def latest_population(population: DataFrame) -> DataFrame:
 
 
 def add_per_capita_spending(df: DataFrame, population: DataFrame,
-                            categories: Sequence[str] = CATEGORIES) -> DataFrame:
+                            categories: Sequence[str] | None = None) -> DataFrame:
     """Category amounts and total divided by latest population."""
+    categories = _with_prefix(df, "spending_pct_") if categories is None else list(categories)
     out = df.join(latest_population(population), "county_fips", "left")
     for c in categories:
         out = out.withColumn(f"spending_per_capita_{c}",
@@ -180,8 +202,9 @@ def add_per_capita_spending(df: DataFrame, population: DataFrame,
 
 
 def create_spending_features(spending: DataFrame, population: DataFrame | None,
-                             categories: Sequence[str] = CATEGORIES) -> DataFrame:
+                             categories: Sequence[str] | None = None) -> DataFrame:
     """H05 → E05 → E06 → W08 → E07."""
+    categories = category_list(spending) if categories is None else list(categories)
     f = pivot_spending(spending, categories)
     f = add_spending_proportions(f, categories)
     f = add_spending_intensity(f, categories)

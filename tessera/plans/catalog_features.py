@@ -332,7 +332,7 @@ def j05(spark, d):
           ("peak_hour_ratio", "weekend_ratio", "night_trips_ratio", "summer_trips_ratio", "winter_trips_ratio",
            "seasonal_variation"), digits=8)
 def h06(spark, d):
-    return features.temporal_patterns(context(spark, d).enriched_trips())
+    return context(spark, d).temporal_patterns()
 
 
 _MOB_D = ("avg_trip_duration_minutes", "median_trip_duration_minutes", "std_trip_duration_minutes",
@@ -393,10 +393,8 @@ SELECT m.county_fips, m.total_trips, tp.peak_hour_ratio, tp.weekend_ratio, tp.ni
 FROM county_mobility m LEFT JOIN temporal_patterns tp ON m.county_fips = tp.county_fips""",
           ("peak_hour_ratio", "weekend_ratio", "night_trips_ratio"), digits=8)
 def j10(spark, d):
-    t = views.trips(spark, d)
-    b = views.boundaries(spark, d)
     mob = context(spark, d).county_mobility().select("county_fips", "total_trips")
-    tp = features.temporal_patterns(context(spark, d).enriched_trips()).select(
+    tp = context(spark, d).temporal_patterns().select(
         "county_fips", "peak_hour_ratio", "weekend_ratio", "night_trips_ratio")
     return mob.join(tp, "county_fips", "left")
 

@@ -15,7 +15,7 @@ from tessera.plans.context import context
 from tessera.plans.registry import register
 from tessera.sources import views
 
-K01_RANGE = (2, 5)   # the reference's timed search range (k = 2..5)
+K01_RANGE = (2, 10)  # the reference's search range
 N_INIT = 10
 
 
@@ -31,7 +31,7 @@ def county_vectors(spark, d):
 
 @register("k01_kmeans_optimal_stations")
 def k01(spark, d):
-    """K-Means search over k = 2..5 (10 seeded fits each) on ten usage
+    """K-Means search over k = 2..10 (10 seeded fits each) on ten usage
     features of every start station."""
     table, _ = C.kmeans_search(station_vectors(spark, d), K01_RANGE, N_INIT)
     return table
@@ -48,7 +48,7 @@ def k01c(spark, d):
 @register("k07_stability_testing")
 def k07(spark, d):
     vecs = county_vectors(spark, d)
-    table, _ = C.kmeans_search(vecs, (2, 10), 3)
+    table, _ = C.kmeans_search(vecs, (2, 10), N_INIT)
     best = table.where("best").select("k").first()
     return C.stability(vecs, int(best[0]) if best else 2, 10, 0.8)
 
@@ -66,7 +66,7 @@ def k13(spark, d):
     (noise removed) per algorithm, best flags."""
     from tessera.operators import metrics
     long = CC.cluster_matrix(spark, d)
-    _, km = C.kmeans_search(county_vectors(spark, d), (2, 10), 3)
+    _, km = C.kmeans_search(county_vectors(spark, d), (2, 10), N_INIT)
     rows = None
     dens = county_density_labels(spark, d).select("county_fips", "cluster")
     for name, lab in (("kmeans", km), ("density", dens), ("fixed_labels", views.assignments(spark, d))):
@@ -166,11 +166,11 @@ def k14(spark, d):
     from tessera.operators.density import density_clusters
     rows = []
     try:
-        table, assign = C.kmeans_search(county_vectors(spark, d), (2, 10), 3)
+        table, assign = C.kmeans_search(county_vectors(spark, d), (2, 10), N_INIT)
         best = table.where("best").first()
         rows.append(("kmeans", "ok", int(best["k"]), 0, float(best["silhouette"]), None))
     except Exception as e:  # noqa: BLE001 - reported as a status row
-        rows.append(("kmeans", "error", None, None, None, str(e)[:200]))
+        rows.append(("kmeans", "error", None, None, None, str(e)))
     try:
         st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
                                                   F.col("lat").alias("y"))
@@ -179,7 +179,7 @@ def k14(spark, d):
                     F.count_if(F.col("cluster") == -1).alias("noise")).first()
         rows.append(("density", "ok", int(s["k"]), int(s["noise"]), None, None))
     except Exception as e:  # noqa: BLE001
-        rows.append(("density", "error", None, None, None, str(e)[:200]))
+        rows.append(("density", "error", None, None, None, str(e)))
     return spark.createDataFrame(rows, "algorithm string, status string, n_clusters int, n_outliers int, "
                                        "silhouette double, error string")
 

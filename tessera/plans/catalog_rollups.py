@@ -290,7 +290,7 @@ def a04(spark, d):
 SELECT county_fips, year, month, category, spending_amount FROM spending WHERE county_fips IN {_SET_SQL}""",
           (("spending_amount", 4),))
 def a05(spark, d):
-    return context(spark, d).spending().where(F.col("county_fips").isin(*COUNTY_SET)).drop("date")
+    return views.spending(spark, d, COUNTY_SET).drop("date")
 
 
 @register("a06_boundaries_for_counties", with_("bnd") + f"""
@@ -305,7 +305,7 @@ def a06(spark, d):
 @register("a07_population_for_counties", with_("population") + f"""
 SELECT county_fips, year, population FROM population WHERE county_fips IN {_SET_SQL}""")
 def a07(spark, d):
-    return views.population(spark, d).where(F.col("county_fips").isin(*COUNTY_SET)).select(
+    return views.population(spark, d, COUNTY_SET).select(
         "county_fips", "year", "population")
 
 
@@ -314,7 +314,7 @@ SELECT * FROM demographics WHERE county_fips IN {_SET_SQL}""",
           (("median_income", 4), "age_18_34_pct", "age_35_54_pct", "age_55_plus_pct", "bachelor_plus_pct",
            "high_school_pct"))
 def a08(spark, d):
-    return views.demographics(spark, d).where(F.col("county_fips").isin(*COUNTY_SET)).drop("population_density")
+    return views.demographics(spark, d, COUNTY_SET).drop("population_density")
 
 
 @register("a14_spatial_visualization_data", with_("assigned", "bnd") + """

@@ -19,7 +19,16 @@ from tessera.operators import features, spatial, spending
 from tessera.session import cut_lineage
 from tessera.sources import views
 
-_CACHE: dict[tuple, "Context"] = {}
+TEMPORAL = ("peak_hour_ratio", "weekend_ratio", "night_trips_ratio", "summer_trips_ratio", "winter_trips_ratio",
+            "seasonal_variation")
+_CACHE: dict[tuple, tuple] = {}
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input folder's files: a rewritten folder gets a new context."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 class Context:
@@ -66,13 +75,21 @@ class Context:
         return spatial.add_trip_metrics(spatial.add_county_info(self.trips(), self.station_map()))
 
     # ---- county level (persisted, small)
+    def county_statistics(self) -> DataFrame:
+        """H01 and H06 from one pass over the trips."""
+        return self._keep("county_statistics", lambda: spatial.county_aggregation(
+            self.enriched_trips(), features.temporal_aggregates()))
+
+    def temporal_patterns(self) -> DataFrame:
+        return self.county_statistics().select("county_fips", *TEMPORAL)
+
     def county_mobility(self) -> DataFrame:
         return self._keep("county_mobility", lambda: spatial.add_county_metadata(
-            spatial.county_aggregation(self.enriched_trips()), self.prepared()))
+            self.county_statistics().drop(*TEMPORAL), self.prepared()))
 
     def mobility_features(self) -> DataFrame:
         return self._keep("mobility_features", lambda: features.create_mobility_features(
-            self.county_mobility(), self.enriched_trips(), self.population()))
+            self.county_mobility(), None, self.population(), self.temporal_patterns()))
 
     def spending_features(self) -> DataFrame:
         return self._keep("spending_features", lambda: spending.create_spending_features(
@@ -80,7 +97,7 @@ class Context:
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = Context(spark, sf_dir)
-    return _CACHE[key]
+    key, now = (spark.sparkContext.applicationId, sf_dir.rstrip("/")), _fingerprint(spark, sf_dir)
+    if key not in _CACHE or _CACHE[key][0] != now:
+        _CACHE[key] = (now, Context(spark, sf_dir))
+    return _CACHE[key][1]

@@ -8,6 +8,8 @@ callers' projections and filters are pushed through it into the scans.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,12 +121,20 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customers(spark: SparkSession, sf_dir: str, counties: Sequence[str] | None) -> DataFrame:
+    """Customers, of some counties only if asked: the FIPS set reaches the scan as a set of nation keys."""
+    cust = table(spark, sf_dir, "customer")
+    if counties is None:
+        return cust
+    return cust.where(F.col("c_nationkey").isin(*[int(c) for c in counties]))
+
+
+def spending(spark: SparkSession, sf_dir: str, counties: Sequence[str] | None = None) -> DataFrame:
     """County × year × month × category spending (money summed exactly)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    cust = _customers(spark, sf_dir, counties).select("c_custkey", "c_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     category = None
     for word, cat in CATEGORY_BY_PART_TYPE.items():
@@ -148,9 +158,9 @@ def spending(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.lit(0), F.lit(0), F.lit(0)))
 
 
-def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+def population(spark: SparkSession, sf_dir: str, counties: Sequence[str] | None = None) -> DataFrame:
     """County × year population: 1000·customers (2022), 1010·customers (2023)."""
-    cust = (table(spark, sf_dir, "customer").groupBy("c_nationkey")
+    cust = (_customers(spark, sf_dir, counties).groupBy("c_nationkey")
             .agg(F.count(F.lit(1)).alias("n")))
     area = boundaries(spark, sf_dir).select(
         "county_fips", geo.ring_area_spherical_km2("ring").alias("area"))
@@ -166,16 +176,16 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .alias("population_density_per_sq_km")))
 
 
-def demographics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def demographics(spark: SparkSession, sf_dir: str, counties: Sequence[str] | None = None) -> DataFrame:
     """Per county: 40000 + median account balance, five segment shares."""
-    cust = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment")
+    cust = _customers(spark, sf_dir, counties).select("c_nationkey", "c_acctbal", "c_mktsegment")
     shares = [
         F.avg((F.col("c_mktsegment") == seg).cast("double")).alias(name)
         for seg, name in SEGMENT_SHARES
     ]
     d = cust.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_customers"), *shares)
-    # Exact median without a whole-nation buffer (two-level selection).
-    med = grouped_quantiles(cust, ["c_nationkey"], "c_acctbal", {"med": 0.5}, max_window_rows=None)
+    # Exact median without a whole-nation buffer.
+    med = grouped_quantiles(cust, ["c_nationkey"], "c_acctbal", {"med": 0.5})
     d = d.join(med, "c_nationkey", "left").withColumn("median_income", F.lit(40000.0) + F.col("med"))
     area = boundaries(spark, sf_dir).select(
         "county_fips", geo.ring_area_spherical_km2("ring").alias("area"))

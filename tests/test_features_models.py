@@ -171,15 +171,17 @@ def test_grouped_quantiles_hot_group_and_global(spark):
     ties = np.repeat([1.0, 2.0, 2.0, 7.0], 50)  # heavy ties
     rows = [("hot", float(v)) for v in hot] + [("ties", float(v)) for v in ties] + [("one", 4.0)]
     df = spark.createDataFrame(rows, "k string, v double")
-    q = {r.k: r for r in grouped_quantiles(df, ["k"], "v", {"p10": 0.1, "med": 0.5, "p99": 0.99},
-                                           buckets=16, max_window_rows=10).collect()}
+    rows += [("hot", 1e12), ("hot", -1e12)]
+    hot = np.concatenate([hot, [1e12, -1e12]])
+    df = spark.createDataFrame(rows, "k string, v double")
+    q = {r.k: r for r in grouped_quantiles(df, ["k"], "v", {"p10": 0.1, "med": 0.5, "p99": 0.99}).collect()}
     q1 = {r.k: r for r in grouped_quantiles(df, ["k"], "v", {"p10": 0.1, "med": 0.5, "p99": 0.99}).collect()}
     for name, p in (("p10", 0.1), ("med", 0.5), ("p99", 0.99)):
         assert q["hot"][name] == pytest.approx(np.quantile(hot, p))
         assert q["ties"][name] == pytest.approx(np.quantile(ties, p))
         assert q["one"][name] == pytest.approx(4.0)
         assert q1["hot"][name] == pytest.approx(q["hot"][name])
-    g = grouped_quantiles(df, [], "v", {"med": 0.5}, max_window_rows=10).first()
+    g = grouped_quantiles(df, [], "v", {"med": 0.5}).first()
     assert g.med == pytest.approx(np.median(np.concatenate([hot, ties, [4.0]])))
 
 
