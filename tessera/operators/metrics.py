@@ -173,10 +173,9 @@ def distinguishing_features(profiles: DataFrame, top: int = 5) -> DataFrame:
 
 
 def cluster_summary(labels: DataFrame, id_col: str) -> DataFrame:
-    """K09 summary: size and sorted member list per cluster."""
-    return labels.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.array_join(F.array_sort(F.collect_list(F.col(id_col).cast("string"))), ",").alias("members"))
+    """K09 summary: size of each cluster and its members, a row for each (a cluster may hold most of all ids)."""
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return labels.select("cluster", F.col(id_col).cast("string").alias("member")).join(sizes, "cluster")
 
 
 def variance_ratio_importance(long: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
@@ -208,9 +207,12 @@ def outlier_analysis(long: DataFrame, labels: DataFrame, id_col: str) -> DataFra
 
 
 def outlier_summary(labels: DataFrame, id_col: str) -> DataFrame:
-    """K12 header: count, percentage and sorted members of the noise label."""
+    """K12 header: count and percentage of the noise label; ``outlier_members`` has its members."""
     return labels.agg(
         F.count_if(F.col("cluster") == NOISE).alias("n_outliers"),
-        (F.count_if(F.col("cluster") == NOISE) * 100.0 / F.count(F.lit(1))).alias("outlier_percentage"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("cluster") == NOISE, F.col(id_col).cast("string")))),
-                     ",").alias("outlier_members"))
+        (F.count_if(F.col("cluster") == NOISE) * 100.0 / F.count(F.lit(1))).alias("outlier_percentage"))
+
+
+def outlier_members(labels: DataFrame, id_col: str) -> DataFrame:
+    """The members of the noise label, a row for each."""
+    return labels.where(F.col("cluster") == NOISE).select(F.col(id_col).cast("string").alias("member"))

@@ -121,40 +121,60 @@ def yeo_johnson(x, lam):
             .otherwise(-F.log1p(-x)))
 
 
-def _yj_loglik(long: DataFrame, grid: DataFrame) -> DataFrame:
+def box_cox(x, lam):
+    """Box-Cox transform of a positive column ``x`` for column ``lam``."""
+    return F.when(F.abs(lam) > 1e-12, (F.pow(x, lam) - 1) / lam).otherwise(F.log(x))
+
+
+def _loglik(long: DataFrame, grid: DataFrame, transform, log_slope) -> DataFrame:
     """Profile log-likelihood per (feature, lambda) in one aggregate."""
     j = long.join(grid, "feature")
-    y = yeo_johnson(F.col("value"), F.col("lam"))
+    y = transform(F.col("value"), F.col("lam"))
     return j.groupBy("feature", "lam").agg(
-        F.count("value").alias("n"), F.var_pop(y).alias("var"),
-        F.sum(F.signum(F.col("value")) * F.log1p(F.abs(F.col("value")))).alias("sl"),
+        F.count("value").alias("n"), F.var_pop(y).alias("var"), F.sum(log_slope(F.col("value"))).alias("sl"),
     ).withColumn("ll", -F.col("n") / 2.0 * F.log(F.col("var")) + (F.col("lam") - 1) * F.col("sl"))
 
 
-def fit_yeo_johnson(long: DataFrame, lo: float = -3.0, hi: float = 3.0, rounds: int = 3,
-                    steps: int = 61) -> DataFrame:
-    """Maximum-likelihood λ per feature (not standardized).
-
-    A λ grid is exploded per feature and the log-likelihood of every λ
-    comes from one aggregate; each round re-centres a finer grid on the
-    best λ.  Returns (feature, lambda, loglik)."""
-    spark = long.sparkSession
-    feats = long.select("feature").distinct()
-    width = (hi - lo)
-    centre = feats.withColumn("c", F.lit((lo + hi) / 2.0))
-    best = None
-    for _ in range(rounds):
-        step = width / (steps - 1)
+def _fit_lambda(long: DataFrame, transform, log_slope, lo: float, hi: float, rounds: int, steps: int) -> DataFrame:
+    """Maximum-likelihood λ per feature, returned as (feature, lambda, loglik).
+
+    A λ grid is exploded per feature and the log-likelihood of every λ comes from one aggregate.  While the optimum of
+    a feature lies on the edge of its grid, the grid moves on to it; then ``rounds`` finer grids close in on it.
+    λ whose transform leaves the range of a double have no finite variance and are passed over.
+    """
+    step = (hi - lo) / (steps - 1)
+    centre = long.select("feature").distinct().withColumn("c", F.lit((lo + hi) / 2.0))
+    best, closing = None, 0
+    while closing < rounds:
+        half = step * (steps - 1) / 2.0
         grid = (centre.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-                .select("feature", (F.col("c") - width / 2.0 + F.col("i") * step).alias("lam")))
-        ll = _yj_loglik(long, F.broadcast(grid)).where(F.col("var") > 0)
-        best = ll.groupBy("feature").agg(F.max_by("lam", F.col("ll")).alias("lambda"),
-                                         F.max("ll").alias("loglik"))
-        best = best.persist()
+                .select("feature", "c", (F.col("c") - half + F.col("i") * step).alias("lam")))
+        ll = _loglik(long, F.broadcast(grid.select("feature", "lam")), transform, log_slope).where(
+            (F.col("var") > 0) & (F.col("var") < 1e300) & ~F.isnan("ll"))
+        best = cut_lineage(ll.groupBy("feature").agg(
+            F.max_by("lam", F.col("ll")).alias("lambda"), F.max("ll").alias("loglik"),
+            F.min("lam").alias("least"), F.max("lam").alias("most")))
+        # on the edge of the whole grid, not only of the λ that have a likelihood
+        moved = best.join(centre, "feature")
+        edge = moved.where((F.abs(F.col("lambda") - F.col("c")) > half - step / 2)).count()
         centre = best.select("feature", F.col("lambda").alias("c"))
-        width = 2 * step
-    _ = spark
-    return best
+        if closing == 0 and edge:
+            continue
+        closing += 1
+        step = 2 * step / (steps - 1)
+    return best.select("feature", "lambda", "loglik")
+
+
+def fit_yeo_johnson(long: DataFrame, lo: float = -3.0, hi: float = 3.0, rounds: int = 3,
+                    steps: int = 61) -> DataFrame:
+    """Maximum-likelihood Yeo-Johnson λ per feature (not standardized)."""
+    return _fit_lambda(long, yeo_johnson, lambda x: F.signum(x) * F.log1p(F.abs(x)), lo, hi, rounds, steps)
+
+
+def fit_box_cox(long: DataFrame, lo: float = -3.0, hi: float = 3.0, rounds: int = 3, steps: int = 61) -> DataFrame:
+    """Maximum-likelihood Box-Cox λ of the features that are positive throughout."""
+    positive = long.groupBy("feature").agg(F.min("value").alias("_least")).where("_least > 0").select("feature")
+    return _fit_lambda(long.join(positive, "feature", "left_semi"), box_cox, F.log, lo, hi, rounds, steps)
 
 
 def apply_yeo_johnson(long: DataFrame, lambdas: DataFrame) -> DataFrame:

@@ -20,16 +20,32 @@ QUASI_ID_PATTERNS = ["zip", "birth", "age", "income"]
 BANDS = ["Low", "Medium", "High"]
 
 
-def identifier_scan(spark, schemas: dict[str, Sequence[str]]) -> DataFrame:
-    """Direct and quasi identifiers by substring of the lower-case
-    column name (driver-side over schemas; no data is read)."""
-    rows = []
-    for ds, cols in schemas.items():
-        for c in cols:
-            lc = c.lower()
-            rows.append((ds, c, any(p in lc for p in DIRECT_ID_PATTERNS), any(p in lc for p in QUASI_ID_PATTERNS)))
-    return spark.createDataFrame(rows, "dataset string, column_name string, direct_identifier boolean, "
-                                       "quasi_identifier boolean")
+# What a column's text looks like if it holds identifiers, whatever its name.
+VALUE_PATTERNS = {"email_like": r"[^@ ]+@[^@ ]+\.[a-z]+", "number_like": r"^[0-9][0-9-]{4,}$"}
+
+
+def name_flags(column: str) -> tuple[bool, bool]:
+    """direct and quasi identifiers by substring of the lower-case column name."""
+    low = column.lower()
+    return any(p in low for p in DIRECT_ID_PATTERNS), any(p in low for p in QUASI_ID_PATTERNS)
+
+
+def identifier_scan(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per column the flags of its name, and how many of its values there are and look like identifiers (one
+    aggregate per table)."""
+    out = None
+    for name, df in tables.items():
+        rows = []
+        for c in df.columns:
+            text = F.col(c).cast("string")
+            direct, quasi = name_flags(c)
+            rows.append(F.struct(
+                F.lit(name).alias("dataset"), F.lit(c).alias("column_name"), F.lit(direct).alias("direct_identifier"),
+                F.lit(quasi).alias("quasi_identifier"), F.count(F.col(c)).alias("n_values"),
+                *[F.count_if(F.coalesce(text.rlike(p), F.lit(False))).alias(n) for n, p in VALUE_PATTERNS.items()]))
+        found = df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def k_anonymity(df: DataFrame, keys: Sequence[str] = ("county_fips",), k_min: int = 5) -> DataFrame:

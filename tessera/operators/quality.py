@@ -66,12 +66,12 @@ def _parse_fail(c: str, dtype) -> Column:
     """Value present but not parseable as a timestamp."""
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.lit(False)
-    return F.col(c).isNotNull() & F.try_to_timestamp(F.col(c).cast("string")).isNull()
+    return F.col(c).isNotNull() & F.col(c).cast("string").try_cast("timestamp_ntz").isNull()
 
 
 def duration_minutes(start: str = "start_time", end: str = "end_time") -> Column:
-    return F.timestamp_diff("SECOND", F.col(start).cast("timestamp_ntz"),
-                            F.col(end).cast("timestamp_ntz")) / 60.0
+    return F.timestamp_diff("SECOND", F.col(start).try_cast("timestamp_ntz"),
+                            F.col(end).try_cast("timestamp_ntz")) / 60.0
 
 
 def trip_rules(trips: DataFrame, dataset: str = "trips") -> DataFrame:
@@ -179,8 +179,8 @@ def ring_valid(ring) -> Column:
     """Closed, ≥ 4 points, non-zero area, no crossing of non-adjacent edges."""
     r = F.col(ring) if isinstance(ring, str) else ring
     n = F.size(r)
-    closed = (F.try_element_at(r, F.lit(1))["lng"] == F.try_element_at(r, n)["lng"]) & \
-             (F.try_element_at(r, F.lit(1))["lat"] == F.try_element_at(r, n)["lat"])
+    last = F.get(r, n - 1)  # null for an empty ring
+    closed = (F.get(r, F.lit(0))["lng"] == last["lng"]) & (F.get(r, F.lit(0))["lat"] == last["lat"])
     nonzero = geo.ring_area_mercator_km2(r) > 0
     edges = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
 

@@ -295,8 +295,7 @@ def t04(spark, d):
 
 
 @register("k09_cluster_summary", with_("labels") + """
-SELECT cluster, count(*) AS size, array_to_string(list_sort(list(county_fips)), ',') AS members
-FROM labels GROUP BY cluster""")
+SELECT cluster, county_fips AS member, count(*) OVER (PARTITION BY cluster) AS size FROM labels""")
 def k09s(spark, d):
     return metrics.cluster_summary(_labels(spark, d), "county_fips")
 
@@ -347,13 +346,42 @@ def t06(spark, d):
 
 
 @register("k12_outlier_summary", with_("labels") + """
-SELECT count_if(cluster = -1) AS n_outliers, count_if(cluster = -1) * 100.0 / count(*) AS outlier_percentage,
-       array_to_string(list_sort(list(county_fips) FILTER (WHERE cluster = -1)), ',') AS outlier_members FROM labels""",
-          ("outlier_percentage",))
+SELECT count_if(cluster = -1) AS n_outliers, count_if(cluster = -1) * 100.0 / count(*) AS outlier_percentage
+FROM labels""", ("outlier_percentage",))
 def k12s(spark, d):
     return metrics.outlier_summary(_labels(spark, d), "county_fips")
 
 
+@register("k12_outlier_members", with_("labels") + "SELECT county_fips AS member FROM labels WHERE cluster = -1")
+def k12m(spark, d):
+    return metrics.outlier_members(_labels(spark, d), "county_fips")
+
+
+@register("p03_yeo_johnson_fixed_lambda", with_("raw_long") + """
+SELECT county_fips, feature, CASE WHEN value >= 0 THEN (power(value + 1, 0.5) - 1) / 0.5
+                                  ELSE -(power(1 - value, 1.5) - 1) / 1.5 END AS value FROM raw_long""",
+          ("value",), digits=4)
+def p03_fixed(spark, d):
+    """Yeo-Johnson transform of every county feature at λ = 0.5."""
+    return raw_long(spark, d).withColumn("value", prep.yeo_johnson(F.col("value"), F.lit(0.5)))
+
+
+@register("p03_box_cox_fixed_lambda", with_("raw_long") + """
+SELECT county_fips, feature, (power(value, 0.5) - 1) / 0.5 AS value FROM raw_long
+WHERE feature IN (SELECT feature FROM raw_long GROUP BY feature HAVING min(value) > 0)""", ("value",), digits=4)
+def p03_box_cox(spark, d):
+    """Box-Cox transform at λ = 0.5 of the county features that are positive throughout."""
+    long = raw_long(spark, d)
+    positive = long.groupBy("feature").agg(F.min("value").alias("least")).where("least > 0").select("feature")
+    return long.join(positive, "feature", "left_semi").withColumn("value", prep.box_cox(F.col("value"), F.lit(0.5)))
+
+
+@register("p03_box_cox_lambdas")
+def p03_bc(spark, d):
+    """Maximum-likelihood Box-Cox λ per positive county feature."""
+    return prep.fit_box_cox(raw_long(spark, d))
+
+
 @register("p03_yeo_johnson_lambdas")
 def p03(spark, d):
     """Maximum-likelihood Yeo-Johnson λ per skewed county feature."""

@@ -98,12 +98,11 @@ def d14(spark, d):
     return CM.k13(spark, d).select("algorithm", "silhouette", "n_clusters", "n_outliers")
 
 
-@register("f15_name_pattern_flags")
+@register("f15_name_pattern_flags", catalog_rollups.identifier_sql("spending", "population"))
 def f15(spark, d):
-    """Substring flags on column names (the V01 scan over every input)."""
-    ctx = context(spark, d)
-    return privacy.identifier_scan(spark, {"trips": ctx.trips().columns, "spending": ctx.spending().columns,
-                                           "population": views.population(spark, d).columns})
+    """Substring flags on column names, and what the columns hold (the V01 scan over the area tables)."""
+    return privacy.identifier_scan({"spending": context(spark, d).spending().drop("date"),
+                                    "population": views.population(spark, d).select("county_fips", "year", "population")})
 
 
 @register("r05_grid_search_and_refit")
@@ -119,7 +118,8 @@ def r06(spark, d):
     return R.regression_metrics(res["predictions"])
 
 
-@register("a02_a03_a09_save_processed_data")
+@register("a02_a03_a09_save_processed_data", with_("spending") + """
+SELECT count(*) AS rows_read, count(*) AS record_count, count(DISTINCT county_fips) AS unique_counties FROM spending""")
 def a02(spark, d):
     """Spending written as Parquet with its JSON metadata sidecar (record
     and distinct-county counts from the same write), read back."""

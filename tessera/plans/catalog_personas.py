@@ -576,7 +576,8 @@ def o07(spark, d):
         ins.select("key_insights").scalar().alias("key_insights"))
 
 
-@register("a12_export_business_intelligence")
+@register("a12_export_business_intelligence", with_("personas") + """
+SELECT persona_id, persona_name, market_value FROM personas""", ("market_value",))
 def a12(spark, d):
     """Personas, opportunities and insights written as JSON under the
     session's shared folder, read back (the files are the output)."""
@@ -597,7 +598,12 @@ def _export_base(spark, name):
     return io.scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-@register("a10_export_engineered_features")
+@register("a10_export_engineered_features", with_("prepared_long") + """
+SELECT feature, 'standard' AS method, 'mean' AS param, avg(value) AS value,
+       (SELECT count(*) FROM prepared_long) AS records FROM prepared_long GROUP BY feature
+UNION ALL
+SELECT feature, 'standard', 'scale', CASE WHEN stddev_pop(value) = 0 THEN 1.0 ELSE stddev_pop(value) END,
+       (SELECT count(*) FROM prepared_long) FROM prepared_long GROUP BY feature""", (("value", 4),))
 def a10(spark, d):
     """Scaled county features plus the scaler parameters as a table
     (feature, method, param, value), with the metadata sidecar."""
@@ -616,7 +622,8 @@ def a10(spark, d):
     return spark.read.parquet(base + "/scaler.parquet").withColumn("records", F.lit(meta["record_count"]))
 
 
-@register("a11_export_clustering_results")
+@register("a11_export_clustering_results", with_("labels") + """
+SELECT county_fips, CAST(cluster AS BIGINT) AS fixed_labels_cluster FROM labels""")
 def a11(spark, d):
     """Per-algorithm assignments (county_fips, <alg>_cluster) as CSV and
     nested cluster profiles (cluster → feature → stats) as JSON."""
@@ -634,7 +641,8 @@ def a11(spark, d):
                      "fixed_labels_cluster", "left_semi")
 
 
-@register("a13_api_endpoints")
+@register("a13_api_endpoints", with_("personas") + """
+SELECT count(*) AS personas, sum(market_value) AS total_market_value FROM personas""", ("total_market_value",))
 def a13(spark, d):
     """JSON extracts for personas, opportunities and metadata."""
     from tessera.sources import io

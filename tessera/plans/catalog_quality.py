@@ -32,9 +32,9 @@ _COORD = ("(start_lat < -90 OR start_lat > 90 OR start_lng < -180 OR start_lng >
           "end_lat < -90 OR end_lat > 90 OR end_lng < -180 OR end_lng > 180)")
 
 
-def _trip_rules_sql(src: str, dataset: str) -> str:
+def _trip_rules_sql(src: str, dataset: str, parse: str = "count_if(false)") -> str:
     rules = [
-        ("date_parse_errors", "issue", "count_if(false)", None),
+        ("date_parse_errors", "issue", parse, None),
         ("invalid_coordinates", "warning", f"count_if(coalesce({_COORD}, false))", None),
         ("negative_durations", "issue", f"count_if({_DUR} < 0)", None),
         ("long_trips", "warning", f"count_if({_DUR} > 1440)", None),
@@ -54,27 +54,49 @@ UNION ALL SELECT '{dataset}', 'duplicate_ids', 'issue', CAST(coalesce(sum(n - 1)
 
 cte("trip_rules", _trip_rules_sql("trips_dirty", "trips_dirty"), ("trips_dirty",))
 
+cte("trips_messy", """
+SELECT trip_id, try_cast(start_text AS TIMESTAMP) AS start_time, try_cast(end_text AS TIMESTAMP) AS end_time,
+       start_text, end_text, start_station_id, end_station_id,
+       start_lat + CASE WHEN end_station_id % 7 = 1 THEN 100 ELSE 0 END AS start_lat, start_lng, end_lat, end_lng,
+       CASE start_station_id % 13 WHEN 5 THEN 'vip' WHEN 6 THEN NULL ELSE member_type END AS member_type
+FROM (SELECT *, CASE WHEN start_station_id % 10 = 3 THEN 'not a date' ELSE CAST(start_time AS VARCHAR) END AS start_text,
+             CAST(end_time AS VARCHAR) AS end_text FROM trips) AS x""", ("trips",))
+cte("trip_rules_messy", _trip_rules_sql("trips_messy", "trips_messy", """count_if(
+  (start_text IS NOT NULL AND start_time IS NULL) OR (end_text IS NOT NULL AND end_time IS NULL))""").replace(
+    "count_if(start_time IS NULL)", "count_if(start_text IS NULL)").replace(
+    "count_if(end_time IS NULL)", "count_if(end_text IS NULL)"), ("trips_messy",))
+
 _FIPS_BAD = "coalesce(NOT regexp_full_match(CAST(county_fips AS VARCHAR), '\\d{5}'), true)"
-cte("spending_rules", f"""
-SELECT 'spending' AS dataset, 'missing_columns' AS rule, 'issue' AS severity, CAST(0 AS BIGINT) AS n_bad,
+def _spending_rules_sql(src: str, dataset: str) -> str:
+    return f"""
+SELECT '{dataset}' AS dataset, 'missing_columns' AS rule, 'issue' AS severity, CAST(0 AS BIGINT) AS n_bad,
        false AS flagged
-UNION ALL {_rule_sql('spending', 'spending', [
+UNION ALL {_rule_sql(src, dataset, [
     ('invalid_fips', 'warning', f'count_if({_FIPS_BAD})', None),
     ('unusual_years', 'warning', 'count_if(year < 2020 OR year > 2030)', None),
     ('invalid_months', 'issue', 'count_if(month < 1 OR month > 12)', None),
     ('negative_spending', 'warning', 'count_if(spending_amount < 0)', None),
     ('zero_spending', 'warning', 'count_if(spending_amount = 0)', 'r4 > _n * 0.1'),
     ('extreme_values', 'warning',
-     "count_if(coalesce(spending_amount < (SELECT quantile_cont(spending_amount, 0.25) - 3 * "
-     "(quantile_cont(spending_amount, 0.75) - quantile_cont(spending_amount, 0.25)) FROM spending) "
+     f"count_if(coalesce(spending_amount < (SELECT quantile_cont(spending_amount, 0.25) - 3 * "
+     f"(quantile_cont(spending_amount, 0.75) - quantile_cont(spending_amount, 0.25)) FROM {src}) "
      "OR spending_amount > (SELECT quantile_cont(spending_amount, 0.75) + 3 * "
-     "(quantile_cont(spending_amount, 0.75) - quantile_cont(spending_amount, 0.25)) FROM spending), false))",
+     f"(quantile_cont(spending_amount, 0.75) - quantile_cont(spending_amount, 0.25)) FROM {src}), false))",
      None),
 ] + [(f'nulls:{c}', 'warning', f'count_if({c} IS NULL)', None) for c in SPEND_COLS])}
-UNION ALL SELECT 'spending', 'unexpected_categories', 'warning', count(*), count(*) > 0
-  FROM (SELECT DISTINCT category FROM spending WHERE category IS NULL OR category NOT IN
+UNION ALL SELECT '{dataset}', 'unexpected_categories', 'warning', count(*), count(*) > 0
+  FROM (SELECT DISTINCT category FROM {src} WHERE category IS NULL OR category NOT IN
         ('restaurants', 'retail', 'grocery', 'entertainment', 'transportation', 'healthcare',
-         'education', 'services')) AS x""", ("spending",))
+         'education', 'services')) AS x"""
+
+cte("spending_rules", _spending_rules_sql("spending", "spending"), ("spending",))
+cte("spending_messy", """
+SELECT CASE WHEN month = 3 THEN 'X' ELSE '' END || county_fips AS county_fips, year,
+       CASE WHEN month = 12 THEN 13 ELSE month END AS month,
+       CASE WHEN category = 'retail' AND year = 1997 THEN 'gifts' WHEN month = 5 THEN NULL ELSE category END AS category,
+       CASE month WHEN 7 THEN -spending_amount WHEN 8 THEN 0.0 ELSE spending_amount END AS spending_amount, date
+FROM spending""", ("spending",))
+cte("spending_rules_messy", _spending_rules_sql("spending_messy", "spending_messy"), ("spending_messy",))
 
 cte("boundary_rules", f"""
 SELECT 'boundaries' AS dataset, 'missing_columns' AS rule, 'issue' AS severity, CAST(0 AS BIGINT) AS n_bad,
@@ -88,6 +110,19 @@ UNION ALL {_rule_sql('bnd', 'boundaries', [
 ])}""", ("bnd",))
 
 
+# what each fault of the messy boundaries leaves, counted by the key that put it there
+cte("boundary_rules_messy", f"""
+SELECT 'boundaries_messy' AS dataset, 'missing_columns' AS rule, 'issue' AS severity, CAST(0 AS BIGINT) AS n_bad,
+       false AS flagged
+UNION ALL {_rule_sql('nation', 'boundaries_messy', [
+    ('invalid_geometry', 'issue', 'count_if(n_nationkey % 5 = 1)', None),
+    ('empty_geometry', 'warning', 'count_if(n_nationkey % 5 = 2)', None),
+    ('missing_crs', 'warning', 'count_if(n_nationkey % 4 = 0)', None),
+    ('non_wgs84_crs', 'warning', 'count_if(n_nationkey % 4 = 1)', None),
+    ('invalid_fips', 'warning', 'count_if(n_nationkey % 6 = 5)', None),
+])}""")
+
+
 # --------------------------------------------------------------- queries
 def _trip_rules(spark, d):
     return quality.trip_rules(views.trips_dirty(spark, d), "trips_dirty")
@@ -283,3 +318,21 @@ def b24(spark, d):
     t = views.trips(spark, d)
     return t.orderBy("trip_id", "start_time", "end_time", "start_station_id", "end_station_id",
                      "member_type").limit(1000)
+
+
+@register("b02_b04_b08_rules_on_messy_trips", with_("trip_rules_messy") + "SELECT * FROM trip_rules_messy")
+def b02_messy(spark, d):
+    """All trip rules on trips with known faults: unreadable times, latitudes out of range, unknown member types."""
+    return quality.trip_rules(views.trips_messy(spark, d), "trips_messy")
+
+
+@register("b10_b15_rules_on_messy_spending", with_("spending_rules_messy") + "SELECT * FROM spending_rules_messy")
+def b10_messy(spark, d):
+    """All spending rules on spending with known faults."""
+    return quality.spending_rules(views.spending_messy(context(spark, d).spending()), "spending_messy")
+
+
+@register("b16_b17_rules_on_messy_boundaries", with_("boundary_rules_messy") + "SELECT * FROM boundary_rules_messy")
+def b16_messy(spark, d):
+    """All boundary rules on boundaries with known faults."""
+    return quality.boundary_rules(views.boundaries_messy(spark, d), "boundaries_messy")

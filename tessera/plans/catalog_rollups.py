@@ -28,12 +28,27 @@ def _band_sql(x: str, src: str) -> str:
             f"WHEN {x} <= {lo} + ({hi} - {lo}) * 2.0 / 3.0 THEN 'Medium' ELSE 'High' END")
 
 
-@register("v01_identifier_scan")
+_SCANNED = {"trips": ["trip_id", "start_station_id", "end_station_id", "member_type"],
+            "spending": ["county_fips", "year", "month", "category", "spending_amount"],
+            "population": ["county_fips", "year", "population"]}
+
+
+def identifier_sql(*tables: str) -> str:
+    """DuckDB twin of the identifier scan over some tables."""
+    def flag(column, patterns):
+        return " OR ".join(f"contains('{column}', '{p}')" for p in patterns)
+
+    return with_(*tables) + " UNION ALL ".join(
+        f"SELECT '{t}' AS dataset, '{c}' AS column_name, {flag(c, privacy.DIRECT_ID_PATTERNS)} AS direct_identifier, "
+        f"{flag(c, privacy.QUASI_ID_PATTERNS)} AS quasi_identifier, count({c}) AS n_values, " + ", ".join(
+            f"CAST(count_if(coalesce(regexp_matches(CAST({c} AS VARCHAR), '{p}'), false)) AS BIGINT) AS {n}"
+            for n, p in privacy.VALUE_PATTERNS.items()) + f" FROM {t}" for t in tables for c in _SCANNED[t])
+
+
+@register("v01_identifier_scan", identifier_sql("trips"))
 def v01(spark, d):
-    """Column-name scan of the trips, spending and demographics schemas."""
-    ctx = context(spark, d)
-    return privacy.identifier_scan(spark, {"trips": ctx.trips().columns, "spending": ctx.spending().columns,
-                                           "demographics": views.demographics(spark, d).columns})
+    """Names and values of the trips' identifying columns."""
+    return privacy.identifier_scan({"trips": context(spark, d).trips().select(*_SCANNED["trips"])})
 
 
 @register("v02_k_anonymity", with_("trips_enriched") + """

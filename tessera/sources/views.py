@@ -102,6 +102,39 @@ def trips_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(*_trip_columns(F.col("o_orderdate"), F.col("l_shipdate")))
 
 
+def trips_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips with known faults: times as text, some unreadable, latitudes out of range, unknown and null member types."""
+    t = trips(spark, sf_dir)
+    start, end = F.col("start_station_id"), F.col("end_station_id")
+    return t.withColumns({
+        "start_time": F.when(F.pmod(start, F.lit(10)) == 3, "not a date").otherwise(F.col("start_time").cast("string")),
+        "end_time": F.col("end_time").cast("string"),
+        "start_lat": F.when(F.pmod(end, F.lit(7)) == 1, F.col("start_lat") + 100).otherwise(F.col("start_lat")),
+        "member_type": F.when(F.pmod(start, F.lit(13)) == 5, "vip").when(F.pmod(start, F.lit(13)) != 6, F.col("member_type"))})
+
+
+def spending_messy(spending: DataFrame) -> DataFrame:
+    """Spending with known faults: bad FIPS codes, months, categories, negative and zero amounts."""
+    month = F.col("month")
+    return spending.withColumns({
+        "county_fips": F.when(month == 3, F.concat(F.lit("X"), "county_fips")).otherwise(F.col("county_fips")),
+        "month": F.when(month == 12, 13).otherwise(month),
+        "category": F.when((F.col("category") == "retail") & (F.col("year") == 1997), "gifts")
+        .when(month != 5, F.col("category")),
+        "spending_amount": F.when(month == 7, -F.col("spending_amount")).when(month == 8, 0.0)
+        .otherwise(F.col("spending_amount"))})
+
+
+def boundaries_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries with known faults: crossing and empty rings, missing and foreign reference systems, bad FIPS codes."""
+    b = boundaries(spark, sf_dir)
+    n, r = F.col("county_fips").cast("int"), F.col("ring")
+    return b.withColumns({
+        "ring": F.when(n % 5 == 1, F.array(r[0], r[2], r[1], r[3], r[0])).when(n % 5 == 2, F.slice(r, 1, 0)).otherwise(r),
+        "srid": F.when(n % 4 == 1, 3857).when(n % 4 != 0, F.col("srid")),
+        "county_fips": F.when(n % 6 == 5, "BAD").otherwise(F.col("county_fips"))})
+
+
 def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit-square polygon per nation, EPSG:4326."""
     n = table(spark, sf_dir, "nation")
