@@ -32,7 +32,7 @@ DRIVER_PATTERNS = {
     "demographic": ["income", "age", "education"],
 }
 _MODELS: dict[tuple, tuple] = {}
-PARTS = 2  # partitions of the training table
+PARTS = 1  # partitions of the training table
 
 
 def prepare_prediction_data(mobility: DataFrame, spending: DataFrame) -> DataFrame:
@@ -69,7 +69,7 @@ def _design(df: DataFrame) -> DataFrame:
 def _estimator(kind: str, params: dict, seed: int = 42):
     if kind == "random_forest":
         return RandomForestRegressor(seed=seed, maxMemoryInMB=1024, **params)
-    return GBTRegressor(seed=seed, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=-1, **params)
+    return GBTRegressor(seed=seed, maxMemoryInMB=1024, **params)
 
 
 def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threads: int = 8) -> dict:
@@ -80,9 +80,9 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
     if key in _MODELS:  # the entry holds the frame, so no other can have its id
         return _MODELS[key][1]
     folded = _design(time_series_folds(data))
-    # One row per area × month; tree learners pay a Spark job per iteration, so a few tasks are enough.  Their
-    # number is fixed, as it decides the forests' seeded samples.
-    folded = folded.repartition(PARTS, "row_index").persist()
+    # One row per area × month, a table bounded by geography and calendar; tree learners pay several Spark jobs per
+    # iteration, whose number of tasks is what they cost.  It is fixed, as it decides the forests' seeded samples.
+    folded = folded.coalesce(PARTS).persist()
     n_folds = int(folded.select(F.max("test_fold")).first()[0]) + 1
     grid = GRIDS[kind]
     combos = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
