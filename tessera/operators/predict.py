@@ -104,9 +104,11 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
         with ThreadPoolExecutor(max_workers=threads) as pool:
             scores = list(pool.map(score, combos))
     best = combos[min(range(len(combos)), key=lambda i: (scores[i], i))]
-    model = _estimator(kind, best).fit(folded)
+    with ThreadPoolExecutor(max_workers=1 + len(splits)) as pool:  # the refit and the folds' refits side by side
+        whole = pool.submit(lambda: _estimator(kind, best).fit(folded))
+        cv = list(pool.map(lambda s: r2.evaluate(_estimator(kind, best).fit(s[0]).transform(s[1])), splits))
+        model = whole.result()
     pred = model.transform(folded)
-    cv = [r2.evaluate(_estimator(kind, best).fit(tr).transform(te)) for tr, te in splits]
     cv_mean = sum(cv) / len(cv)
     cv_std = (sum((c - cv_mean) ** 2 for c in cv) / len(cv)) ** 0.5
     metrics = spark.createDataFrame([(
