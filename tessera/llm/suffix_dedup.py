@@ -33,7 +33,7 @@ BUCKET = 1 << 21  # bytes of contexts per transform, on average
 CELLS = (64, 8, 1)  # widths of the ranges of offsets that split crowded anchors
 PACK = 7  # symbols of 9 bits in one sort key
 
-ROWS = "doc_id {id}, text_hash long, first long, starts long, anchor long, context long, copies long"
+ROWS = "doc_id {id}, text_hash long, first long, starts long, anchor long, context long, copies long, back long"
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -75,14 +75,15 @@ def units(data: np.ndarray, valid: np.ndarray, length: int, gram: int) -> tuple[
 
 
 def _batch_units(texts: list[bytes], length: int, gram: int) -> list[np.ndarray]:
-    """Units of a batch: text number, first, starts, anchor, context, copies; and ranges repeated within the batch
-    (copies 0, no anchor).  Of units alike in the batch one is kept, with their number."""
+    """Units of a batch: text number, first, starts, anchor, context, copies, back (the anchor's offset from the first
+    start); and ranges repeated within the batch (copies 0, no anchor).  Of units alike in the batch one is kept, with
+    their number."""
     import xxhash
 
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     stop = np.cumsum(sizes)
-    out: list[list[np.ndarray]] = [[] for _ in range(4)]
+    out: list[list[np.ndarray]] = [[] for _ in range(5)]
     contexts: list[int] = []
     view = memoryview(data)
     for s in range(0, len(data), SEGMENT):
@@ -90,12 +91,12 @@ def _batch_units(texts: list[bytes], length: int, gram: int) -> list[np.ndarray]
         valid = begin + length <= stop[np.searchsorted(stop, begin, "right")]
         first, n, at, anchor = units(data[s:s + SEGMENT + length - 1], valid, length, gram)
         new = np.searchsorted(stop, first + s, "right")
-        for column, value in zip(out, (new, first + s, n, anchor)):
+        for column, value in zip(out, (new, first + s, n, anchor, at - first)):
             column.append(value)
         contexts += [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip((first + s).tolist(), (first + s + n - 1 + length).tolist())]
-    text, first, n, anchor = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
+    text, first, n, anchor, back = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
     if not len(text):
-        return [np.empty(0, np.int64)] * 6
+        return [np.empty(0, np.int64)] * 7
     context = np.array(contexts, np.uint64)
     anchor = anchor.astype(np.uint64)
     first = first - (stop - sizes)[text]
@@ -109,7 +110,7 @@ def _batch_units(texts: list[bytes], length: int, gram: int) -> list[np.ndarray]
     none = np.zeros(len(begin), np.int64)
     return [np.concatenate(p) for p in (
         (text[one], t[begin]), (first[one], f[begin]), (n[one], e[last] - f[begin] if len(order) else none),
-        (anchor[one].view(np.int64), none), (context[one].view(np.int64), none), (copies, none))]
+        (anchor[one].view(np.int64), none), (context[one].view(np.int64), none), (copies, none), (back[one], none))]
 
 
 def located_units(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -122,7 +123,7 @@ def located_units(docs: DataFrame, length: int, gram: int) -> DataFrame:
             at = pa.array(found[0])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(2).take(at), *map(pa.array, found[1:])],
-                names=["doc_id", "text_hash", "first", "starts", "anchor", "context", "copies"])
+                names=["doc_id", "text_hash", "first", "starts", "anchor", "context", "copies", "back"])
 
     return rows.mapInArrow(find, ROWS.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
@@ -315,9 +316,9 @@ def _compared_rows(table: pa.Table, length: int) -> pa.Table:
 
 
 def _slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted units: (doc_id, text_hash, first, starts, anchor, context, copies) to PART rows."""
+    """Bytes of the wanted units: (doc_id, text_hash, first, starts, anchor, context, copies, back) to PART rows."""
     per_text = wanted.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(
-        F.collect_list(F.struct("first", "starts", "anchor", "context", "copies")).alias("units"))
+        F.collect_list(F.struct("first", "starts", "anchor", "context", "copies", "back")).alias("units"))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     rows = rows.join(per_text, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
 
@@ -327,9 +328,8 @@ def _slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 out = []
                 for u in found:
                     data = text[u["first"]:u["first"] + u["starts"] - 1 + length]
-                    _, _, place, _ = units(np.frombuffer(data, np.uint8), np.ones(u["starts"], bool), length, GRAM)
                     out.append({"key": u["anchor"], "hash": u["context"], "anchor": u["anchor"], "context": u["context"], "low": 0,
-                                "starts": u["starts"], "back": int(place[0]), "copies": u["copies"], "bytes": data})
+                                "starts": u["starts"], "back": u["back"], "copies": u["copies"], "bytes": data})
                 yield pa.RecordBatch.from_pylist(out, schema=_PART_SCHEMA)
 
     return rows.select("text", "units").mapInArrow(cut, PART)
@@ -348,7 +348,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     shared = written(rows.join(anchors, "anchor").select(*rows.columns, (F.col("least") != F.col("most")).alias("differ")), "suffix-shared")
     # anchors with different contexts: one copy of each context is fetched and compared
     contexts = shared.where("differ").groupBy("anchor", "context").agg(
-        F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "text_hash", "first", "starts")).alias("u"))
+        F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "text_hash", "first", "starts", "back")).alias("u"))
     contexts = written(contexts.select("u.*", "anchor", "context", "copies"), "suffix-contexts")
     parts = written(_slices(docs, contexts, length), "suffix-parts")
     ranges = written(repeated_ranges(parts, length), "suffix-ranges")
