@@ -46,10 +46,15 @@ def prepare_prediction_data(mobility: DataFrame, spending: DataFrame) -> DataFra
 
 def time_series_folds(df: DataFrame, n_splits: int = 3) -> DataFrame:
     """row_index over (date, county) and the fold each row tests in
-    (-1 for rows only ever used for training).  The ordering window is
-    global, over one row per county × month (a bounded table)."""
-    w = Window.orderBy("date", "county_fips")
-    r = df.withColumn("row_index", (F.row_number().over(w) - 1).cast("long"))
+    (-1 for rows only ever used for training).  A row's index is the number
+    of rows of earlier dates (a running count over the calendar) plus its
+    place among the rows of its date."""
+    dates = df.groupBy("date").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    dates = dates.select("date", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("date").orderBy("county_fips")
+    r = df.join(dates, "date").withColumn("row_index", (F.col("_before") + F.row_number().over(own) - 1).cast("long"))
+    r = r.select(*df.columns, "row_index")
     n = r.select(F.count(F.lit(1))).scalar()
     ts = F.floor(n / (n_splits + 1))
     start = n - n_splits * ts

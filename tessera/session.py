@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # with an aggregate before the hint is applied; above it the plain shuffle
 # join is used and AQE may still convert it at runtime.
 BROADCAST_MAX_ROWS = 2_000_000
+# Largest size of a persisted side; rows may be wide (polygon rings).
+BROADCAST_MAX_BYTES = 256 << 20
 
 
 def build_session(master: str | None = None, partitions: int | None = None,
@@ -74,5 +76,10 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> D
     size does not grow with the fact table.  Callers persist ``df`` first
     when it is derived, so the count does not add a second computation.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        # the count fills the cache, after which the plan's size is the measured one
+        small = df.count() <= max_rows and int(
+            str(df._jdf.queryExecution().withCachedData().stats().sizeInBytes())) <= BROADCAST_MAX_BYTES
+    else:
+        small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
