@@ -19,6 +19,7 @@ approximations.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,6 +104,24 @@ def density_clusters(points: DataFrame, min_cluster_size: int = 5, min_samples:
             .select("pid", "cluster", "membership", "outlier_score"))
 
 
+def density_stability(points: DataFrame, min_cluster_size: int = 5, min_samples: int = 3, n_bootstrap: int = 10,
+                      frac: float = 0.8, seed: int = 42) -> float:
+    """K07 for density clustering: 1 - popstd / max(mean, 1) of the cluster counts on bootstrap resamples."""
+    pts = cut_lineage(points.select("x", "y"))
+
+    def clusters(i: int) -> int:
+        drawn = pts.sample(withReplacement=True, fraction=frac, seed=seed + i).select(
+            F.monotonically_increasing_id().alias("pid"), "x", "y")
+        labels = density_clusters(drawn, min_cluster_size, min_samples)
+        return labels.where("cluster >= 0").select(F.count_distinct("cluster")).first()[0]
+
+    with ThreadPoolExecutor(max_workers=5) as pool:  # each resample is a chain of short jobs
+        counts = list(pool.map(clusters, range(n_bootstrap)))
+    mean = sum(counts) / len(counts)
+    std = (sum((c - mean) ** 2 for c in counts) / len(counts)) ** 0.5
+    return 1 - std / max(mean, 1.0)
+
+
 # The reference's tuning grid.
 TUNING_GRID = {"min_cluster_size": [50, 100, 150], "min_samples": [25, 50, 75],
                "cluster_selection_epsilon": [0.0, 0.1, 0.2]}

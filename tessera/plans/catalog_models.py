@@ -60,13 +60,21 @@ def k11(spark, d):
 
 
 @register("k13_compare_algorithms")
-def k13(spark, d):
+def k13(spark, d, with_stability: bool = True):
     """K-Means (best k), density clustering and the fixed label table on
     the county matrix: clusters, outliers, squared-Euclidean silhouette
-    (noise removed) per algorithm, best flags."""
+    (noise removed) and bootstrap stability per algorithm (none for fixed
+    labels), best flags."""
     from tessera.operators import metrics
+    from tessera.operators.density import density_stability
     long = CC.cluster_matrix(spark, d)
-    _, km = C.kmeans_search(county_vectors(spark, d), (2, 10), N_INIT)
+    vecs = county_vectors(spark, d)
+    table, km = C.kmeans_search(vecs, (2, 10), N_INIT)
+    stable = {}
+    if with_stability:
+        k = table.where("best").first()["k"]
+        stable = {"kmeans": float(C.stability(vecs, k, 10, 0.8).first()["stability_score"]),
+                  "density": density_stability(county_pc_plane(spark, d), 5, 3)}
     rows = None
     dens = county_density_labels(spark, d).select("county_fips", "cluster")
     for name, lab in (("kmeans", km), ("density", dens), ("fixed_labels", views.assignments(spark, d))):
@@ -74,7 +82,7 @@ def k13(spark, d):
         r = lab.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
                     F.count_if(F.col("cluster") == -1).alias("n_outliers")).select(
             F.lit(name).alias("algorithm"), "n_clusters", "n_outliers",
-            F.lit(float(sil)).alias("silhouette"), F.lit(None).cast("double").alias("stability"))
+            F.lit(float(sil)).alias("silhouette"), F.lit(stable.get(name)).cast("double").alias("stability"))
         rows = r if rows is None else rows.unionByName(r)
     return C.compare_algorithms(rows)
 

@@ -95,7 +95,7 @@ def f18(spark, d):
 @register("d14_algorithm_metrics_panel")
 def d14(spark, d):
     """Silhouette, clusters and outliers per algorithm (K13 projection)."""
-    return CM.k13(spark, d).select("algorithm", "silhouette", "n_clusters", "n_outliers")
+    return CM.k13(spark, d, with_stability=False).select("algorithm", "silhouette", "n_clusters", "n_outliers")
 
 
 @register("f15_name_pattern_flags", catalog_rollups.identifier_sql("spending", "population"))
