@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import os
 import struct
+import sys
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,8 @@ from tessera.llm.common import bounded_batches, free_name, schema_with, texts_of
 
 LONG = 1 << 15  # characters; longer texts are split
 LEAF = 1 << 14
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+STATE = "_tessera_worker_state"
 MARGIN = 32  # characters next to a cut where no common end is sought (marks compose and special tokens match across it)
 WINDOW = 128  # characters on either side of a cut, at first
 
@@ -46,29 +49,38 @@ class Codec:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_loaded": None, "_words": {}}
 
+    def _load(self) -> None:
+        """The tokenizer and the words a Python worker keeps between its tasks."""
+        from tokenizers import Tokenizer
+
+        kept = sys.modules.setdefault(STATE, types.ModuleType(STATE)).__dict__
+        if (self.path, self.drops_space) not in kept:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
+            found = Tokenizer.from_file(self.path)
+            found.no_truncation()
+            found.no_padding()
+            kept[self.path, self.drops_space] = (found, {})
+        self._loaded, self._words = kept[self.path, self.drops_space]
+
     @property
     def tokenizer(self):
         if self._loaded is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-            from tokenizers import Tokenizer
-
-            self._loaded = Tokenizer.from_file(self.path)
-            self._loaded.no_truncation()
-            self._loaded.no_padding()
+            self._load()
         return self._loaded
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         if not self.drops_space:
             return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        known, parts = self._words, [t.replace("\n", " ").split(" ") for t in texts]
+        tokenizer, known = self.tokenizer, self._words
+        parts = [t.replace("\n", " ").split(" ") for t in texts]
         new = list({w for p in parts for w in p if w not in known})
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list({w for p in parts for w in p})
         for s in range(0, len(new), 4096):
             some = new[s:s + 4096]
-            known.update(zip(some, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
+            known.update(zip(some, (_packed(e.ids) for e in tokenizer.encode_batch_fast(some, add_special_tokens=False))))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decoded(self, ids: list[bytes]) -> list[str]:
