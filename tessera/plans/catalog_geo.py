@@ -305,8 +305,8 @@ def w05(spark, d):
 SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, avg(value) AS avg_value
 FROM events GROUP BY 1, 2""", ("avg_value",))
 def w05s(spark, d):
-    """W05 as Structured Streaming: watermarked hourly windows over the
-    events files, run with availableNow; equals the batch aggregate."""
+    """W05 as Structured Streaming: sums by hourly window of each events file,
+    run with availableNow and added up; equals the batch aggregate."""
     import uuid
 
     from tessera.streaming.windows import run_hourly_stream, stream_paths
