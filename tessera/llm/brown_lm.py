@@ -3,8 +3,9 @@
 p(w | history) = p(class of w | class of the word before) * p(w | class of w).  The ``DICTIONARY`` most frequent training
 words (fewer words than that: all) are put into ``CLASSES`` classes by exchange clustering: in rounds, half of the words
 at a time each move to the class under which their neighbours are most likely, their own counts taken out of the class
-they are in.  Their neighbours are counted once, over the whole training text, against the ``CONTEXTS`` most frequent
-words, and lie as one row per word in a Spark table; a round sends out the class of each word and gets back sums by class.
+they are in.  Their neighbours are counted once, over the whole training text: every word of the dictionary by itself, all
+others by the class of their spelling, which never changes.  They lie as one row per word in a Spark table; a round sends
+out the class of each word and gets back sums by class.
 All other words, words seen fewer than ``LEAST`` times and words never seen have a class by their spelling, so every
 word has one, and the classes of rare words say what an unknown word costs.  Counts of words are never cut off:
 those in the dictionary travel with the job, all others meet their counts in a join.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bounded_batches, dropped, fold, texts_of, written
 
 DICTIONARY = 1 << 18  # words that travel with a job
-CONTEXTS = 1024  # neighbours that are counted for clustering
 CLASSES = 64
 LEAST = 4
 SPELLINGS = 24
@@ -89,76 +89,93 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _packed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each word, whose entries stand together, with its codes and counts as packed arrays."""
+    head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+    ends = np.append(head, len(word)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(word[head].astype(np.int32)), *[pa.Array.from_buffers(
+            pa.binary(), len(head), [None, pa.py_buffer(ends * 4), pa.py_buffer(a.astype(np.int32))])
+            for a in (code, n)]], names=["word", "codes", "counts"])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a column of packed arrays, and how many each row has."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1]
+    values = np.frombuffer(data, np.int32, (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] > ends[0] else np.empty(0, np.int32)
+    return values, np.diff(ends) // 4
+
+
 def neighbours(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """(word, codes, counts): for each dictionary word its frequent neighbours, code 2 * context + side, in packed arrays."""
-    def packed(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        head = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        ends = np.append(head, len(word)).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(word[head].astype(np.int32)), *[pa.Array.from_buffers(
-                pa.binary(), len(head), [None, pa.py_buffer(ends * a.itemsize), pa.py_buffer(a)])
-                for a in (code.astype(np.int16), n.astype(np.int32))]], names=["word", "codes", "counts"])
+    """(word, codes, counts): for each dictionary word all its neighbours, code 2 * neighbour + side, in packed arrays.
+
+    A neighbour is a word's number in the dictionary, or the dictionary's size plus the class by spelling less ``CLASSES``.
+    """
+    size = len(ids)
+    span = 2 * (size + ALL_CLASSES - CLASSES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        kept = 0
 
         def out() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            pairs = np.concatenate(held)
             held.clear()
-            return packed(pairs // (2 * CONTEXTS), pairs % (2 * CONTEXTS), n)
+            pairs.sort()
+            head = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+            word, code = np.divmod(pairs[head], span)
+            return _packed(word, code, np.diff(np.append(head, len(pairs))))
 
         for batch in batches:
             tokens, _ = stream(texts_of(batch, 0))
             if not tokens:
                 continue
+            tokens.insert(0, END)  # as in the model, END stands before the first text
             own = numbers(tokens, ids).astype(np.int64)
-            left, right = own[:-1], own[1:]
-            for word, near, side in ((right, left, 0), (left, right, 1)):
-                ok = (word >= 0) & (near >= 0) & (near < CONTEXTS)
-                held.append((word[ok] * CONTEXTS + near[ok]) * 2 + side)
-                size += len(held[-1])
-            if size >= KEPT_PAIRS:
+            at, number, _, spelled = _outside(tokens, own)
+            near = own.copy()
+            near[at] = spelled[number] + (size - CLASSES)
+            for word, other, side in ((own[1:], near[:-1], 0), (own[:-1], near[1:], 1)):
+                ok = word >= 0
+                held.append(word[ok] * span + other[ok] * 2 + side)
+                kept += len(held[-1])
+            if kept >= KEPT_PAIRS:
                 yield out()
-                size = 0
-        if size:
+                kept = 0
+        if kept:
             yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple[int, bytes, bytes]] = []  # rows of one word; it may go on in the next batch
-
-        def out(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-            words, codes, counts = zip(*rows)
-            code = np.frombuffer(b"".join(codes), np.int16)
-            n = np.frombuffer(b"".join(counts), np.int32)
-            word = np.repeat(np.array(words, np.int64), [len(c) // 2 for c in codes])
-            pair, where = np.unique(word * (2 * CONTEXTS) + code, return_inverse=True)
-            return packed(pair // (2 * CONTEXTS), pair % (2 * CONTEXTS), np.bincount(where, n, len(pair)))
-
+        pair, n = np.empty(0, np.int64), np.empty(0, np.int64)  # of the last word, added up; it may go on
         for batch in batches:
-            rows = last + list(zip(*[c.to_pylist() for c in batch.columns]))
-            cut = len(rows)
-            while cut and rows[cut - 1][0] == rows[-1][0]:
-                cut -= 1
+            code, lengths = _unpacked(batch.column(1))
+            word = np.repeat(batch.column(0).to_numpy().astype(np.int64), lengths)
+            pair, where = np.unique(np.concatenate([pair, word * span + code]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, _unpacked(batch.column(2))[0]]), len(pair)).astype(np.int64)
+            cut = np.searchsorted(pair, pair[-1] // span * span) if len(pair) else 0
             if cut:
-                yield out(rows[:cut])
-            last = rows[cut:]
-        if last:
-            yield out(last)
+                yield _packed(*np.divmod(pair[:cut], span), n[:cut])
+                pair, n = pair[cut:], n[cut:]
+        if len(pair):
+            yield _packed(*np.divmod(pair, span), n)
 
     kind = "word int, codes binary, counts binary"
     parts = docs.select("text").mapInArrow(count, kind)
     return parts.repartition("word").sortWithinPartitions("word").mapInArrow(merge, kind)
 
 
-def _profiles(batch: pa.RecordBatch, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cells(classes: np.ndarray) -> np.ndarray:
+    """Of each code its side and its neighbour's class, as one number."""
+    return (np.append(classes, np.arange(CLASSES, ALL_CLASSES))[:, None] + np.array([0, ALL_CLASSES])).ravel()
+
+
+def _profiles(batch: pa.RecordBatch, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of a batch, and how often a neighbour of each class stands on either side of them."""
     word = batch.column(0).to_numpy()
-    codes, counts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-    code = np.frombuffer(b"".join(codes), np.int16).astype(np.int64)
-    n = np.frombuffer(b"".join(counts), np.int32)
-    row = np.repeat(np.arange(len(word)), [len(c) // 2 for c in codes])
-    at = (row * 2 + code % 2) * ALL_CLASSES + classes[code // 2]
+    code, lengths = _unpacked(batch.column(1))
+    at = np.repeat(np.arange(len(word)) * (2 * ALL_CLASSES), lengths) + cells[code]
+    n, _ = _unpacked(batch.column(2))
     return word, np.bincount(at, n, len(word) * 2 * ALL_CLASSES).reshape(len(word), -1)
 
 
@@ -168,9 +185,9 @@ def exchanged(table: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> np
     for turn in range(rounds + 1):
 
         def sums(batches: Iterator[pa.RecordBatch], classes: np.ndarray = classes) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((ALL_CLASSES, 2 * ALL_CLASSES))
+            total, cells = np.zeros((ALL_CLASSES, 2 * ALL_CLASSES)), _cells(classes)
             for batch in batches:
-                word, x = _profiles(batch, classes)
+                word, x = _profiles(batch, cells)
                 np.add.at(total, classes[word], x)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["at", "n"])
@@ -188,8 +205,9 @@ def exchanged(table: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> np
 
         def move(batches: Iterator[pa.RecordBatch], classes: np.ndarray = classes, total: np.ndarray = total,
                  logs: np.ndarray = np.log(share[:CLASSES]), turn: int = turn) -> Iterator[pa.RecordBatch]:
+            cells = _cells(classes)
             for batch in batches:
-                word, x = _profiles(batch, classes)
+                word, x = _profiles(batch, cells)
                 now = classes[word]
                 fit = x @ logs.T
                 rest = total[now] - x

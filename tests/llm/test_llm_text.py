@@ -112,6 +112,24 @@ def test_class_model_beats_unigrams_and_sums_to_one(spark):
     assert not {classes[w.encode()] for w in names} & {classes[w.encode()] for w in verbs}
 
 
+def test_every_neighbour_counts_for_the_classes(spark):
+    """Words of two kinds that alternate and meet none of the 1,100 most frequent words: classes still part them."""
+    rng = random.Random(8)
+    names, verbs = [f"name{k}" for k in range(40)], [f"does{k}" for k in range(40)]
+    frequent = [f"often{k}" for k in range(1100)] * 45
+    rng.shuffle(frequent)
+    rows = [(k, " ".join(frequent[k * 99:(k + 1) * 99]), "en") for k in range(500)]
+    rows += [(1000 + k, " ".join(rng.choice(names if j % 2 else verbs) for j in range(32)), "en") for k in range(90)]
+    brown_lm.bounded_batches(spark)
+    docs = frame(spark, rows)
+    model, _ = brown_lm.trained(docs)
+    classes = {w: c for w, c in zip(model.ids, model.classes.tolist())}
+    assert not {classes[w.encode()] for w in names} & {classes[w.encode()] for w in verbs}
+    table = {r["word"]: sum(np.frombuffer(r["counts"], np.int32).tolist()) for r in brown_lm.neighbours(docs, model.ids).collect()}
+    ends = {model.ids[brown_lm.END]}
+    assert all(table[k] == 2 * n for k, n in enumerate(model.counts.tolist()) if k not in ends)  # one on either side
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
