@@ -4,9 +4,9 @@ Benchmark items are the query set, taken in blocks of about ``BLOCK`` items; eac
 Features are the block's words, weighted by their inverse document frequency over the whole corpus.  A randomised SVD of
 TF-IDF passages (items, and a bounded hash sample of corpus passages, ``SAMPLE`` documents) is fitted in two distributed
 passes: sums of A'(A R) give the range, sums of (A Q)'(A Q) the rotation.  Passages are windows as long as one and a half
-times an item of their size class and half a class apart, so each item that occurs lies whole in some window.  A window
-whose latent cosine to an item reaches ``COSINE`` is a candidate; the longest common subsequence of words and the item's
-answer decide.  Only windows are looked up that hold as many of an item's rarer words as the shortest subsequence that
+times an item of their size class and half a class apart, so each item that occurs lies whole in some window.  The longest
+common subsequence of words decides on copies, whatever else the window holds; a paraphrase needs the item's answer and a
+latent cosine of ``COSINE`` too, over term counts damped by their logarithm.  Only windows are looked up that hold as many of an item's rarer words as the shortest subsequence that
 counts must share (leave out as many words as may differ, and that many of the rest must be there): this loses nothing.
 """
 
@@ -27,7 +27,7 @@ from tessera.llm.common import bounded_batches, dropped, texts_of, written
 BLOCK = 256  # items per pass over the corpus
 RANK = 256  # latent dimensions at most
 SAMPLE, SAMPLE_CHARS, SAMPLE_WORDS = 2000, 20_000, 64  # documents, their length and their passages in the fit
-COSINE = 0.3
+COSINE = 0.3  # of a paraphrase at least
 COPY = 0.8  # share of an item's words in common order: a copy
 PARAPHRASE = 0.6  # a paraphrase, if the answer is there too
 ANSWER = 0.8  # share of the answer's words in common order
@@ -107,12 +107,11 @@ class Latent:
         self.owners, self.needed = pairs[:, 1].astype(np.int32), np.array(needed)
 
     def project(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Unit latent vectors of word sequences."""
+        """Unit latent vectors of word sequences, a word that occurs n times weighing 1 + log n."""
         out = np.zeros((len(ids), self.rows.shape[1]), np.float32)
-        for s in range(0, len(ids), 128):
-            part = ids[s:s + 128]
-            at = np.concatenate([[0], np.cumsum([len(p) for p in part])[:-1]])
-            out[s:s + 128] = np.add.reduceat(self.rows[np.concatenate(part)], at, axis=0)
+        for k, own in enumerate(ids):
+            words, n = np.unique(own, return_counts=True)
+            out[k] = (1 + np.log(n)).astype(np.float32) @ self.rows[words]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     def windows(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -153,16 +152,13 @@ class Latent:
         found: list[dict[int, tuple[float, float, bool]]] = [{} for _ in texts]
         if not texts:
             return found
-        spots = self.windows(texts)
-        for s in range(0, len(spots), 1024):
-            part = spots[s:s + 1024]
-            regions = [texts[t][start:start + self.items[i].size * 3 // 2] for t, i, start in part]
-            cosine = np.einsum("ij,ij->i", self.project(regions), self.vectors[part[:, 1]])
-            for k in np.flatnonzero(cosine >= COSINE):
-                t, i = int(part[k, 0]), int(part[k, 1])
-                got = self.check(i, regions[k])
-                if got is not None and got[0] > found[t].get(i, (0,))[0]:
-                    found[t][i] = (got[0], float(cosine[k]), got[1])
+        for t, i, start in self.windows(texts).tolist():
+            region = texts[t][start:start + self.items[i].size * 3 // 2]
+            got = self.check(i, region)
+            if got is not None and got[0] > found[t].get(i, (0,))[0]:
+                cosine = float(self.project([region])[0] @ self.vectors[i])
+                if got[0] >= COPY or cosine >= COSINE:
+                    found[t][i] = (got[0], cosine, got[1])
         return found
 
     def check(self, number: int, region: np.ndarray) -> tuple[float, bool] | None:
@@ -235,7 +231,7 @@ def _fitted(docs: DataFrame, block: Latent, seed: int = 5) -> Latent:
         for s in range(0, len(ids), SAMPLE_WORDS):
             own = ids[s:s + SAMPLE_WORDS]
             words, n = np.unique(own[own < size], return_counts=True)
-            value = n * weights[words]
+            value = (1 + np.log(np.maximum(n, 1))) * weights[words]
             if len(words) and (norm := np.sqrt((value ** 2).sum())) > 0:
                 yield words, value / norm
 

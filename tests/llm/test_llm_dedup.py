@@ -159,6 +159,22 @@ def test_decontamination_recall(spark):
     assert kept == {k for k, _, _ in rows} - {k for k, _ in got} - {500}
 
 
+def test_items_inside_repeated_words(spark):
+    """Exact and short items amid one repeated word of theirs are found, whatever the window's cosine."""
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in "kilo mar ten vol sub pre".split() for b in "anta ermo inri ordo ussk elta".split()]
+    items = [(k, " ".join(f"{rng.choice(vocabulary)}{rng.randrange(40)}" for _ in range(33))) for k in range(20)]
+    items += [(90, "kiloanta sober marker ten")]
+    rows = []
+    for k, item in items:
+        rows += [(100 * k + j, f"{(w + ' ') * 70}{item} {(w + ' ') * 70}", "en") for j, w in enumerate(item.split()[:4])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, rows)
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in decontamination.contaminated_pairs(docs, benchmark).collect()}
+    assert got == {(d, d // 100): 1.0 for d, _, _ in rows}
+    assert decontamination.decontaminated(docs, benchmark).count() == 0
+
+
 def test_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
