@@ -2,7 +2,7 @@
 
 Benchmark items are the query set, taken in blocks of about ``BLOCK`` items; each block goes against all documents.
 Features are the block's words, weighted by their inverse document frequency over the whole corpus.  A randomised SVD of
-TF-IDF passages (items, and a bounded hash sample of corpus passages, ``SAMPLE`` documents) is fitted in two distributed
+TF-IDF passages (items, and all passages of ``PASSAGE`` words of all documents) is fitted in two distributed
 passes: sums of A'(A R) give the range, sums of (A Q)'(A Q) the rotation.  Passages are windows as long as one and a half
 times an item of their size class and half a class apart, so each item that occurs lies whole in some window.  The longest
 common subsequence of words decides on copies, whatever else the window holds; a paraphrase needs the item's answer and a
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, dropped, texts_of, written
+from tessera.llm.common import bounded_batches, texts_of
 
 BLOCK = 256  # items per pass over the corpus
 RANK = 256  # latent dimensions at most
-SAMPLE, SAMPLE_CHARS, SAMPLE_WORDS = 2000, 20_000, 64  # documents, their length and their passages in the fit
+PASSAGE = 64  # words of a passage in the fit
+ENTRIES = 1 << 14  # words of passages at a time
 COSINE = 0.3  # of a paraphrase at least
 COPY = 0.8  # share of an item's words in common order: a copy
 PARAPHRASE = 0.6  # a paraphrase, if the answer is there too
@@ -211,72 +212,105 @@ def _weighted(docs: DataFrame, block: Latent) -> Latent:
     return block
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """At most about SAMPLE different texts, by hash."""
-    rows = docs.where(F.char_length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    n = max(1, docs.count())
-    thin = rows.where(F.pmod("h", F.lit(n)) < SAMPLE).groupBy("h").agg(F.first("text").alias("text"))
-    return written(thin.orderBy("h").limit(2 * SAMPLE).select("text").repartition(8), "latent-sample")
+def _passages(texts: list[np.ndarray], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The TF-IDF passages of the texts, some at a time: words, values, and where in them each passage begins.
+
+    A passage is PASSAGE words of one text, of length 1; those without a word of the vocabulary are left out.
+    """
+    size = len(weights) - 1
+    lengths = np.array([len(t) for t in texts], np.int64)
+    words = np.concatenate([*texts, np.empty(0, np.int32)]).astype(np.int64)
+    parts = -(-lengths // PASSAGE)
+    place = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    number = np.repeat(np.cumsum(parts) - parts, lengths) + place // PASSAGE
+    inside = words < size
+    pair, n = np.unique(number[inside] * size + words[inside], return_counts=True)
+    if not len(pair):
+        return
+    number, words = np.divmod(pair, size)
+    head = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    values = (1 + np.log(n)) * weights[words]
+    values /= np.repeat(np.sqrt(np.add.reduceat(values ** 2, head)), np.diff(np.append(head, len(pair))))
+    step = max(1, ENTRIES // PASSAGE)
+    for s in range(0, len(head), step):
+        low, high = head[s], head[s + step] if s + step < len(head) else len(pair)
+        yield words[low:high], values[low:high].astype(np.float32), head[s:s + step] - low
+
+
+def _products(words: np.ndarray, values: np.ndarray, head: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """A row for each passage: its product with ``r``."""
+    return np.add.reduceat(values[:, None] * r[words], head, axis=0)
+
+
+def _spread(total: np.ndarray, words: np.ndarray, values: np.ndarray, head: np.ndarray, r: np.ndarray) -> None:
+    """Add A'(A r) of the passages A to ``total``."""
+    row = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(words))))
+    order = np.argsort(words, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(words[order]) != 0))
+    total[words[order][first]] += np.add.reduceat(
+        values[order, None] * _products(words, values, head, r)[row[order]], first, axis=0)
+
+
+def _rotated(total: np.ndarray, words: np.ndarray, values: np.ndarray, head: np.ndarray, q: np.ndarray) -> None:
+    """Add (A q)'(A q) of the passages A to ``total``."""
+    p = _products(words, values, head, q)
+    total += p.T @ p
+
+
+def _summed(docs: DataFrame, block: Latent, step, r: np.ndarray, height: int) -> tuple[np.ndarray, int]:
+    """Sum of ``step`` over all passages of all documents, and their number: partial sums of a task, added up by strips."""
+    vocabulary, weights, wide, strip = block.vocabulary, block.weights, r.shape[1], 64
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((height, wide)), 0
+        for batch in batches:
+            for words, values, head in _passages([word_ids(vocabulary, t) for t in texts_of(batch, 0)], weights):
+                step(total, words, values, head, r)
+                n += len(head)
+        if n:
+            strips = range(0, height, strip)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(strips), pa.int32()), pa.array([total[s:s + strip].tobytes() for s in strips], pa.binary()),
+                 pa.array([n if s == 0 else 0 for s in strips], pa.int64())], names=["strip", "total", "n"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        for batch in batches:
+            for s, total, n in zip(*[c.to_pylist() for c in batch.columns]):
+                sums[s] = sums.get(s, 0) + np.frombuffer(total)
+                count[s] = count.get(s, 0) + n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([t.tobytes() for t in sums.values()], pa.binary()),
+             pa.array(list(count.values()), pa.int64())], names=["strip", "total", "n"])
+
+    kind = "strip int, total binary, n long"
+    out, n = np.zeros((height, wide)), 0
+    for row in docs.select("text").mapInArrow(part, kind).repartition("strip").mapInArrow(added, kind).collect():  # a row a strip
+        out[row["strip"]:row["strip"] + strip] += np.frombuffer(row["total"]).reshape(-1, wide)
+        n += row["n"]
+    return out, n
 
 
 def _fitted(docs: DataFrame, block: Latent, seed: int = 5) -> Latent:
-    """Randomised SVD of the TF-IDF passages of the sample and the items (weighted to as much as the sample)."""
+    """Randomised SVD of the TF-IDF passages of all documents and of the items (weighted to as much as the documents)."""
     size, rng = len(block.vocabulary), np.random.default_rng(seed)
     rank = min(RANK, size)
     wide = min(size, rank + 8)
-    sample = _sample(docs)
-    vocabulary, weights = block.vocabulary, block.weights
-
-    def passages(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for s in range(0, len(ids), SAMPLE_WORDS):
-            own = ids[s:s + SAMPLE_WORDS]
-            words, n = np.unique(own[own < size], return_counts=True)
-            value = (1 + np.log(np.maximum(n, 1))) * weights[words]
-            if len(words) and (norm := np.sqrt((value ** 2).sum())) > 0:
-                yield words, value / norm
-
-    def summed(step, shape: tuple[int, int]) -> tuple[np.ndarray, int]:
-        """Sum over the sample's passages of ``step(total, words, values)``: partial sums in tasks, added up by row."""
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(shape), 0
-            for batch in batches:
-                for t in texts_of(batch, 0):
-                    for words, values in passages(word_ids(vocabulary, t)):
-                        step(total, words, values)
-                        n += 1
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([n])],
-                                             names=["total", "n"])
-
-        out, n = np.zeros(shape), 0
-        for r in sample.mapInArrow(part, "total binary, n long").collect():  # as many rows as the sample has parts
-            out += np.frombuffer(r["total"], np.float32).reshape(shape)
-            n += r["n"]
-        return out, n
-
-    own = [p for i in block.items for p in passages(i.words)]
-    first = rng.normal(size=(size, wide))
-
-    def spread(total, words, values, r=first):
-        total[words] += np.outer(values, values @ r[words])
-
-    y, n = summed(spread, (size, wide))
-    more = max(1.0, n / max(1, len(own)))  # items weigh as much as the sample
+    own = list(_passages([i.words for i in block.items], block.weights))
+    first = rng.normal(size=(size, wide)).astype(np.float32)
+    y, n = _summed(docs, block, _spread, first, size)
+    more = max(1.0, n / max(1, sum(len(head) for _, _, head in own)))
     items = np.zeros((size, wide))
-    for words, values in own:
-        spread(items, words, values)
-    q = np.linalg.qr(y + more * items)[0]
-
-    def rotate(total, words, values, q=q):
-        p = values @ q[words]
-        total += np.outer(p, p)
-
-    c, _ = summed(rotate, (wide, wide))
+    for words, values, head in own:
+        _spread(items, words, values, head, first)
+    q = np.linalg.qr(y + more * items)[0].astype(np.float32)
+    c, _ = _summed(docs, block, _rotated, q, wide)
     items = np.zeros((wide, wide))
-    for words, values in own:
-        rotate(items, words, values)
-    dropped(sample)
+    for words, values, head in own:
+        _rotated(items, words, values, head, q)
     vectors = q @ np.linalg.eigh(c + more * items)[1][:, ::-1][:, :rank]
-    block.rows = np.concatenate([vectors * weights[:size, None], np.zeros((1, rank))]).astype(np.float32)
+    block.rows = np.concatenate([vectors * block.weights[:size, None], np.zeros((1, rank))]).astype(np.float32)
     block.vectors = block.project([i.words for i in block.items])
     return block
 

@@ -175,6 +175,29 @@ def test_items_inside_repeated_words(spark):
     assert decontamination.decontaminated(docs, benchmark).count() == 0
 
 
+def test_latent_space_is_of_all_documents(spark):
+    """Long texts and every copy are in the sums of the fit; sums are those of the whole matrix."""
+    rng = np.random.default_rng(4)
+    names = [f"word{k}" for k in range(30)]
+    texts = [" ".join(rng.choice([*names, "other"], n)) for n in (5000, 70, 64, 1, 0, 200)] * 2
+    decontamination.bounded_batches(spark)
+    docs = frame(spark, [(k, t, "en") for k, t in enumerate([*texts, None])])
+    block = next(decontamination.blocks(docs, spark.createDataFrame([(1, " ".join(names))], "item_id long, text string")))
+    rows = []
+    for t in texts:
+        ids = decontamination.word_ids(block.vocabulary, t)
+        for s in range(0, len(ids), 64):
+            x = np.bincount(ids[s:s + 64], minlength=31)[:30]
+            x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * block.weights[:30]
+            if x.any():
+                rows.append(x / np.linalg.norm(x))
+    a, r = np.array(rows), rng.normal(size=(30, 12)).astype(np.float32)
+    total, n = decontamination._summed(docs, block, decontamination._spread, r, 30)
+    assert n == len(a) and np.allclose(total, a.T @ (a @ r), rtol=1e-3, atol=1e-3)
+    total, n = decontamination._summed(docs, block, decontamination._rotated, r, 12)
+    assert n == len(a) and np.allclose(total, (a @ r).T @ (a @ r), rtol=1e-3, atol=1e-3)
+
+
 def test_common_subsequence():
     def brute(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
