@@ -61,6 +61,33 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+class Remembered:
+    """Values of the keys met of late, at most about twice ``limit`` keys or thirty times as many characters.
+
+    Once that much is in ``now``, it becomes the older half; keys met again come back from there, the others go with
+    the next turn.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.older, self.size = limit, {}, {}, 0
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """The keys without a value; those of the older half come back into ``now``."""
+        now, older = self.now, self.older
+        missing = [k for k in keys if k not in now]
+        found = [k for k in missing if k in older]
+        self.add([(k, older[k]) for k in found])
+        return [k for k in missing if k not in older] if found else missing
+
+    def add(self, pairs: list[tuple[str, object]]) -> None:
+        self.now.update(pairs)
+        self.size += sum(len(k) for k, _ in pairs)
+
+    def turn(self) -> None:
+        if len(self.now) >= self.limit or self.size >= 32 * self.limit:
+            self.older, self.now, self.size = self.now, {}, 0
+
+
 def texts_of(batch: object, at: int) -> list[str]:
     """The texts of a record batch's column, null as empty."""
     return [t or "" for t in batch.column(at).to_pylist()]

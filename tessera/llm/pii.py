@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -50,7 +50,7 @@ def luhn(digits: str) -> bool:
 
 def passes(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in found.split(".")))
     digits = re.sub("[^0-9]", "", found)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -237,6 +237,11 @@ def detected(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text_hash", "spans", F.coalesce("added", none).alias("added"))
 
 
+def of_kind(k: int) -> Callable[[Column], Column]:
+    """Whether a span is of the kind of that number (a filter of one parameter; a second one would be the place)."""
+    return lambda span: span["k"] == F.lit(k)
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, by kind as listed and then start, joined by commas."""
     names = F.array(*map(F.lit, KINDS))

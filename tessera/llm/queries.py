@@ -32,11 +32,10 @@ def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.pii import KINDS, detected, listed
+    from tessera.llm.pii import KINDS, detected, listed, of_kind
 
     out = detected(read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{kind}")
-              for k, kind in enumerate(KINDS)]
+    counts = [F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return out.select(
         "doc_id", *counts, F.sha2(listed(F.col("spans")).cast("binary"), 256).alias("base_sha256"),
         listed(F.concat("spans", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
@@ -84,11 +83,23 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.byte_bpe import byte_bpe_encoded
+
+    out = byte_bpe_encoded(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                           public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
     return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_brown_lm,
                                   op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
-                                  op8_toxicity, op9_language_id, op10_latent_decontamination)}
+                                  op8_toxicity, op9_language_id, op10_latent_decontamination, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
