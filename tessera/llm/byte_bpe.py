@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import Remembered, bounded_batches, free_name, schema_with, texts_of
+from tessera.llm.common import Remembered, bounded_batches, free_name, schema_with, texts_of, words_of
 
 REMEMBERED = 250_000  # words, and matches, that a worker keeps of late and as many from before
 REMEMBERED_PAIRS = 1_000_000  # pairs of tokens a worker keeps
-OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]  # at least what any pattern means by it
 MEMO_BITS = 20  # of the number of places for pairs in the arrays' memory
 SIDE_BY_SIDE = 64  # bytes; longer matches are encoded one by one
 SEAM = "\u0100"  # stands for no byte
@@ -220,14 +219,6 @@ class Ranks:
         return out
 
 
-def words_of(text: str) -> tuple[str | None, list[str]]:
-    """The first word and the others, a line end before a word kept with it; None and none if white space is not single."""
-    first, *rest = text.replace("\n", " \n").split(" ")
-    if not first or "" in rest or "\n" in rest or any(c in text for c in OTHER_SPACE):
-        return None, []
-    return first, rest
-
-
 class ByteCodec:
     """A file of ranks and a split pattern, loaded where they are first used; a job carries path and pattern only.
 

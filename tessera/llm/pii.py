@@ -11,6 +11,7 @@ a round adds none.  Whatever failed a strict check (Luhn, number ranges) is evid
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,12 @@ from tessera.llm.common import bounded_batches, free_name, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The strict patterns of the kinds.
+# The strict patterns of the kinds, so written that a failed run of characters is left at once: an address is
+# sought from its @, a dotted number from the start of a run of digits.
+LOCAL = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": re.compile(r"[0-9](?:[ -]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
 }
@@ -36,7 +39,7 @@ EDGES = ".,;:!?\"'()[]{}<>"
 LEAST_SEEDS = 3  # distinct known instances a pattern needs
 LEAST_SHARE = 0.5  # of its context's occurrences that hold a known instance
 LEAST_BELIEF = 0.7  # confidence at which an instance becomes known
-NEAR = 64  # characters searched for a context word
+NEAR = 64  # characters on either side of a span that a context word lies in
 KEPT_WORDS = 200_000  # words counted before a task hands its counts on
 
 
@@ -57,20 +60,35 @@ def passes(kind: str, found: str) -> bool:
     return kind == "email" or 8 <= len(digits) <= 15
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of local part, @ and dotted domain, leftmost first; each character is looked at once for each part."""
+    at, mark = 0, text.find("@")
+    while mark >= 0:
+        local = text[at:mark]
+        start = at + len(local.rstrip(LOCAL))
+        found = DOMAIN.match(text, mark + 1) if start < mark else None
+        if found:
+            yield start, found.end()
+        at = found.end() if found else mark + 1
+        mark = text.find("@", at)
+
+
 def strict_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
     """(kind number, start, end) of what passes, by kind and start; (start, end) of what matched a kind and failed.
 
-    A run of digits too short for any card is not held against: it says nothing of the kind.
+    A run of digits too short for any card is not held against: it says nothing of the kind.  Linear in the text.
     """
     good, bad = [], []
     for k, kind in enumerate(KINDS):
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+        if kind == "phone" and "+" not in text:
             continue
-        for m in PATTERNS[kind].finditer(text):
-            if passes(kind, m.group()):
-                good.append((k, *m.span()))
-            elif kind != "card" or sum(map(str.isdigit, m.group())) >= 12:
-                bad.append(m.span())
+        spans = addresses(text) if kind == "email" else (m.span() for m in PATTERNS[kind].finditer(text))
+        for s, e in spans:
+            found = text[s:e]
+            if passes(kind, found):
+                good.append((k, s, e))
+            elif kind != "card" or sum(map(str.isdigit, found)) >= 12:
+                bad.append((s, e))
     return good, bad
 
 
@@ -85,13 +103,23 @@ def shape(value: str) -> str:
     return "groups" if re.fullmatch(r"[-+0-9 ().]+", value) else "mixed"
 
 
+def _nearest(text: str, start: int, end: int) -> tuple[str, str]:
+    """The words before and after a span that begin and end within ``NEAR`` characters of it; longer words are no context."""
+    before, after = text[max(0, start - NEAR):start], text[end:end + NEAR]
+    left, right = before.split(), after.split()
+    if len(left) == 1 and start > NEAR and not before[0].isspace():
+        left = []
+    if len(right) == 1 and end + NEAR < len(text) and not after[-1].isspace():
+        right = []
+    return left[-1] if left else "", right[0] if right else ""
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """Lexical contexts of a span: ``before word``, ``after word`` or ``key key=``."""
-    if start and text[start - 1] in "=:" and (own := text[max(0, start - NEAR):start].split()):
-        return [f"key {own[-1].lower()}"]
-    left, right = text[max(0, start - NEAR):start].split(), text[end:end + NEAR].split()
-    out = [f"before {left[-1].lower()}"] if left else []
-    return out + [f"after {right[0].lower()}"] if right else out
+    left, right = _nearest(text, start, end)
+    if left and start and text[start - 1] in "=:":
+        return [f"key {left.lower()}"]
+    return ([f"before {left.lower()}"] if left else []) + ([f"after {right.lower()}"] if right else [])
 
 
 def found_in(text: str) -> tuple[list, list]:
@@ -100,11 +128,17 @@ def found_in(text: str) -> tuple[list, list]:
         return [], []
     good, bad = strict_spans(text)
     values = [(s, e, k, shape(text[s:e]), text[s:e].lower(), contexts(text, s, e)) for k, s, e in good]
-    taken = sorted([(s, e) for _, s, e in good] + bad)
+    taken: list[list[int]] = []  # what the strict patterns matched, joined where it overlaps
+    for s, e in sorted([(s, e) for _, s, e in good] + bad):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    ends = [e for _, e in taken]
     values += [(s, e, -2, shape(text[s:e]), text[s:e].lower(), contexts(text, s, e)) for s, e in bad]
-    for mark in _candidates(text):
-        s, e = mark
-        if not any(s < te and ts < e for ts, te in taken):
+    for s, e in _candidates(text):
+        k = bisect_right(ends, s)
+        if k == len(taken) or taken[k][0] >= e:
             values.append((s, e, -1, shape(text[s:e]), text[s:e].lower(), contexts(text, s, e)))
     return good, values
 

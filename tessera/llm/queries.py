@@ -83,6 +83,18 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.alignment import TwoTokenizers, aligned, with_link_counts
+
+    two = TwoTokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    rows = aligned(read(spark, sf_dir, "documents"), two)
+    digest = F.when(F.col("n_groups") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    out = with_link_counts(rows.withColumn("groups", digest), two.width)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query, in the order of the operators."""
     return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_brown_lm,
                                   op4_bootstrapped_pii, op5_hilbert_sharding, op6_simhash_near_dedup, op7_bpe_round_trip,
-                                  op8_toxicity, op9_language_id, op10_latent_decontamination, op13_byte_bpe)}
+                                  op8_toxicity, op9_language_id, op10_latent_decontamination, op12_token_alignment, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
