@@ -1,25 +1,23 @@
 """Model-based clustering (K01, K07, K11, K13) with Spark ML.
 
-Entities are rows of a wide feature table keyed by an id column.  Fits
-run on Spark ML estimators; independent fits of a search (k × seed) are
-submitted from a small driver thread pool so Spark runs them
-concurrently.  Silhouette uses Spark's ``ClusteringEvaluator`` (squared
-Euclidean), matching ``metrics.silhouette_sq``.
+Entities are rows of a wide feature table keyed by an id column.  All fits
+of a K-Means search (k × seed) share their passes over the points
+(``lloyd.py``); silhouettes are by squared Euclidean distance, matching
+``metrics.silhouette_sq``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import temporal
+from tessera.operators import lloyd
 from tessera.operators.features import NIGHT_HOURS, PEAK_HOURS
 
 STATION_FEATURES = [
@@ -47,8 +45,8 @@ def station_features(enriched_trips: DataFrame) -> DataFrame:
     )
 
 
-def scaled_vectors(df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
-    """(id, features VECTOR) with each column standardized by its mean and
+def scaled_columns(df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
+    """(id, features) with each column standardized by its mean and
     population std (constant columns → 0), as the reference's scaler."""
     stats = df.agg(*[F.avg(F.col(f).cast("double")).alias(f"m_{i}") for i, f in enumerate(features)],
                    *[F.stddev_pop(F.col(f).cast("double")).alias(f"s_{i}") for i, f in enumerate(features)]).first()
@@ -57,59 +55,44 @@ def scaled_vectors(df: DataFrame, id_col: str, features: Sequence[str]) -> DataF
         m, s = stats[f"m_{i}"] or 0.0, stats[f"s_{i}"] or 0.0
         x = F.coalesce(F.col(f).cast("double"), F.lit(m))
         cols.append(((x - m) / (s if s > 0 else 1.0)).alias(f))
-    scaled = df.select(id_col, *cols)
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled).select(id_col, "features")
+    return df.select(id_col, *cols)
 
 
-def _fit(vecs: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=300).fit(vecs)
+def scaled_vectors(df: DataFrame, id_col: str, features: Sequence[str]) -> DataFrame:
+    """(id, features VECTOR) of ``scaled_columns``."""
+    scaled = scaled_columns(df, id_col, features)
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled).select(id_col, "features")
 
 
-def kmeans_search(vecs: DataFrame, k_range=(2, 10), n_init: int = 10, seed: int = 42,
-                  threads: int = 8) -> tuple[DataFrame, DataFrame]:
+def kmeans_search(vecs: DataFrame, k_range=(2, 10), n_init: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """For each k the best of ``n_init`` seeded fits (min inertia),
-    its silhouette; best k = max silhouette, smallest k on ties.
+    its silhouette; best k = max silhouette, smallest k on ties.  All fits
+    run at once, one pass over the points an iteration (``lloyd.fitted``).
 
     Returns (search table (k, silhouette, inertia, best), assignments
     (id, cluster)).  k is capped at n - 1."""
     spark = vecs.sparkSession
-    vecs = vecs.persist()
-    n = vecs.count()
+    points = lloyd.as_points(vecs)
+    n = points.count()
     ks = [k for k in range(k_range[0], k_range[1] + 1) if k <= n - 1]
-    jobs = [(k, seed + i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        models = list(pool.map(lambda ks_: (ks_[0], ks_[1], _fit(vecs, ks_[0], ks_[1])), jobs))
-    best_per_k = {}
-    for k, s, m in models:
-        cost = m.summary.trainingCost
-        if k not in best_per_k or cost < best_per_k[k][0]:
-            best_per_k[k] = (cost, s, m)
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    rows = []
-    for k in ks:
-        cost, s, m = best_per_k[k]
-        sil = ev.evaluate(m.transform(vecs))
-        rows.append((k, float(sil), float(cost), s))
-    best_k = sorted(rows, key=lambda r: (-r[1], r[0]))[0][0] if rows else None
+    models = lloyd.fitted(points, [(k, seed + i) for k in ks for i in range(n_init)])
+    best = [min((m for m in models if m.k == k), key=lambda m: (m.cost, m.seed)) for k in ks]
+    rows = [(m.k, float(s), m.cost, m.seed) for m, s in zip(best, lloyd.silhouettes(points, best))]
+    best_k = min(rows, key=lambda r: (-r[1], r[0]))[0] if rows else None
     table = spark.createDataFrame([(k, sil, cost, seed_, k == best_k) for k, sil, cost, seed_ in rows],
                                   "k int, silhouette double, inertia double, seed int, best boolean")
     if best_k is None:
         return table, spark.createDataFrame([], "id long, cluster int")
-    id_col = [c for c in vecs.columns if c != "features"][0]
-    assign = best_per_k[best_k][2].transform(vecs).select(id_col, F.col("cluster").cast("int"))
-    return table, assign
+    return table, lloyd.assigned(vecs, best[ks.index(best_k)])
 
 
 def stability(vecs: DataFrame, k: int, n_bootstrap: int = 10, frac: float = 0.8, seed: int = 42) -> DataFrame:
-    """Refit on bootstrap resamples (with replacement, seed 42 + i);
-    statistic 1 - popstd / max(mean, 1) of the resulting cluster counts."""
-    spark = vecs.sparkSession
-    counts = []
-    for i in range(n_bootstrap):
-        sample = vecs.sample(withReplacement=True, fraction=frac, seed=seed + i)
-        m = _fit(sample, k, seed + i)
-        counts.append((i, int(len(m.clusterCenters()))))
-    c = spark.createDataFrame(counts, "round int, n_clusters int")
+    """Refit on bootstrap resamples (with replacement, seed 42 + i: each
+    point counts as often as a Poisson variate of its hash says, whatever
+    the partitioning), all rounds at once; statistic
+    1 - popstd / max(mean, 1) of the counts of clusters that hold points."""
+    models = lloyd.fitted(lloyd.as_points(vecs), [(k, seed + i) for i in range(n_bootstrap)], rate=frac)
+    c = vecs.sparkSession.createDataFrame([(i, int((m.sizes > 0).sum())) for i, m in enumerate(models)], "round int, n_clusters int")
     return c.agg(F.avg("n_clusters").alias("mean_clusters"), F.stddev_pop("n_clusters").alias("std_clusters"),
                  F.count(F.lit(1)).alias("rounds")).withColumn(
         "stability_score", 1 - F.col("std_clusters") / F.greatest(F.col("mean_clusters"), F.lit(1.0)))

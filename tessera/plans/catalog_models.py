@@ -69,10 +69,10 @@ def k13(spark, d, with_stability: bool = True):
     from tessera.operators.density import density_stability
     long = CC.cluster_matrix(spark, d)
     vecs = county_vectors(spark, d)
-    table, km = C.kmeans_search(vecs, (2, 10), N_INIT)
+    km = county_kmeans_labels(spark, d)
     stable = {}
     if with_stability:
-        k = table.where("best").first()["k"]
+        k = km.select(F.count_distinct("cluster")).first()[0]
         stable = {"kmeans": float(C.stability(vecs, k, 10, 0.8).first()["stability_score"]),
                   "density": density_stability(county_pc_plane(spark, d), 5, 3)}
     rows = None
@@ -147,13 +147,13 @@ def r09(spark, d):
 
 @register("k02_density_clustering_stations")
 def k02(spark, d):
-    """Density clustering of station locations (min_cluster_size 5,
-    min_samples 3, ε = median core distance): cluster, membership and
-    outlier score per station."""
-    from tessera.operators.density import density_clusters
+    """Hierarchical density clustering of station locations
+    (min_cluster_size 5, min_samples 3): cluster, membership and outlier
+    score per station."""
+    from tessera.operators.hierarchy import hierarchical_clusters
     st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
                                               F.col("lat").alias("y"))
-    return density_clusters(st, 5, 3).withColumnRenamed("pid", "station_id")
+    return hierarchical_clusters(st, ["x", "y"], 5, 3).withColumnRenamed("pid", "station_id")
 
 
 @register("k06_density_tuning_stations")
@@ -166,30 +166,68 @@ def k06(spark, d):
     return tune_density(st)
 
 
+FITTED = {"kmeans": lambda spark, d: county_kmeans_labels(spark, d),
+          "density": lambda spark, d: county_density_labels(spark, d).select("county_fips", "cluster")}
+
+
+def analysis_of(spark, d, labels):
+    """K14 for one clustering of the counties: (section, cluster, feature, measure, value)."""
+    from tessera.operators import metrics
+    long, raw = CC.cluster_matrix(spark, d), CC.raw_long(spark, d)
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+
+    def rows(df, section, measures, cluster=none, feature=text):
+        pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
+        return df.select(F.lit(section).alias("section"), cluster.alias("cluster"), feature.alias("feature"), pairs.alias("m")).select(
+            "section", "cluster", "feature", "m.measure", "m.value")
+
+    counts = labels.agg(F.count_distinct(F.when(F.col("cluster") != -1, F.col("cluster"))).alias("n_clusters"),
+                        F.count_if(F.col("cluster") == -1).alias("n_outliers"), F.count(F.lit(1)).alias("n_samples"))
+    profiles = metrics.cluster_profiles(raw, labels, "county_fips")
+    geographic = metrics.morans_i(labels, None, "county_fips", CC.county_knn_edges(spark, d))
+    outliers = metrics.outlier_analysis(long, labels, "county_fips")
+    own = ["outlier_mean", "outlier_std", "overall_mean", "z_score"]
+    parts = [
+        rows(counts, "size", ["n_samples", "n_clusters", "n_outliers"]),
+        rows(metrics.silhouette_sq(long, labels, "county_fips"), "internal", ["silhouette_sq_euclidean"]),
+        rows(metrics.calinski_harabasz(long, labels, "county_fips"), "internal", ["calinski_harabasz"]),
+        rows(metrics.davies_bouldin(long, labels, "county_fips"), "internal", ["davies_bouldin"]),
+        rows(geographic, "geographic", ["morans_i", "morans_i_zscore"]),
+        rows(profiles, "profile", ["mean", "median", "std", "min", "max", "count"], F.col("cluster").cast("int"), F.col("feature")),
+        rows(metrics.variance_ratio_importance(long, labels, "county_fips"), "importance", ["importance"], feature=F.col("feature")),
+        rows(outliers, "outliers", own, feature=F.col("feature"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("k14_complete_clustering_analysis")
 def k14(spark, d):
-    """Every algorithm's run as one status row (a failing algorithm
-    becomes a status row, not an exception): K-Means on the county matrix
-    and density clustering on station locations."""
-    from tessera.operators.density import density_clusters
-    rows = []
-    try:
-        table, assign = C.kmeans_search(county_vectors(spark, d), (2, 10), N_INIT)
-        best = table.where("best").first()
-        rows.append(("kmeans", "ok", int(best["k"]), 0, float(best["silhouette"]), None))
-    except Exception as e:  # noqa: BLE001 - reported as a status row
-        rows.append(("kmeans", "error", None, None, None, str(e)))
-    try:
-        st = context(spark, d).stations().select(F.col("station_id").alias("pid"), F.col("lng").alias("x"),
-                                                  F.col("lat").alias("y"))
-        lab = density_clusters(st, 5, 3)
-        s = lab.agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
-                    F.count_if(F.col("cluster") == -1).alias("noise")).first()
-        rows.append(("density", "ok", int(s["k"]), int(s["noise"]), None, None))
-    except Exception as e:  # noqa: BLE001
-        rows.append(("density", "error", None, None, None, str(e)))
-    return spark.createDataFrame(rows, "algorithm string, status string, n_clusters int, n_outliers int, "
-                                       "silhouette double, error string")
+    """The whole analysis of both algorithms on the county matrix, one
+    measure a row: sizes, internal and geographic validation, stability of
+    K-Means, cluster profiles, feature importance, outlier features.  An
+    algorithm that fails is one row with its error, not an exception."""
+    from tessera.session import cut_lineage
+    whole = None
+    for name, fit in FITTED.items():
+        try:
+            labels = fit(spark, d)
+            part = analysis_of(spark, d, labels).withColumn("error", F.lit(None).cast("string"))
+            if name == "kmeans":
+                k = labels.select(F.count_distinct("cluster")).first()[0]
+                score = C.stability(county_vectors(spark, d), k, 10, 0.8).select(
+                    F.lit("stability").alias("section"), F.lit(None).cast("int").alias("cluster"),
+                    F.lit(None).cast("string").alias("feature"), F.lit("stability_score").alias("measure"),
+                    F.col("stability_score").alias("value"), F.lit(None).cast("string").alias("error"))
+                part = part.unionByName(score)
+            part = cut_lineage(part.withColumn("algorithm", F.lit(name)))
+        except Exception as e:  # noqa: BLE001 - reported as a row
+            part = spark.createDataFrame([("status", None, None, "failed", None, str(e)[:500], name)],
+                                         "section string, cluster int, feature string, measure string, value double, "
+                                         "error string, algorithm string")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.select("algorithm", "section", "cluster", "feature", "measure", "value", "error")
 
 
 def county_pc_plane(spark, d):
@@ -205,14 +243,23 @@ def county_pc_plane(spark, d):
 
 
 def county_density_labels(spark, d):
-    from tessera.operators.density import density_clusters
-    lab = density_clusters(county_pc_plane(spark, d), 5, 3)
-    return lab.select(F.lpad(F.col("pid").cast("string"), 5, "0").alias("county_fips"), "cluster",
-                      "membership", "outlier_score")
+    """Hierarchical density clustering of the counties on the whole scaled feature matrix."""
+    from tessera.operators.hierarchy import hierarchical_clusters
+
+    def build():
+        wide = C.scaled_columns(CC.county_features(spark, d), "county_fips", CC.CLUSTER_FEATURES)
+        return hierarchical_clusters(wide.withColumnRenamed("county_fips", "pid"), CC.CLUSTER_FEATURES, 5, 3)
+    return context(spark, d)._keep("county_density_labels", build).withColumnRenamed("pid", "county_fips")
+
+
+def county_kmeans_labels(spark, d):
+    """The counties' clusters of the best K-Means over k = 2..10."""
+    return context(spark, d)._keep(
+        "county_kmeans_labels", lambda: C.kmeans_search(county_vectors(spark, d), (2, 10), N_INIT)[1])
 
 
 @register("k02_density_clustering_counties")
 def k02c(spark, d):
-    """Density clustering of counties in the 2-D principal-component plane
-    of the scaled feature matrix (min_cluster_size 5, min_samples 3)."""
+    """Hierarchical density clustering of counties on the whole scaled
+    feature matrix (min_cluster_size 5, min_samples 3)."""
     return county_density_labels(spark, d)

@@ -22,15 +22,15 @@ def _q(s: str) -> str:
 
 
 # ---------------------------------------------------------------- Spark side
-def persona_table(spark, d):
-    ctx = context(spark, d)
+def personas_of(spark, d, labels):
+    """K09 → N12: the personas of a clustering of the counties."""
+    prof = metrics.cluster_profiles(CC.raw_long(spark, d), labels, "county_fips")
+    top = metrics.distinguishing_features(prof, 5)
+    return P.generate_personas(prof, top, labels, views.demographics(spark, d))
 
-    def build():
-        labels = views.assignments(spark, d)
-        prof = metrics.cluster_profiles(CC.raw_long(spark, d), labels, "county_fips")
-        top = metrics.distinguishing_features(prof, 5)
-        return P.generate_personas(prof, top, labels, views.demographics(spark, d))
-    return ctx._keep("personas", build)
+
+def persona_table(spark, d):
+    return context(spark, d)._keep("personas", lambda: personas_of(spark, d, views.assignments(spark, d)))
 
 
 def opportunity_table(spark, d):

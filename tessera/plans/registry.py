@@ -125,5 +125,5 @@ def oracle_sql() -> dict[str, str]:
 def _load_all() -> None:
     # Importing the catalogue modules fills REGISTRY.
     from tessera.plans import (  # noqa: F401
-        catalog_cluster, catalog_features, catalog_geo, catalog_models, catalog_personas, catalog_quality,
+        catalog_cluster, catalog_features, catalog_fitted, catalog_geo, catalog_models, catalog_personas, catalog_quality,
         catalog_named, catalog_rollups, catalog_spatial)
