@@ -26,7 +26,7 @@ def test_personas_are_of_the_fitted_clusters(spark, labels):
         assert sorted(r["members"].split(",")) == members and r["estimated_population"] == len(members)
     found = ent.queries()["o01_opportunities_of_kmeans_clusters"](spark, SF).collect()
     names = {r["persona_name"] for r in got.values()}
-    assert found and all(set(r["target_segments"].split(", ")) <= names for r in found)
+    assert found and all(set(r["target_segments"]) <= names for r in found)
 
 
 def test_whole_analysis(spark, labels):
