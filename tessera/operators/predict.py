@@ -3,14 +3,16 @@
 The training table is one row per county × month, joined with the
 county's mobility profile.  Folds follow sklearn's TimeSeriesSplit over
 rows ordered by date (the reference orders by county, which leaks the
-future; ordering by time is the intent).  The 27-point grids are fitted
-fold by fold from a small driver thread pool.
+future; ordering by time is the intent).  Forests are fitted fold by fold
+from a small driver thread pool; boosting runs all fits of the grid in one
+Spark job (``boosting.py``).
 """
 
 from __future__ import annotations
 
 import itertools
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -18,7 +20,9 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import boosting
 from tessera.operators.spending import add_lag_features, spending_by_period
+from tessera.session import cut_lineage
 
 FEATURES = ["quarter", "spending_lag_1", "spending_lag_3", "spending_ma_3", "total_trips", "member_ratio"]
 # The reference's search grids.
@@ -81,10 +85,19 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
     """Grid search by mean fold MSE, refit on
     all rows, training R² and RMSE, fold R² mean / std, importances."""
     spark = data.sparkSession
-    key = (spark.sparkContext.applicationId, id(data), kind)
-    if key in _MODELS:  # the entry holds the frame, so no other can have its id
+    files = tuple(sorted(data.inputFiles()))
+    # the same plan over the same files, or this very frame (the entry holds it, so no other can have its id)
+    key = (spark.sparkContext.applicationId, kind, *((data.semanticHash(), files) if files else (id(data),)))
+    if key in _MODELS:
         return _MODELS[key][1]
     folded = _design(time_series_folds(data))
+    if kind == "gbt":
+        folded = cut_lineage(folded.drop("features"))
+        if boosting.fits(folded, FEATURES):
+            out = _boosted(folded)
+            _MODELS[key] = (data, out)
+            return out
+        folded = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(folded)
     # One row per area × month, a table bounded by geography and calendar; tree learners pay several Spark jobs per
     # iteration, whose number of tasks is what they cost.  It is fixed, as it decides the forests' seeded samples.
     folded = folded.coalesce(PARTS).persist()
@@ -113,24 +126,53 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
         whole = pool.submit(lambda: _estimator(kind, best).fit(folded))
         cv = list(pool.map(lambda s: r2.evaluate(_estimator(kind, best).fit(s[0]).transform(s[1])), splits))
         model = whole.result()
-    pred = model.transform(folded)
+    out = _result(kind, model, model.transform(folded), cv, best, combos, scores, model.featureImportances.toArray())
+    _MODELS[key] = (data, out)
+    for part in (folded, *[p for pair in splits for p in pair]):
+        part.unpersist()
+    return out
+
+
+def _result(kind: str, model, pred: DataFrame, cv: list[float], best: dict, combos: list[dict], scores: list[float],
+            importance) -> dict:
+    """R05-R07 of a finished search: metrics, grid, ranked importances, predictions of the training rows."""
+    spark = pred.sparkSession
     cv_mean = sum(cv) / len(cv)
     cv_std = (sum((c - cv_mean) ** 2 for c in cv) / len(cv)) ** 0.5
-    metrics = spark.createDataFrame([(
-        kind, float(r2.evaluate(pred)), float(RegressionEvaluator(metricName="rmse").evaluate(pred)),
-        float(cv_mean), float(cv_std), str(best))],
+    own = regression_metrics(pred).first()
+    metrics = spark.createDataFrame(
+        [(kind, own["r2_score"], own["rmse"], float(cv_mean), float(cv_std), str(best))],
         "model string, r2_score double, rmse double, cv_r2_mean double, cv_r2_std double, best_params string")
-    imp = spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, model.featureImportances.toArray())],
-                                "feature string, importance double")
-    imp = imp.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), F.asc("feature"))))
+    ranked = sorted(zip(FEATURES, map(float, importance)), key=lambda r: (-r[1], r[0]))
+    imp = spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)],
+                                "feature string, importance double, rank int")
     grid_rows = [(i, str(c), float(sc), c == best) for i, (c, sc) in enumerate(zip(combos, scores))]
     grid_table = spark.createDataFrame(grid_rows, "grid_point int, params string, mean_fold_mse double, best boolean")
-    out = {"model": model, "metrics": metrics, "importance": imp, "best_params": best, "grid": grid_table,
-           "predictions": pred.select("county_fips", "date", "label", "prediction")}
-    _MODELS[key] = (data, out)
-    for part in (folded, *[p for pair in splits for p in pair]):
-        part.unpersist()
-    return out
+    return {"model": model, "metrics": metrics, "importance": imp, "best_params": best, "grid": grid_table,
+            "predictions": pred.select("county_fips", "date", "label", "prediction")}
+
+
+def _boosted(folded: DataFrame) -> dict:
+    """The boosting grid: one fit per (depth, step, fold) at the most rounds.  The first m trees of a fit are the fit of m
+    rounds, so its errors after each tree score the smaller grid points and the best one's folds as well."""
+    spark, grid = folded.sparkSession, GRIDS["gbt"]
+    combos = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+    table = boosting.train_table(folded, FEATURES)
+    n_folds = int(table.fold.max()) + 1
+    shapes = sorted({(c["maxDepth"], c["stepSize"]) for c in combos}, reverse=True)  # the longest fits first
+    jobs = [(depth, step, max(grid["maxIter"]), f) for depth, step in shapes for f in range(n_folds)]
+    errors = dict(zip([(d, s, f) for d, s, _, f in jobs], boosting.staged_errors(spark, table, jobs)))
+    test = [table.label[table.fold == f] for f in range(n_folds)]
+
+    def fold_errors(c: dict) -> list[float]:
+        return [float(errors[c["maxDepth"], c["stepSize"], f][c["maxIter"] - 1]) for f in range(n_folds)]
+
+    scores = [sum(e / len(y) for e, y in zip(fold_errors(c), test)) / n_folds for c in combos]
+    best = combos[min(range(len(combos)), key=lambda i: (scores[i], i))]
+    cv = [1 - e / float(((y - y.mean()) ** 2).sum()) for e, y in zip(fold_errors(best), test)]
+    base, trees, importance, _ = boosting.boost(table, best["maxDepth"], best["stepSize"], best["maxIter"], None)
+    model = boosting.BoostedModel(FEATURES, base, best["stepSize"], best["maxDepth"], trees, importance)
+    return _result("gbt", model, model.transform(folded), cv, best, combos, scores, importance)
 
 
 def _gbt_staged_scores(grid: dict, combos: list[dict], splits, threads: int) -> list[float]:
@@ -166,6 +208,56 @@ def predict_spending(model, data: DataFrame) -> DataFrame:
     return model.transform(x).select("county_fips", "date", F.col("prediction").alias("predicted_spending"))
 
 
+@dataclass(frozen=True)
+class LinearModel:
+    """A model with given weights: ``prediction`` = intercept + weighted sum of the columns."""
+
+    weights: dict[str, float]
+    intercept: float = 0.0
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        total = F.lit(self.intercept)
+        for c, w in self.weights.items():
+            total = total + F.lit(w) * F.col(c)
+        return df.withColumn("prediction", total)
+
+
+def forecast_spending(model, data: DataFrame, periods: int = 6) -> DataFrame:
+    """R08 over several periods: (county_fips, period, date, predicted_spending) for the ``periods`` months after each
+    county's last one.
+
+    Every month's prediction is the next month's lag: the state is one row per county with its last three amounts, scored
+    and shifted once a period, so a county's history is read once and nothing but the state moves.  The moving average of a
+    month to come is that of the three months before it.  Rows without an amount or a date don't count; a county
+    with fewer than three months has missing lags, which count as zero as in training; no rows, no forecast.
+    """
+    if periods < 1:
+        raise ValueError("periods must be >= 1")
+    known = data.where(F.col("spending_amount").isNotNull() & F.col("date").isNotNull())
+    newest = Window.partitionBy("county_fips").orderBy(F.desc("date"))
+    last = known.withColumn("_age", F.row_number().over(newest)).where("_age <= 3")
+
+    def at(age: int, c: str):
+        return F.max(F.when(F.col("_age") == age, F.col(c))).alias(f"_{c}_{age}" if c == "spending_amount" else c)
+
+    state = cut_lineage(last.groupBy("county_fips").agg(
+        at(1, "date"), at(1, "total_trips"), at(1, "member_ratio"), *[at(a, "spending_amount") for a in (1, 2, 3)]))
+    kind = state.schema["date"].dataType
+    one, two, three = (F.col(f"_spending_amount_{a}") for a in (1, 2, 3))
+    out = None
+    for period in range(1, periods + 1):
+        ahead = state.withColumn("date", F.add_months(F.col("date").cast("date"), 1).cast(kind)).select(
+            "*", F.quarter("date").cast("long").alias("quarter"), one.alias("spending_lag_1"), three.alias("spending_lag_3"),
+            ((one + two + three) / 3).alias("spending_ma_3"), one.alias("spending_amount"))
+        scored = model.transform(_design(ahead)).select("county_fips", F.col("prediction").alias("_next"))
+        state = cut_lineage(ahead.join(scored, "county_fips").select(
+            "county_fips", "date", "total_trips", "member_ratio", F.col("_next").alias("_spending_amount_1"),
+            one.alias("_spending_amount_2"), two.alias("_spending_amount_3")))
+        rows = state.select("county_fips", F.lit(period).alias("period"), "date", one.alias("predicted_spending"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def prediction_drivers(importance: DataFrame) -> DataFrame:
     """Importance summed per driver group by substring match on the
     feature name (a feature may count in several groups)."""

@@ -139,6 +139,48 @@ def r08(spark, d):
     return R.predict_spending(res["model"], _prediction_data(spark, d))
 
 
+@register("r08_forecast_periods_boosted")
+def r08_boosted(spark, d):
+    """Six months after each county's last one by the boosted model, each prediction feeding the next."""
+    data = _prediction_data(spark, d)
+    return R.forecast_spending(R.train_spending_predictor(data, "gbt")["model"], data, 6)
+
+
+# weights of the forecast that SQL can follow
+FORECAST_WEIGHTS = {"spending_lag_1": 0.5, "spending_lag_3": 0.2, "spending_ma_3": 0.25, "total_trips": 0.01}
+
+
+def _forecast_sql(periods: int) -> str:
+    """The recursion written out, one step a period."""
+    w = FORECAST_WEIGHTS
+    steps = [with_("prediction_data").rstrip() + """,
+f0 AS (SELECT county_fips, max(CASE WHEN age = 1 THEN date END) AS date, max(CASE WHEN age = 1 THEN total_trips END) AS trips,
+  max(CASE WHEN age = 1 THEN spending_amount END) AS a1, max(CASE WHEN age = 2 THEN spending_amount END) AS a2,
+  max(CASE WHEN age = 3 THEN spending_amount END) AS a3
+  FROM (SELECT *, row_number() OVER (PARTITION BY county_fips ORDER BY date DESC) AS age FROM prediction_data) AS p
+  WHERE age <= 3 GROUP BY county_fips)"""]
+    for i in range(1, periods + 1):
+        steps.append(f"""f{i} AS (SELECT county_fips, date + INTERVAL 1 MONTH AS date, trips,
+  {w['spending_lag_1']} * coalesce(a1, 0) + {w['spending_lag_3']} * coalesce(a3, 0)
+  + {w['spending_ma_3']} * coalesce((a1 + a2 + a3) / 3, 0) + {w['total_trips']} * trips AS a1, a1 AS a2, a2 AS a3
+  FROM f{i - 1})""")
+    return ",\n".join(steps) + "\n" + "\nUNION ALL ".join(
+        f"SELECT county_fips, CAST({i} AS BIGINT) AS period, date, a1 AS predicted_spending FROM f{i}" for i in range(1, periods + 1))
+
+
+@register("r08_forecast_periods_linear", _forecast_sql(6), (("predicted_spending", 2),))
+def r08_linear(spark, d):
+    """Six months ahead by a linear model with given weights."""
+    return R.forecast_spending(R.LinearModel(FORECAST_WEIGHTS), _prediction_data(spark, d), 6)
+
+
+@register("r09_boosted_prediction_drivers")
+def r09_boosted(spark, d):
+    """Importance of the boosted model by driver group."""
+    res = R.train_spending_predictor(_prediction_data(spark, d), "gbt")
+    return R.prediction_drivers(res["importance"])
+
+
 @register("r09_prediction_drivers")
 def r09(spark, d):
     res = R.train_spending_predictor(_prediction_data(spark, d), "random_forest")
