@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tessera.functions import geo
 from tessera.functions.bands import exact_percentiles
 from tessera.functions.stats import grouped_quantiles
+from tessera.operators.rings import crossing_rings, ring_key
 
 # Fixed values that must equal the reference's results.
 TRIP_REQUIRED = ["trip_id", "start_time", "end_time", "start_station_id",
@@ -175,28 +176,20 @@ def spending_stats(spending: DataFrame) -> DataFrame:
         "mean", med.select("median").scalar().alias("median"), "std", "min", "max")
 
 
-def ring_valid(ring) -> Column:
-    """Closed, ≥ 4 points, non-zero area, no crossing of non-adjacent edges."""
+def ring_closed(ring) -> Column:
+    """B16 without crossings: closed, ≥ 4 points, non-zero area."""
     r = F.col(ring) if isinstance(ring, str) else ring
     n = F.size(r)
     last = F.get(r, n - 1)  # null for an empty ring
     closed = (F.get(r, F.lit(0))["lng"] == last["lng"]) & (F.get(r, F.lit(0))["lat"] == last["lat"])
-    nonzero = geo.ring_area_mercator_km2(r) > 0
-    edges = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
+    return F.coalesce((n >= 4) & closed & (geo.ring_area_mercator_km2(r) > 0), F.lit(False))
 
-    def orient(a, b, c):
-        return F.signum((b["lng"] - a["lng"]) * (c["lat"] - a["lat"])
-                        - (b["lat"] - a["lat"]) * (c["lng"] - a["lng"]))
 
-    def crosses(i, j):
-        a, b = F.try_element_at(r, i), F.try_element_at(r, i + 1)
-        c, d = F.try_element_at(r, j), F.try_element_at(r, j + 1)
-        return ((orient(a, b, c) * orient(a, b, d) < 0) & (orient(c, d, a) * orient(c, d, b) < 0))
-
-    adjacent = lambda i, j: (j == i + 1) | ((i == 1) & (j == n - 1))
-    self_cross = F.exists(edges, lambda i: F.exists(
-        edges, lambda j: (j > i) & ~adjacent(i, j) & F.coalesce(crosses(i, j), F.lit(False))))
-    return F.coalesce((n >= 4) & closed & nonzero & ~self_cross, F.lit(False))
+def valid_rings(df: DataFrame, ring: str = "ring") -> DataFrame:
+    """``df`` with ``ring_valid``: closed, ≥ 4 points, non-zero area, no two edges that cross."""
+    crossed = crossing_rings(df, ring).select(F.col("key").alias("_key"), F.lit(True).alias("_crossed"))
+    return (df.withColumn("_key", ring_key(ring)).join(crossed, "_key", "left")
+            .withColumn("ring_valid", ring_closed(ring) & F.col("_crossed").isNull()).drop("_key", "_crossed"))
 
 
 def boundary_rules(boundaries: DataFrame, dataset: str = "boundaries") -> DataFrame:
@@ -206,14 +199,14 @@ def boundary_rules(boundaries: DataFrame, dataset: str = "boundaries") -> DataFr
     empty = F.coalesce(F.size("ring") <= 0, F.lit(True))
     srid = F.col("srid") if "srid" in boundaries.columns else F.lit(None).cast("int")
     rules = [
-        ("invalid_geometry", "issue", F.count_if(~empty & ~ring_valid("ring")), None),
+        ("invalid_geometry", "issue", F.count_if(~empty & ~F.col("ring_valid")), None),
         ("empty_geometry", "warning", F.count_if(empty), None),
         ("missing_crs", "warning", F.count_if(srid.isNull()), None),
         ("non_wgs84_crs", "warning", F.count_if(srid.isNotNull() & (srid != 4326)), None),
         ("invalid_fips", "warning", F.count_if(fips_invalid()), None),
     ]
     return _schema_rows(boundaries, dataset, BOUNDARY_REQUIRED).unionByName(
-        _rules(boundaries, dataset, rules))
+        _rules(valid_rings(boundaries), dataset, rules))
 
 
 def quality_report(rule_rows: DataFrame, counts: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo
 from tessera.functions.stats import quantile_sketch, quantiles_from_sketch
 from tessera.operators.neighbors import knn_join
+from tessera.operators.rings import points_in_rings
 from tessera.session import broadcast_if_bounded, cut_lineage
 
 
@@ -87,36 +88,12 @@ def station_trip_counts(trips: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- point in polygon
-def _cell_size(prepared: DataFrame) -> float:
-    """Grid cell ≈ median polygon width (one small aggregate)."""
-    row = prepared.agg(F.median(F.col("max_lng") - F.col("min_lng")).alias("w")).first()
-    w = row["w"] if row and row["w"] else 1.0
-    return float(w) if w > 0 else 1.0
-
-
-def points_in_polygons(points: DataFrame, prepared: DataFrame, cell: float | None = None) -> DataFrame:
+def points_in_polygons(points: DataFrame, prepared: DataFrame) -> DataFrame:
     """(station_id, county_fips) for strict containment.
 
-    Polygons explode to the grid cells their bbox covers; each point gets
-    its own cell; the equi-join on the cell brings only nearby candidates
-    to the bbox filter and the ray-casting parity test.  Boundary points
-    match nothing, overlapping polygons give several rows.
+    Boundary points match nothing, overlapping polygons give several rows.
     """
-    cell = cell or _cell_size(prepared)
-    cells = prepared.select(
-        "county_fips", "ring", "min_lng", "max_lng", "min_lat", "max_lat",
-        F.explode(F.sequence(F.floor(F.col("min_lng") / cell), F.floor(F.col("max_lng") / cell))).alias("cx"),
-        F.sequence(F.floor(F.col("min_lat") / cell), F.floor(F.col("max_lat") / cell)).alias("cys"),
-    ).select("*", F.explode("cys").alias("cy")).drop("cys")
-    cells = broadcast_if_bounded(cells.persist(), 500_000)
-    pts = points.select("station_id", "lat", "lng",
-                        F.floor(F.col("lng") / cell).alias("pcx"),
-                        F.floor(F.col("lat") / cell).alias("pcy"))
-    cand = pts.join(cells, (pts.pcx == cells.cx) & (pts.pcy == cells.cy))
-    cand = cand.where((F.col("lng") > F.col("min_lng")) & (F.col("lng") < F.col("max_lng"))
-                      & (F.col("lat") > F.col("min_lat")) & (F.col("lat") < F.col("max_lat")))
-    return (cand.where(geo.point_in_ring_strict(F.col("ring"), F.col("lng"), F.col("lat")))
-            .select("station_id", "county_fips"))
+    return points_in_rings(points, prepared)
 
 
 def nearest_centroid(points: DataFrame, prepared: DataFrame) -> DataFrame:

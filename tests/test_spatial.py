@@ -81,11 +81,11 @@ def test_l_shaped_ring(spark):
     for x, y, expect in pts:
         got = df.select(geo.point_in_ring_strict(F.col("ring"), F.lit(x), F.lit(y))).first()[0]
         assert got is expect, (x, y)
-    assert df.select(quality.ring_valid("ring")).first()[0] is True
+    assert quality.valid_rings(df).first()["ring_valid"] is True
     bow = [(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)]
     bad = spark.createDataFrame([([{"lng": float(a), "lat": float(b)} for a, b in bow],)],
                                 "ring array<struct<lng:double,lat:double>>")
-    assert bad.select(quality.ring_valid("ring")).first()[0] is False
+    assert quality.valid_rings(bad).first()["ring_valid"] is False
 
 
 def test_area_and_centroid(boundaries):
