@@ -198,3 +198,27 @@ def staged_errors(spark, table: Table, jobs: list[tuple[int, float, int, int]])
     rows = spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "job long, error array<double>").collect()
     shared.unpersist()
     return [np.array(e) for _, e in sorted((r["job"], r["error"]) for r in rows)]
+
+
+def fitted(spark, table: Table, features: list[str], depth: int, step: float, rounds: int) -> BoostedModel:
+    """The model of all rows, fitted in a task; only its trees come back."""
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                base, trees, importance, _ = boost(shared.value, depth, step, rounds, None)
+                yield pa.RecordBatch.from_pylist([
+                    {"tree": i, "feature": t.feature.tolist(), "bin": t.bin.tolist(), "threshold": t.threshold.tolist(),
+                     "left": t.left.tolist(), "value": t.value.tolist(), "base": base, "importance": importance.tolist()}
+                    for i, t in enumerate(trees)], schema=pa.schema([
+                        ("tree", pa.int32()), ("feature", pa.list_(pa.int32())), ("bin", pa.list_(pa.int32())),
+                        ("threshold", pa.list_(pa.float64())), ("left", pa.list_(pa.int32())), ("value", pa.list_(pa.float64())),
+                        ("base", pa.float64()), ("importance", pa.list_(pa.float64()))]))
+
+    rows = sorted(spark.range(0, 1, 1, 1).mapInArrow(
+        run, "tree int, feature array<int>, bin array<int>, threshold array<double>, left array<int>, value array<double>, "
+             "base double, importance array<double>").collect(), key=lambda r: r["tree"])
+    shared.unpersist()
+    trees = [Tree(*(np.array(r[c]) for c in ("feature", "bin", "threshold", "left", "value"))) for r in rows]
+    return BoostedModel(features, rows[0]["base"], step, depth, trees, np.array(rows[0]["importance"]))

@@ -170,9 +170,8 @@ def _boosted(folded: DataFrame) -> dict:
     scores = [sum(e / len(y) for e, y in zip(fold_errors(c), test)) / n_folds for c in combos]
     best = combos[min(range(len(combos)), key=lambda i: (scores[i], i))]
     cv = [1 - e / float(((y - y.mean()) ** 2).sum()) for e, y in zip(fold_errors(best), test)]
-    base, trees, importance, _ = boosting.boost(table, best["maxDepth"], best["stepSize"], best["maxIter"], None)
-    model = boosting.BoostedModel(FEATURES, base, best["stepSize"], best["maxDepth"], trees, importance)
-    return _result("gbt", model, model.transform(folded), cv, best, combos, scores, importance)
+    model = boosting.fitted(spark, table, FEATURES, best["maxDepth"], best["stepSize"], best["maxIter"])
+    return _result("gbt", model, model.transform(folded), cv, best, combos, scores, model.importance)
 
 
 def _gbt_staged_scores(grid: dict, combos: list[dict], splits, threads: int) -> list[float]:

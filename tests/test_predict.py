@@ -88,3 +88,13 @@ def test_forecast_feeds_predictions_back(spark):
             past.append(value)
     assert len(got) == 12
     assert predict.forecast_spending(model, data.limit(0), 2).count() == 0
+
+
+def test_model_of_all_rows_equals_its_trees(spark):
+    df = frame(spark)
+    table = boosting.train_table(df, ["a", "b", "c"])
+    model = boosting.fitted(spark, table, ["a", "b", "c"], 3, 0.2, 6)
+    base, trees, importance, _ = boosting.boost(table, 3, 0.2, 6, None)
+    want = base + sum(0.2 * t.predict(table.bins, t.bin, 3) for t in trees)
+    got = [r["prediction"] for r in model.transform(df).orderBy("row_index").collect()]
+    assert got == pytest.approx(want.tolist()) and model.importance.tolist() == pytest.approx(importance.tolist())
