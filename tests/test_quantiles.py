@@ -61,3 +61,19 @@ def test_trips_are_joined_once(spark, tmp_path):
     assert "orders.parquet" not in plan and "o_orderkey" not in plan
     same = ["trip_id", "start_time", "end_time", "start_station_id", "end_station_id", "start_lat", "end_lng", "member_type"]
     assert sorted(trips.select(*same).collect()) == sorted(ctx.trips().select(*same).collect())
+
+
+def test_few_bytes_with_much_work_are_many_tasks(spark, monkeypatch):
+    from tessera.operators import density, neighbors
+    from tessera.session import cut_lineage, spread
+    points = cut_lineage(spark.range(900).select(F.col("id").alias("pid"), (F.col("id") % 30).cast("double").alias("x"),
+                                                 F.floor(F.col("id") / 30).cast("double").alias("y")).coalesce(1))
+    assert spread(points, "x", rows=100).rdd.getNumPartitions() == 9
+    sizes = []
+    for m in (density, neighbors):
+        monkeypatch.setattr(m, "spread", lambda df, *c, rows: (sizes.append(rows), spread(df, *c, rows=100))[1])
+    links = density.connected_components(points, density.range_links(points, 1.0))
+    assert {r["component"] for r in links.collect()} == {0}
+    assert density.connected_components(points, density.range_links(points, 0.99)).where("pid != component").count() == 0
+    near = neighbors.knn_join(points, points.withColumnRenamed("pid", "tid"), 1, exclude_self=True)
+    assert near.where("dist = 1.0").count() == 900 and len(sizes) == 3
