@@ -77,3 +77,22 @@ def test_few_bytes_with_much_work_are_many_tasks(spark, monkeypatch):
     assert density.connected_components(points, density.range_links(points, 0.99)).where("pid != component").count() == 0
     near = neighbors.knn_join(points, points.withColumnRenamed("pid", "tid"), 1, exclude_self=True)
     assert near.where("dist = 1.0").count() == 900 and len(sizes) == 3
+
+
+def test_customers_meet_orders_before_line_items(spark, tmp_path):
+    import datetime
+    from tessera.sources import views
+    d = str(tmp_path)
+    day = datetime.datetime(2023, 4, 1)
+    spark.createDataFrame([(1, 7, 100.0, 0.1), (1, 8, 50.0, 0.0), (2, 7, 10.0, 0.5), (3, 7, 1.0, 0.0), (None, 7, 5.0, 0.0)],
+                          "l_orderkey long, l_partkey long, l_extendedprice double, l_discount double").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(1, 4, day), (2, 5, day), (2, 5, day), (3, None, day)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"
+                          ).write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(4, 0), (5, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(7, "PROMO TIN"), (8, "SMALL TIN")], "p_partkey long, p_type string").write.parquet(f"{d}/part.parquet")
+    out = views.spending(spark, d)
+    got = {(r["county_fips"], r["category"]): r["spending_amount"] for r in out.collect()}
+    assert got == {("00000", "retail"): 90.0, ("00000", "transportation"): 50.0, ("00001", "retail"): 10.0}
+    depth = {k: line.index("Join") for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line
+             for k in ("o_custkey", "l_orderkey") if f"({k}#" in line}
+    assert depth["o_custkey"] > depth["l_orderkey"]
