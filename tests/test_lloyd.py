@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tessera.operators import lloyd
@@ -63,3 +64,21 @@ def test_few_points(spark):
     (m,) = lloyd.fitted(points, [(4, 1)])
     assert len(m.centres) == 2 and m.cost == 0
     assert lloyd.fitted(points.limit(0), [(2, 1)])[0].cost == float("inf")
+
+
+def test_points_are_dealt_over_tasks(spark):
+    """Few bytes, much work: a table in one part becomes several parts, without losing or repeating a point."""
+    vecs = spark.range(0, 3 * lloyd.TASK_ROWS, 1, 1).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    points = lloyd.as_points(vecs.select("id", array_to_vector("x").alias("features")))
+    assert len(points.inputFiles()) == 3
+    assert points.select(F.count("*"), F.sum(F.col("x")[0]), F.count_distinct("h")).first()[:] == (
+        3 * lloyd.TASK_ROWS, sum(range(3 * lloyd.TASK_ROWS)), 3 * lloyd.TASK_ROWS)
+
+
+def test_nearest_is_the_first_of_equal_centres():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (2 * lloyd.BLOCK + 7, 3)).astype(float)  # many ties
+    centres = rng.integers(-2, 3, (6, 3)).astype(float)
+    d = ((x[:, None] - centres) ** 2).sum(2)
+    own, least = lloyd._nearest(np.ascontiguousarray(x.T), centres)
+    assert (own == d.argmin(1)).all() and (least == d.min(1)).all()
