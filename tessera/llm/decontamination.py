@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, texts_of
+from tessera.llm.common import bounded_batches, dropped, texts_of, written
 
 BLOCK = 256  # items per pass over the corpus
 RANK = 256  # latent dimensions at most
 PASSAGE = 64  # words of a passage in the fit
 ENTRIES = 1 << 14  # words of passages at a time
+DENSE = 64  # passages of a full matrix over the words they hold
 COSINE = 0.3  # of a paraphrase at least
 COPY = 0.8  # share of an item's words in common order: a copy
 PARAPHRASE = 0.6  # a paraphrase, if the answer is there too
@@ -187,21 +188,37 @@ def _vocabulary(rows: list) -> Latent:
     return Latent(vocabulary, items)
 
 
-def _weighted(docs: DataFrame, block: Latent) -> Latent:
-    """Inverse document frequencies of the block's words over all documents."""
-    vocabulary, size = block.vocabulary, len(block.vocabulary)
+def _numbered(docs: DataFrame, block: Latent) -> DataFrame:
+    """The word ids of every text, as the bytes of 32-bit integers."""
+    vocabulary = block.vocabulary
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [word_ids(vocabulary, t).tobytes() for t in texts_of(batch, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
+
+    return docs.select("text").mapInArrow(number, "ids binary")
+
+
+def _ids_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(t, np.int32) for t in batch.column(0).to_pylist()]
+
+
+def _weighted(numbered: DataFrame, block: Latent) -> Latent:
+    """Inverse document frequencies of the block's words over all documents, given as word ids."""
+    size = len(block.vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(size + 1, np.int64), 0
         for batch in batches:
-            for t in texts_of(batch, 0):
-                total += np.bincount(word_ids(vocabulary, t), minlength=size + 1) > 0
+            for ids in _ids_of(batch):
+                total += np.bincount(ids, minlength=size + 1) > 0
                 n += 1
         total[size] = n  # in the place of other words: the documents
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
 
-    sums = docs.select("text").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    sums = numbered.mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(size + 1)
     for r in sums:
         frequency[r["word"]] = r["n"]
@@ -237,34 +254,41 @@ def _passages(texts: list[np.ndarray], weights: np.ndarray) -> Iterator[tuple[np
         yield words[low:high], values[low:high].astype(np.float32), head[s:s + step] - low
 
 
-def _products(words: np.ndarray, values: np.ndarray, head: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """A row for each passage: its product with ``r``."""
-    return np.add.reduceat(values[:, None] * r[words], head, axis=0)
+def _dense(words: np.ndarray, values: np.ndarray, head: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The passages as full matrices of ``DENSE`` rows, with the words of their columns."""
+    edge = np.append(head, len(words))
+    for s in range(0, len(head), DENSE):
+        own = edge[s:s + DENSE + 1]
+        columns, at = np.unique(words[own[0]:own[-1]], return_inverse=True)
+        out = np.zeros((len(own) - 1, len(columns)), np.float32)
+        out[np.repeat(np.arange(len(own) - 1), np.diff(own)), at] = values[own[0]:own[-1]]
+        yield columns, out
 
 
 def _spread(total: np.ndarray, words: np.ndarray, values: np.ndarray, head: np.ndarray, r: np.ndarray) -> None:
     """Add A'(A r) of the passages A to ``total``."""
-    row = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(words))))
-    order = np.argsort(words, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(words[order]) != 0))
-    total[words[order][first]] += np.add.reduceat(
-        values[order, None] * _products(words, values, head, r)[row[order]], first, axis=0)
+    for columns, a in _dense(words, values, head):
+        total[columns] += a.T @ (a @ r[columns])
 
 
 def _rotated(total: np.ndarray, words: np.ndarray, values: np.ndarray, head: np.ndarray, q: np.ndarray) -> None:
     """Add (A q)'(A q) of the passages A to ``total``."""
-    p = _products(words, values, head, q)
-    total += p.T @ p
+    for columns, a in _dense(words, values, head):
+        p = a @ q[columns]
+        total += p.T @ p
+
 
+def _summed(docs: DataFrame, block: Latent, step, r: np.ndarray, height: int, numbered: DataFrame | None = None) -> tuple[np.ndarray, int]:
+    """Sum of ``step`` over all passages of all documents, and their number: partial sums of a task, added up by strips.
 
-def _summed(docs: DataFrame, block: Latent, step, r: np.ndarray, height: int) -> tuple[np.ndarray, int]:
-    """Sum of ``step`` over all passages of all documents, and their number: partial sums of a task, added up by strips."""
-    vocabulary, weights, wide, strip = block.vocabulary, block.weights, r.shape[1], 64
+    ``numbered`` are the documents' word ids, where they are at hand."""
+    weights, wide, strip = block.weights, r.shape[1], 64
+    rows = _numbered(docs, block) if numbered is None else numbered
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((height, wide)), 0
         for batch in batches:
-            for words, values, head in _passages([word_ids(vocabulary, t) for t in texts_of(batch, 0)], weights):
+            for words, values, head in _passages(_ids_of(batch), weights):
                 step(total, words, values, head, r)
                 n += len(head)
         if n:
@@ -286,26 +310,30 @@ def _summed(docs: DataFrame, block: Latent, step, r: np.ndarray, height: int) ->
 
     kind = "strip int, total binary, n long"
     out, n = np.zeros((height, wide)), 0
-    for row in docs.select("text").mapInArrow(part, kind).repartition("strip").mapInArrow(added, kind).collect():  # a row a strip
+    for row in rows.mapInArrow(part, kind).repartition("strip").mapInArrow(added, kind).collect():  # a row a strip
         out[row["strip"]:row["strip"] + strip] += np.frombuffer(row["total"]).reshape(-1, wide)
         n += row["n"]
     return out, n
 
 
 def _fitted(docs: DataFrame, block: Latent, seed: int = 5) -> Latent:
-    """Randomised SVD of the TF-IDF passages of all documents and of the items (weighted to as much as the documents)."""
+    """Weights, and the randomised SVD of the TF-IDF passages of all documents and of the items (weighted to as much as the
+    documents).  The documents' words are looked up once, and their ids written out for the three passes."""
+    numbered = written(_numbered(docs, block), "latent-ids")
+    _weighted(numbered, block)
     size, rng = len(block.vocabulary), np.random.default_rng(seed)
     rank = min(RANK, size)
     wide = min(size, rank + 8)
     own = list(_passages([i.words for i in block.items], block.weights))
     first = rng.normal(size=(size, wide)).astype(np.float32)
-    y, n = _summed(docs, block, _spread, first, size)
+    y, n = _summed(docs, block, _spread, first, size, numbered)
     more = max(1.0, n / max(1, sum(len(head) for _, _, head in own)))
     items = np.zeros((size, wide))
     for words, values, head in own:
         _spread(items, words, values, head, first)
     q = np.linalg.qr(y + more * items)[0].astype(np.float32)
-    c, _ = _summed(docs, block, _rotated, q, wide)
+    c, _ = _summed(docs, block, _rotated, q, wide, numbered)
+    dropped(numbered)
     items = np.zeros((wide, wide))
     for words, values, head in own:
         _rotated(items, words, values, head, q)
@@ -324,7 +352,7 @@ def blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator[Latent]:
         rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
         block = _vocabulary(rows)
         if block.items:
-            yield _fitted(docs, _weighted(docs, block))
+            yield _fitted(docs, block)
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

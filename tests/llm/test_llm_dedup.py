@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import os
 import random
 import re
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from fixtures import frame, prose
 
-from tessera.llm import decontamination, simhash, suffix_dedup
+from tessera.llm import common, decontamination, simhash, suffix_dedup
 
 
 def _brute_kept(rows, length):
@@ -210,3 +211,14 @@ def test_common_subsequence():
     for _ in range(200):
         a, b = rng.integers(0, 6, rng.integers(0, 90)), rng.integers(0, 6, rng.integers(0, 90))
         assert decontamination.common_subsequence(a, b) == brute(a.tolist(), b.tolist())
+
+
+def test_words_are_looked_up_once_for_a_fit(spark, monkeypatch):
+    """The three passes of a fit read written word ids, which are gone afterwards; weights are those of the texts."""
+    kept = []
+    monkeypatch.setattr(decontamination, "written", lambda df, name: kept.append(common.written(df, name)) or kept[-1])
+    docs = frame(spark, [(1, "alpha beta, beta other", "en"), (2, "ALPHA", "en"), (3, None, "en"), (4, "", "en")])
+    (block,) = decontamination.blocks(docs, spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
+    n = {w: block.weights[k] for w, k in block.vocabulary.items()}
+    assert n == pytest.approx({b"alpha": np.log(5 / 3) + 0.05, b"beta": np.log(5 / 2) + 0.05, b"gamma": np.log(5) + 0.05})
+    assert len(kept) == 1 and not any(os.path.exists(f.removeprefix("file://")) for f in kept[0].inputFiles())
