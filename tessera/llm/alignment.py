@@ -19,6 +19,8 @@ import os
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
+def _sums(values: np.ndarray, lists: list[list[int]]) -> np.ndarray:
+    """The values' sums by the lists they stand for."""
+    total = np.append(0, np.cumsum(values))
+    return np.diff(total[np.cumsum([0, *map(len, lists)])])
+
+
 class TwoTokenizers:
     """A byte-level BPE file (A) and a sentence piece model (B), loaded where they are first used."""
 
@@ -97,6 +109,12 @@ class TwoTokenizers:
         a = [e.ids for e in at.a.encode_batch_fast(full, add_special_tokens=False)]
         b = [ids[1:] if f else ids for ids, f in zip(at.b.encode(texts, num_threads=1), follows)]
         raw = [f.encode() for f in full]
+        joined = b"".join(raw)
+        # a text is given back if it is wherever the texts before it are: compared one by one only if not all are
+        if all(b"".join(map(table.__getitem__, chain.from_iterable(x))) == joined for table, x in ((at.a_bytes, a), (at.b_bytes, b))):
+            size = np.array(list(map(len, raw)))
+            if all((_sums(table[_flat(x)], x) == size).all() for table, x in ((at.a_len, a), (at.b_len, b))):
+                return a, b, [True] * len(raw)
         same = [b"".join(map(at.a_bytes.__getitem__, x)) == r == b"".join(map(at.b_bytes.__getitem__, y))
                 for x, y, r in zip(a, b, raw)]
         return a, b, same
@@ -110,8 +128,8 @@ class TwoTokenizers:
         out: list[tuple | None] = [None] * len(texts)
         if not good:
             return out
-        sides = [[x[k] for k in good] for x in (a, b)]
-        ids = [np.concatenate([np.asarray(x, np.int64) for x in side]) for side in sides]
+        sides = [a, b] if len(good) == len(texts) else [[x[k] for k in good] for x in (a, b)]
+        ids = [_flat(side) for side in sides]
         ends = [np.cumsum(table[i]) for table, i in zip((at.a_len, at.b_len), ids)]
         starts = [e - table[i] for e, table, i in zip(ends, (at.a_len, at.b_len), ids)]
         side = np.repeat([0, 1], [len(i) for i in ids])
@@ -126,7 +144,7 @@ class TwoTokenizers:
         n_a, n_b = np.bincount(group[side == 0], minlength=n), np.bincount(group[side == 1], minlength=n)
         first = np.append(0, np.cumsum(n_a + n_b))  # of each group, in the order of tokens
         # pieces begin where a group does: their tokens follow one another
-        tokens = np.cumsum([0, *[len(x) + len(y) for x, y in zip(*sides)]])
+        tokens = np.cumsum([0, *map(add, map(len, sides[0]), map(len, sides[1]))])
         edge = np.searchsorted(first, tokens)
         # links of ordinary groups, pair by pair
         links = n_a * n_b
@@ -137,9 +155,10 @@ class TwoTokenizers:
         nth = np.arange(len(pair_a)) - np.repeat(np.cumsum(times) - times, times)
         g = group[pair_a]
         pairs = ids[pair_a] * len(at.b_bytes) + ids[first[g] + n_a[g] + nth]
-        ends_of = np.append(0, np.cumsum(np.where(plain, links, 0)))[edge]
+        ends_of = (8 * np.append(0, np.cumsum(np.where(plain, links, 0)))[edge]).tolist()
         after = np.where(group[1:] != group[:-1], ";", np.where(side[1:] != side[:-1], "|", ","))
-        written_out = [t + s for t, s in zip(map(str, ids.tolist()), [*after.tolist(), ";"])]
+        after[tokens[1:-1] - 1] = "\n"  # between pieces
+        written_out = "".join(map(add, map(str, ids.tolist()), [*after.tolist(), ""])).split("\n")
         counts = np.add.reduceat(np.stack([n_a, n_b, np.ones(n, np.int64), links], 1), edge[:-1], axis=0)
         crowded = np.flatnonzero(~plain)
         owner = np.searchsorted(edge, crowded, side="right") - 1
@@ -148,9 +167,9 @@ class TwoTokenizers:
             mid = first[c] + n_a[c]
             (x, nx), (y, ny) = (np.unique(i, return_counts=True) for i in (ids[first[c]:mid], ids[mid:first[c + 1]]))
             heavy.setdefault(o, []).append(((x[:, None] * len(at.b_bytes) + y).ravel(), (nx[:, None] * ny).ravel()))
-        for j, k in enumerate(good):
-            out[k] = (counts[j].tobytes(), "".join(written_out[tokens[j]:tokens[j + 1]])[:-1],
-                      pairs[ends_of[j]:ends_of[j + 1]].tobytes(), heavy.get(j))
+        counts, pairs = counts.tobytes(), pairs.tobytes()
+        for j, (k, groups, low, high) in enumerate(zip(good, written_out, ends_of, ends_of[1:])):
+            out[k] = counts[32 * j:32 * j + 32], groups, pairs[low:high], heavy.get(j)
         return out
 
     def documents(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray]]:

@@ -111,3 +111,21 @@ def test_link_counts(spark, brute, hot):
 def test_empty_table(spark):
     two = alignment.TwoTokenizers(A, B)
     assert alignment.with_link_counts(alignment.aligned(frame(spark, []), two), two.width).count() == 0
+
+
+def test_texts_that_only_together_give_back_theirs(monkeypatch):
+    """All bytes in a row may be right while a text's own are not: each text is judged by itself, good ones stay."""
+    two = alignment.TwoTokenizers(A, B)
+    assert two.encoded(["one", "two", "\nx"], True)[2] == [True] * 3
+    ids = two.encoded(["one two", "three"], False)
+    moved = [ids[0][0] + ids[0][1][:1], ids[0][1][1:]]
+
+    class Moved:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return [type("E", (), {"ids": x}) for x in moved]
+
+    at = two.loaded
+    monkeypatch.setattr(at, "a", Moved())
+    assert two.encoded(["one two", "three"], False)[2] == [False, False]
+    moved[:] = [ids[0][0], ids[0][1] + ids[0][1]]
+    assert two.encoded(["one two", "three"], False)[2] == [True, False]
