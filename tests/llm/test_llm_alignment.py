@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import random
 
@@ -42,7 +43,8 @@ class Brute:
             at = 0
             ends.append([at := at + len(t) for t in tokens])
         cuts = sorted({*ends[0]} & {*ends[1]})
-        return [tuple([i for i, e in zip(ids[s], ends[s]) if lo < e <= hi] for s in (0, 1)) for lo, hi in zip([0, *cuts], cuts)]
+        at = [[bisect.bisect_right(e, c) for c in [0, *cuts]] for e in ends]  # tokens up to each cut
+        return [tuple(ids[s][at[s][k]:at[s][k + 1]] for s in (0, 1)) for k in range(len(cuts))]
 
     def links(self, groups):
         out = collections.Counter()
