@@ -77,7 +77,9 @@ def _design(df: DataFrame) -> DataFrame:
 
 def _estimator(kind: str, params: dict, seed: int = 42):
     if kind == "random_forest":
-        return RandomForestRegressor(seed=seed, maxMemoryInMB=1024, **params)
+        # each row keeps the node it has reached (the same trees): otherwise every pass of a deep forest sends all its trees to
+        # the tasks, and the driver serializes them one job after the other
+        return RandomForestRegressor(seed=seed, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=-1, **params)
     return GBTRegressor(seed=seed, maxMemoryInMB=1024, **params)
 
 
@@ -112,20 +114,32 @@ def train_spending_predictor(data: DataFrame, kind: str = "random_forest", threa
         splits.append((folded.where(F.col("row_index") < start).persist(),
                        folded.where(F.col("test_fold") == f).persist()))
 
-    def score(params):
-        errs = [mse.evaluate(_estimator(kind, params).fit(tr).transform(te)) for tr, te in splits]
-        return sum(errs) / len(errs)
-
     if kind == "gbt":
         scores = _gbt_staged_scores(grid, combos, splits, threads)
+        best = combos[min(range(len(combos)), key=lambda i: (scores[i], i))]
+        with ThreadPoolExecutor(max_workers=1 + len(splits)) as pool:  # the refit and the folds' refits side by side
+            whole = pool.submit(lambda: _estimator(kind, best).fit(folded))
+            cv = list(pool.map(lambda s: r2.evaluate(_estimator(kind, best).fit(s[0]).transform(s[1])), splits))
+            model = whole.result()
     else:
+        def fold_scores(job):
+            i, f = job
+            train, test = splits[f]
+            pred = _estimator(kind, combos[i]).fit(train).transform(test).select("label", "prediction").persist()
+            try:
+                return job, (mse.evaluate(pred), r2.evaluate(pred))
+            finally:
+                pred.unpersist()
+
+        # every fit is a job of its own, the deepest and largest first; a fold's fit gives both its scores
+        jobs = sorted(itertools.product(range(len(combos)), range(n_folds)), key=lambda j: (
+            -combos[j[0]]["maxDepth"], -combos[j[0]]["numTrees"], -j[1], j[0]))
         with ThreadPoolExecutor(max_workers=threads) as pool:
-            scores = list(pool.map(score, combos))
-    best = combos[min(range(len(combos)), key=lambda i: (scores[i], i))]
-    with ThreadPoolExecutor(max_workers=1 + len(splits)) as pool:  # the refit and the folds' refits side by side
-        whole = pool.submit(lambda: _estimator(kind, best).fit(folded))
-        cv = list(pool.map(lambda s: r2.evaluate(_estimator(kind, best).fit(s[0]).transform(s[1])), splits))
-        model = whole.result()
+            found = dict(pool.map(fold_scores, jobs))
+        scores = [sum(found[i, f][0] for f in range(n_folds)) / n_folds for i in range(len(combos))]
+        at = min(range(len(combos)), key=lambda i: (scores[i], i))
+        best, cv = combos[at], [found[at, f][1] for f in range(n_folds)]
+        model = _estimator(kind, best).fit(folded)
     out = _result(kind, model, model.transform(folded), cv, best, combos, scores, model.featureImportances.toArray())
     _MODELS[key] = (data, out)
     for part in (folded, *[p for pair in splits for p in pair]):

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import boosting, predict
+from tessera.session import cut_lineage
 
 
 def plain_tree(bins, residual, rows, depth):
@@ -98,3 +99,42 @@ def test_model_of_all_rows_equals_its_trees(spark):
     want = base + sum(0.2 * t.predict(table.bins, t.bin, 3) for t in trees)
     got = [r["prediction"] for r in model.transform(df).orderBy("row_index").collect()]
     assert got == pytest.approx(want.tolist()) and model.importance.tolist() == pytest.approx(importance.tolist())
+
+
+def test_forest_search_fits_each_fold_once_and_equals_plain_fits(spark, monkeypatch):
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rng = np.random.default_rng(5)
+    rows = [(f"{c:05d}", dt.datetime(2020 + m // 12, m % 12 + 1, 1), float(rng.gamma(2, 100 * (c + 1))), m // 3 % 4 + 1,
+             *map(float, rng.gamma(2, 100, 3)), 100 * c, float(rng.random())) for c in range(8) for m in range(24)]
+    data = spark.createDataFrame(rows, "county_fips string, date timestamp_ntz, spending_amount double, quarter long, spending_lag_1 double, "
+                                       "spending_lag_3 double, spending_ma_3 double, total_trips long, member_ratio double")
+    grid = {"numTrees": [5, 10], "maxDepth": [3, 8], "minInstancesPerNode": [2]}
+    monkeypatch.setitem(predict.GRIDS, "random_forest", grid)
+    # written in one file: the forests' samples follow the rows' order
+    rows = cut_lineage(predict.time_series_folds(data).coalesce(1))
+    monkeypatch.setattr(predict, "time_series_folds", lambda df, n_splits=3: rows)
+    made, plain = [], predict._estimator
+    monkeypatch.setattr(predict, "_estimator", lambda kind, params, seed=42: made.append(plain(kind, params, seed)) or made[-1])
+    got = predict.train_spending_predictor(data, "random_forest")
+    assert len(made) == 4 * 3 + 1  # a fit for each point and fold, and the best point's on all rows
+    assert all(e.getCacheNodeIds() for e in made)  # no pass sends the trees
+
+    folded = predict._design(rows).coalesce(1).persist()
+    points = [{"numTrees": n, "maxDepth": d, "minInstancesPerNode": 2} for n in grid["numTrees"] for d in grid["maxDepth"]]
+    found = []
+    for params in points:
+        scores = []
+        for f in range(3):
+            start = folded.where(F.col("test_fold") == f).agg(F.min("row_index")).first()[0]
+            model = RandomForestRegressor(seed=42, maxMemoryInMB=1024, **params).fit(folded.where(F.col("row_index") < start))
+            pred = model.transform(folded.where(F.col("test_fold") == f))
+            scores.append([RegressionEvaluator(metricName=m).evaluate(pred) for m in ("mse", "r2")])
+        found.append(np.array(scores))
+    assert [r["mean_fold_mse"] for r in got["grid"].orderBy("grid_point").collect()] == pytest.approx([s[:, 0].mean() for s in found], rel=1e-12)
+    best = int(np.argmin([s[:, 0].mean() for s in found]))
+    m = got["metrics"].first()
+    assert got["best_params"] == points[best]
+    assert (m["cv_r2_mean"], m["cv_r2_std"]) == pytest.approx((found[best][:, 1].mean(), found[best][:, 1].std()), rel=1e-9)
+    folded.unpersist()
