@@ -96,3 +96,54 @@ def test_customers_meet_orders_before_line_items(spark, tmp_path):
     depth = {k: line.index("Join") for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line
              for k in ("o_custkey", "l_orderkey") if f"({k}#" in line}
     assert depth["o_custkey"] > depth["l_orderkey"]
+
+
+def test_medians_by_histogram(spark, monkeypatch):
+    monkeypatch.setattr(stats, "LEAST", 20)
+    rng = np.random.default_rng(9)
+    groups = {"wide": rng.normal(0, 1e6, 3001), "narrow": 1e9 + rng.random(3000), "far": np.r_[rng.random(2000), 1e300, -1e300],
+              "tied": np.r_[np.full(1500, 7.0), rng.random(700) * 14], "signs": np.r_[np.full(50, -1e308), np.full(50, 1e308)],
+              "zero": np.array([-0.0, 0.0, 5e-324, -5e-324]), "one": np.array([4.0])}
+    rows = [(g, float(v), float(v) * 3 if g == "narrow" else None) for g, vs in groups.items() for v in vs] + [("one", None, None), ("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(5)
+    for p in (0.5, 0.9):
+        got = {r["g"]: r for r in stats.grouped_medians(df, ["g"], {"a": F.col("a"), "b": F.col("b")}, p).collect()}
+        assert set(got) == set(groups)
+        for g, vs in groups.items():
+            if g != "signs" or p != 0.5:  # halfway between them is no double's difference
+                assert got[g]["a"] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-320), (g, p)
+        assert got["narrow"]["b"] == pytest.approx(np.quantile(groups["narrow"], p) * 3, rel=1e-12) and got["wide"]["b"] is None
+
+
+def test_no_sketch_in_the_pass_over_the_trips(spark, monkeypatch):
+    """The statistics of all trips stay plain sums: sketches take them out of generated code."""
+    from tessera.operators import spatial
+    seen = []
+    for module in (spatial, stats):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, cut=stats.cut_lineage: seen.append(
+            df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    trips = spark.range(50).select(
+        F.when(F.col("id") % 5 > 0, F.col("id") % 2).cast("string").alias("county_fips"), F.col("id").alias("trip_id"), F.lit(True).alias("is_inter_county"),
+        F.lit("member").alias("member_type"), *[(F.col("id") * k).alias(c) for k, c in enumerate(
+            ("trip_duration_minutes", "trip_distance_km", "trip_speed_kmh"), 1)])
+    got = {r["county_fips"]: r["median_trip_distance_km"] for r in spatial.county_aggregation(trips).collect()}
+    assert got == {str(g): 2 * np.median([i for i in range(50) if i % 5 and i % 2 == g]) for g in (0, 1)}
+    assert seen and not any("percentile_approx" in plan or "ObjectHashAggregate" in plan for plan in seen)
+
+
+def test_spending_reads_dates_and_categories_before_the_line_items(spark, tmp_path):
+    import datetime
+
+    from tessera.sources import views
+    d, day = str(tmp_path), datetime.datetime(2023, 4, 5)
+    spark.createDataFrame([(k % 4, k % 3, 10.0, 0.5) for k in range(12)], "l_orderkey long, l_partkey long, l_extendedprice double, l_discount double"
+                          ).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(k, k % 2, day) for k in range(4)], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(0, 3), (1, 123456)], "c_custkey long, c_nationkey int").write.parquet(f"{d}/customer.parquet")
+    spark.createDataFrame([(0, "PROMO TIN"), (1, "OTHER"), (2, None)], "p_partkey long, p_type string").write.parquet(f"{d}/part.parquet")
+    df = views.spending(spark, d)
+    got = {(r["county_fips"], r["year"], r["month"], r["category"]): r["spending_amount"] for r in df.collect()}
+    assert got == {(f, 2023, 4, "retail"): 10.0 for f in ("00003", "12345")} | {(f, 2023, 4, None): 20.0 for f in ("00003", "12345")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [k for k, line in enumerate(plan) if "Join Inner" in line]
+    assert min(k for k, line in enumerate(plan) if "Contains" in line) > min(joins) and not any("year(" in line for line in plan[:min(joins)])
